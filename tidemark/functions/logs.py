@@ -15,7 +15,7 @@ BATCH_PAIR = r"^\((.*),(-?\d+)\)$"
 # The parts of a login line of the sign-in proxy.
 LOGIN_LINE = (
     r"^(\S+?)(?::\d+)? - (\S+) - (\S+) \[(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})\] \[AuthSuccess\] "
-    r"Authenticated via OAuth2: Session\{(.*)\}\.?\s*$"
+    r"Authenticated via OAuth2: Session\{"
 )
 SESSION_TIME = r"\b%s:(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)"
 SESSION_GROUPS = r"\bgroups:\[([^\]]*)\]"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.series import micros
 from tidemark.operators import eventlog as ev
 from tidemark.operators.ordered import ordered
+from tidemark.sources.basic import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -24,6 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """The columns of a table whose rows are costly to work on, over all cores even if it is small."""
+    return spread(table(spark, sf_dir, name).select(*columns), key)
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    return wide_table(spark, sf_dir, "orders", "o_orderkey", *columns)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("event_id", "ts", "user_id", "event_type", "props")
+    return wide_table(spark, sf_dir, "events", "event_id", *columns)
+
+
 def register_tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for name in names or TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
@@ -60,10 +76,8 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed.select("metric", "series", "ts", F.round("total", 2).alias("value"))
 
 
-def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        F.explode(F.split("text", "\n")).alias("value")
-    )
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return wide_table(spark, sf_dir, "documents", "doc_id", "doc_id", "text", *columns)
 
 
 def _ms(ts: str) -> Column:
@@ -84,7 +98,7 @@ def _lines(df: DataFrame, app: Column, *events: Column) -> DataFrame:
 
 def application_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is an application; those in status F have ended."""
-    orders = table(spark, sf_dir, "orders")
+    orders = _orders(spark, sf_dir)
     start = _event(
         ev.APP_START,
         App_Name=F.col("o_orderpriority"),
@@ -100,7 +114,7 @@ def application_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is a job of its customer's application; jobs in status O still run."""
-    orders = table(spark, sf_dir, "orders")
+    orders = _orders(spark, sf_dir)
     key = F.col("o_orderkey")
     start = _event(
         ev.JOB_START,
@@ -122,7 +136,7 @@ def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is an attempt of one of five stages; those in status P have failed."""
-    orders = table(spark, sf_dir, "orders")
+    orders = _orders(spark, sf_dir)
     key = F.col("o_orderkey")
     info = F.struct(
         (key % 5).alias("Stage ID"),
@@ -138,7 +152,19 @@ def stage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line is a task of its supplier's application."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = wide_table(
+        spark,
+        sf_dir,
+        "lineitem",
+        "l_orderkey",
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        "l_linenumber",
+        "l_quantity",
+        "l_returnflag",
+        "l_shipdate",
+    )
     quantity = F.col("l_quantity").cast("bigint")
     task = _event(
         ev.TASK_END,
@@ -180,7 +206,7 @@ def executor_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is a SQL execution: status O runs, P failed, F completed."""
-    orders = table(spark, sf_dir, "orders")
+    orders = _orders(spark, sf_dir)
     key = F.col("o_orderkey")
     start = _event(
         ev.SQL_START, executionId=key, description=F.col("o_orderpriority"), time=_ms("o_orderdate")
@@ -220,7 +246,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     text = F.when(level == "ERROR", F.concat(F.array(head), trace)).otherwise(F.array(head))
     return (
-        table(spark, sf_dir, "events")
+        _events(spark, sf_dir)
         .select(
             F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("file"),
             "event_id",
@@ -310,7 +336,7 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "view", service)
         .otherwise(F.concat(stamp, F.lit(" INFO Other: nothing")))
     )
-    return table(spark, sf_dir, "events").select(line.alias("value"))
+    return _events(spark, sf_dir).select(line.alias("value"))
 
 
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:

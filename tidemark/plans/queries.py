@@ -39,14 +39,14 @@ def query(fn):
 @query
 def words(spark, sf_dir):
     """Word count over all document lines."""
-    return word_count(tokenize(lines(i.table(spark, sf_dir, "documents"))))
+    return word_count(tokenize(lines(i.documents(spark, sf_dir))))
 
 
 @query
 def text_file_words(spark, sf_dir):
     """Documents written as text files, scanned line by line, counted."""
     path = scratch_path(spark, "documents-text")
-    i.table(spark, sf_dir, "documents").select("text").write.text(path)
+    i.documents(spark, sf_dir).select("text").write.text(path)
     return word_count(tokenize(basic.text_scan(spark, path)))
 
 
@@ -56,7 +56,7 @@ def document_tokens(spark, sf_dir):
     rows = F.split("text", "\n")
     per_line = F.transform(rows, lambda line: F.size(tokens(line)))
     total = F.aggregate(per_line, F.lit(0), lambda a, b: a + b)
-    return i.table(spark, sf_dir, "documents").select(
+    return i.documents(spark, sf_dir).select(
         "doc_id", F.size(rows).cast("bigint").alias("n_lines"), total.cast("bigint").alias("n_tokens")
     )
 
@@ -163,7 +163,7 @@ def row_count(spark, sf_dir):
 
 
 def _line_files(spark, sf_dir, path, keep):
-    docs = i.table(spark, sf_dir, "documents").filter(keep).select("text")
+    docs = i.documents(spark, sf_dir).filter(keep).select("text")
     docs.write.mode("append").text(path)
 
 
@@ -179,7 +179,7 @@ def stream_words(spark, sf_dir):
     source, out = scratch_path(spark, "lines"), scratch_path(spark, "counts")
     for odd in (0, 1):
         _line_files(spark, sf_dir, source, F.col("doc_id") % 2 == odd)
-    _count_available(spark, source, out, scratch_path(spark, "progress"), 4)
+    _count_available(spark, source, out, scratch_path(spark, "progress"), 8)
     return sum_over_batches(read_batches(spark, out))
 
 

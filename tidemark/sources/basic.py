@@ -32,3 +32,13 @@ def preview(df: DataFrame, n: int = 20) -> DataFrame:
     """Print the first rows and hand the table back."""
     df.show(n)
     return df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan's rows out by a unique key when it has fewer splits than the session has cores.
+
+    For costly work per row on a small file of one row group. A large table has more splits than cores
+    and is read as it lies, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
