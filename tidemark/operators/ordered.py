@@ -94,6 +94,7 @@ class Ordered:
     cuts: Cuts | None = None
     split: bool = False
     few: bool = False
+    scans: int = 0
 
     @property
     def _group(self) -> list[str]:
@@ -110,7 +111,19 @@ class Ordered:
         """Other rows of the same keys, cut at the same points of another order column."""
         if not self.split:
             return replace(self, df=df, order=order, ties=())
-        return _place(df.drop(PIECE), self.keys, order, (), self.cuts)
+        placed = _place(df.drop(PIECE), self.keys, order, (), self.cuts)
+        return replace(placed, scans=self.scans)
+
+    def _settled(self) -> Ordered:
+        """A split scan reads its input twice (rows and summary). Each further scan would double that
+        again, so the result of the one before is written to the checkpoint folder first."""
+        if not self.split or not self.scans:
+            return self
+        use_checkpoint_dir(self.df.sparkSession)
+        return replace(self, df=self.df.checkpoint(), scans=0)
+
+    def _scanned(self, df: DataFrame) -> Ordered:
+        return replace(self, df=df, scans=self.scans + 1)
 
     def done(self) -> DataFrame:
         return self.df.drop(PIECE)
@@ -130,6 +143,7 @@ class Ordered:
 
     def previous(self, **columns: str) -> Ordered:
         """Add ``new=source``: the source's value on the previous row of the key, null on the first."""
+        self = self._settled()
         packed = F.struct(*[F.col(src).alias(new) for new, src in columns.items()])
         out = self.df.withColumn(_PREV, F.lag(packed).over(self.window()))
         if self.split:
@@ -140,7 +154,7 @@ class Ordered:
             out = out.withColumn(_PREV, F.coalesce(_PREV, _CARRY)).drop(_CARRY)
         for new in columns:
             out = out.withColumn(new, F.col(f"{_PREV}.{new}"))
-        return self.with_df(out.drop(_PREV))
+        return self._scanned(out.drop(_PREV))
 
     def running_sum(self, source: str, new: str) -> Ordered:
         """Add the sum over all rows of the key up to this one (rows of equal order included)."""
@@ -152,6 +166,7 @@ class Ordered:
         return self._running(F.min, source, new, F.least(F.col(new), F.col(_CARRY)))
 
     def _running(self, how, source: str, new: str, both: Column) -> Ordered:
+        self = self._settled()
         upto = self.window().rangeBetween(Window.unboundedPreceding, Window.currentRow)
         out = self.df.withColumn(new, how(source).over(upto))
         if self.split:
@@ -163,10 +178,11 @@ class Ordered:
                 ),
             )
             out = out.withColumn(new, both).drop(_CARRY)
-        return self.with_df(out)
+        return self._scanned(out)
 
     def fill_forward(self, source: str, new: str) -> Ordered:
         """Add the latest non-null value of the key up to and including this row."""
+        self = self._settled()
         upto = self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = self.df.withColumn(new, F.last(source, ignorenulls=True).over(upto))
         if self.split:
@@ -180,7 +196,7 @@ class Ordered:
                 ),
             )
             out = out.withColumn(new, F.coalesce(new, _CARRY)).drop(_CARRY)
-        return self.with_df(out)
+        return self._scanned(out)
 
 
 def _place(df, keys, order, ties, cuts: Cuts) -> Ordered:
