@@ -61,10 +61,10 @@ def quantity(raw: Column) -> Column:
     """Amount in base units (cores, bytes) as decimal(38,3); null for what is no quantity."""
     amount = F.regexp_extract(raw, QUANTITY, 1)
     suffix = F.regexp_extract(raw, QUANTITY, 2)
-    factor = F.lit(None).cast("decimal(20,3)")
+    factor = F.lit(None).cast("decimal(22,3)")
     for name, size in FACTORS.items():
-        factor = F.when(suffix == name, F.lit(size).cast("decimal(20,3)")).otherwise(factor)
-    value = amount.try_cast("decimal(18,3)") * factor
+        factor = F.when(suffix == name, F.lit(size).cast("decimal(22,3)")).otherwise(factor)
+    value = F.try_multiply(amount.try_cast("decimal(18,3)"), factor)
     return F.when(raw.rlike(QUANTITY), value.try_cast("decimal(38,3)"))
 
 
