@@ -32,7 +32,9 @@ def test_records_take_their_traces(spark):
         ("d1", 5, "WARN", "X$", "", 0),
         ("d2", 0, "INFO", "A", "b", 0),
     ]
-    assert got[1].trace.splitlines() == DRIVER[3:5]
+    assert [r.cause for r in got] == [None, DRIVER[3], None, None]
+    trace = logs.trace_lines(lines).orderBy("line_no").collect()
+    assert [(r.record_no, r.line_no, r.text) for r in trace] == [(2, 3, DRIVER[3]), (2, 4, DRIVER[4])]
     assert str(got[1].ts) == "2024-01-01 10:00:02"
     attached = logs.attach_lines(lines).filter("file = 'd1'").orderBy("line_no").collect()
     assert [r.record_no for r in attached] == [None, 1, 2, 2, 2, 5]
@@ -51,14 +53,13 @@ def test_long_files_are_read_in_splits(spark, tmp_path):
         lines = logs.log_scan(spark, str(tmp_path))
         assert lines.select("piece").distinct().count() > 5
         got = logs.parse_logs(lines).collect()
+        traces = logs.trace_lines(lines).orderBy("line_no").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    found = {r.message: (r.trace_lines, r.trace) for r in got}
-    assert len(found) == 40
-    for n in range(40):
-        count, trace = found[f"record {n}"]
-        assert count == n
-        assert [x.split()[3] for x in trace.splitlines()] == [str(i) for i in range(n)]
+    assert sorted((int(r.message.split()[1]), r.trace_lines) for r in got) == [(n, n) for n in range(40)]
+    number = {r.record_no: int(r.message.split()[1]) for r in got}
+    steps = [(number[r.record_no], *map(int, r.text.split()[2:4])) for r in traces]
+    assert steps == [(n, n, i) for n in range(40) for i in range(n)]
 
 
 def test_levels_and_signatures(spark):

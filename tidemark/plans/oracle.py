@@ -355,11 +355,16 @@ _LOGGER = "upper(event_type[1]) || event_type[2:]"
 ORACLE["parsed_logs"] = f"""
 SELECT 'user-' || user_id AS file, event_id * 4 AS record_no, epoch_us(date_trunc('second', ts)) AS ts_us,
        {_LEVEL} AS level, {_LOGGER} AS logger, 'event ' || event_id || ' ' || props AS message,
-       CASE WHEN event_type = 'error' THEN 'java.nio.file.AccessDeniedException: ./f' || event_id || '.jar'
-         || chr(10) || chr(9) || 'at step.Run(' || event_id || ')' ELSE '' END AS trace,
-       CAST(CASE WHEN event_type = 'error' THEN 2 ELSE 0 END AS BIGINT) AS trace_lines
+       CAST(CASE WHEN event_type = 'error' THEN 2 ELSE 0 END AS BIGINT) AS trace_lines,
+       CASE WHEN event_type = 'error' THEN 'java.nio.file.AccessDeniedException: ./f' || event_id || '.jar' END AS cause
 FROM events
 """
+ORACLE["trace_lines"] = """
+SELECT 'user-' || user_id AS file, event_id * 4 AS record_no, event_id * 4 + i AS line_no,
+       CASE i WHEN 1 THEN 'java.nio.file.AccessDeniedException: ./f' || event_id || '.jar'
+              ELSE chr(9) || 'at step.Run(' || event_id || ')' END AS text
+FROM events, (VALUES (1), (2)) t(i) WHERE event_type = 'error'
+"""
 _LOG_LEVELS = f"""
 SELECT {_LEVEL} AS level, {_LOGGER} AS logger, count(*) AS n,
        epoch_us(ts) - epoch_us(ts) % {DAY_US} AS step_us

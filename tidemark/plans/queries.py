@@ -535,11 +535,16 @@ def parsed_logs(spark, sf_dir):
         "level",
         "logger",
         "message",
-        "trace",
-        F.col("trace_lines").cast("bigint").alias("trace_lines"),
+        "trace_lines",
+        "cause",
     )
 
 
+@query
+def trace_lines(spark, sf_dir):
+    return logs.trace_lines(i.log_lines(spark, sf_dir))
+
+
 @query
 def log_levels(spark, sf_dir):
     return logs.log_levels(i.log_lines(spark, sf_dir), "1 day")
