@@ -144,17 +144,18 @@ class Ordered:
     def previous(self, **columns: str) -> Ordered:
         """Add ``new=source``: the source's value on the previous row of the key, null on the first."""
         self = self._settled()
+        if not self.split:
+            added = {new: F.lag(src).over(self.window()) for new, src in columns.items()}
+            return self._scanned(self.df.withColumns(added))
         packed = F.struct(*[F.col(src).alias(new) for new, src in columns.items()])
         out = self.df.withColumn(_PREV, F.lag(packed).over(self.window()))
-        if self.split:
-            place = F.struct(self.order, *self.ties)
-            out = self._with_carry(
-                out, F.max_by(packed, place), lambda pieces: F.lag(_CARRY).over(pieces)
-            )
-            out = out.withColumn(_PREV, F.coalesce(_PREV, _CARRY)).drop(_CARRY)
-        for new in columns:
-            out = out.withColumn(new, F.col(f"{_PREV}.{new}"))
-        return self._scanned(out.drop(_PREV))
+        place = F.struct(self.order, *self.ties)
+        out = self._with_carry(
+            out, F.max_by(packed, place), lambda pieces: F.lag(_CARRY).over(pieces)
+        )
+        before = F.coalesce(_PREV, _CARRY)
+        out = out.withColumns({new: before.getField(new) for new in columns})
+        return self._scanned(out.drop(_PREV, _CARRY))
 
     def running_sum(self, source: str, new: str) -> Ordered:
         """Add the sum over all rows of the key up to this one (rows of equal order included)."""

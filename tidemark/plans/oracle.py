@@ -49,6 +49,7 @@ FROM (SELECT count(*) FILTER (x * x + y * y <= 1) AS inside, count(*) AS points
 ORACLE["table_round_trip"] = "SELECT c_custkey AS id, c_name AS name FROM customer"
 ORACLE["appended_twice"] = "SELECT c_mktsegment AS segment, 2 * count(*) AS n FROM customer GROUP BY 1"
 ORACLE["loaded_twice"] = "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1"
+ORACLE["previewed_customers"] = "SELECT c_custkey, c_mktsegment FROM customer"
 ORACLE["row_count"] = "SELECT count(*) AS n FROM lineitem"
 
 # --- metric series -------------------------------------------------------------------------------

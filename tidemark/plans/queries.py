@@ -154,6 +154,12 @@ def loaded_twice(spark, sf_dir):
     return tables.table_scan(spark, db, name).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def previewed_customers(spark, sf_dir):
+    """The first rows on the console, the whole table as result."""
+    return basic.preview(i.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), 5)
+
+
 @query
 def row_count(spark, sf_dir):
     return tables.row_count(i.table(spark, sf_dir, "lineitem"))

@@ -15,6 +15,25 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# The SQL settings the SQL server ships with. Schema merging reads every file's footer,
+# so it stays a choice per scan (``merged_scan``); shuffle partitions are left to adaptive execution.
+SQL_SETTINGS = {
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.hive.metastorePartitionPruning": "true",
+    "spark.sql.sources.default": "parquet",
+    "spark.sql.legacy.createHiveTableByDefault": "false",
+}
+
+
+def sql_session(spark: SparkSession, **overrides: str) -> SparkSession:
+    """A session of its own (views and settings apart) for ad-hoc SQL with the shipped settings;
+    an override replaces dots by two underscores: ``spark__sql__shuffle__partitions="50"``."""
+    fresh = apply_settings(spark.newSession())
+    given = {key.replace("__", "."): value for key, value in overrides.items()}
+    for key, value in (SQL_SETTINGS | given).items():
+        fresh.conf.set(key, value)
+    return fresh
+
 
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Runtime settings the results depend on (time zone) or the plans count on (adaptive)."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.text import pair
 from tidemark.operators.text import tokenize, word_count
 from tidemark.session import shared_root
 
@@ -13,6 +16,10 @@ from tidemark.session import shared_root
 BATCH_SECONDS = 2
 CHECKPOINT_SETTING = "spark.checkpoint.directory"
 
+# How a printed batch looks, and how many of its rows are shown.
+RULE = "-" * 43
+SHOWN = 10
+
 
 def every(seconds: int = BATCH_SECONDS) -> dict[str, str]:
     """Trigger of fixed processing time, as arguments of ``trigger``."""
@@ -46,6 +53,26 @@ def stream_word_count_batches(
     )
 
 
+def print_word_count_batches(
+    lines: DataFrame, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Count the words of each micro-batch and print its time and the first rows, as a look at the
+    stream; the whole counts are ``stream_word_count_batches``."""
+
+    def show(batch: DataFrame, batch_id: int) -> None:
+        counts = word_count(tokenize(batch))
+        rows = counts.select(pair(F.col("word"), F.col("n")).alias("p")).take(SHOWN + 1)
+        print(RULE, f"Time: {time.time_ns() // 1_000_000} ms", RULE, sep="\n")
+        print(*[r.p for r in rows[:SHOWN]], *["..."] * (len(rows) > SHOWN), "", sep="\n", flush=True)
+
+    return (
+        lines.writeStream.foreachBatch(show)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or every()))
+        .start()
+    )
+
+
 def read_batches(spark: SparkSession, out: str) -> DataFrame:
     """The written counts with their ``batch_id``."""
     return spark.read.schema("word string, n bigint, batch_id bigint").parquet(out)
