@@ -61,14 +61,15 @@ def test_scans_equal_windows(spark, skewed, limit):
 @pytest.mark.parametrize("limit", [500, 50])
 def test_pieces_stay_small(skewed, limit):
     scan = ordered(skewed, ["k"], "t", rows=limit)
+    assert (scan.rest.df.groupBy("k").count().agg(F.max("count")).first()[0] or 0) <= limit
     biggest = scan.df.groupBy("k", PIECE).count().agg(F.max("count")).first()[0]
     assert biggest <= 2 * limit
 
 
 def test_rearranged_rows_use_the_same_cuts(skewed):
     scan = ordered(skewed, ["k"], "t", rows=100)
-    later = scan.df.withColumn("t2", F.col("t") + 5000)
-    got = scan.rearranged(later, "t2").running_sum("flag", "total").done()
+    later = scan.rearranged(lambda df: df.withColumn("t2", F.col("t") + 5000), "t2")
+    got = later.running_sum("flag", "total").done()
     upto = Window.partitionBy("k").orderBy("t2").rangeBetween(Window.unboundedPreceding, 0)
     want = skewed.withColumn("t2", F.col("t") + 5000).withColumn("total", F.sum("flag").over(upto))
     assert rows(got.select(want.columns)) == rows(want)

@@ -69,7 +69,8 @@ def alert_episodes(
     """Runs of firing steps: first and last step, number of steps, seconds between the two."""
     scan = ordered(states, by, order, rows=rows).previous(before="state")
     change = F.when(F.col("state") == F.col("before"), 0).otherwise(1)
-    runs = scan.with_df(scan.df.withColumn("change", change)).running_sum("change", "run").done()
+    changes = scan.map(lambda rows: rows.withColumn("change", change))
+    runs = changes.running_sum("change", "run").done()
     return (
         runs.filter(F.col("state") == FIRING)
         .groupBy(*by, "run")

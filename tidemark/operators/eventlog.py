@@ -29,7 +29,8 @@ JOB_FIELDS = """`Job ID` bigint, `Submission Time` bigint, `Completion Time` big
 STAGE_FIELDS = """`Stage Info` struct<`Stage ID`:bigint, `Stage Attempt ID`:bigint, `Stage Name`:string,
   `Number of Tasks`:bigint, `Submission Time`:bigint, `Completion Time`:bigint, `Failure Reason`:string>"""
 TASK_FIELDS = """`Stage ID` bigint, `Stage Attempt ID` bigint,
-  `Task Info` struct<`Launch Time`:bigint, `Finish Time`:bigint, `Executor ID`:string, `Failed`:boolean>,
+  `Task Info` struct<`Launch Time`:bigint, `Finish Time`:bigint, `Executor ID`:string, `Host`:string,
+    `Failed`:boolean>,
   `Task Metrics` struct<`Executor Run Time`:bigint, `JVM GC Time`:bigint,
     `Input Metrics`:struct<`Bytes Read`:bigint, `Records Read`:bigint>>"""
 EXECUTOR_FIELDS = """`Timestamp` bigint, `Executor ID` string,
@@ -119,9 +120,8 @@ def stage_summary(lines: DataFrame) -> DataFrame:
 
     return (
         events_of(lines, [STAGE_COMPLETED], STAGE_FIELDS)
-        .groupBy("app", info("Stage ID").alias("stage"))
+        .groupBy("app", info("Stage ID").alias("stage"), info("Stage Name").alias("name"))
         .agg(
-            F.max(info("Stage Name")).alias("name"),
             F.count(F.lit(1)).alias("attempts"),
             F.sum(info("Number of Tasks")).alias("tasks"),
             F.sum(info("Completion Time") - info("Submission Time")).alias("busy_ms"),
@@ -152,24 +152,26 @@ def task_summary(lines: DataFrame) -> DataFrame:
 
 
 def executor_summary(lines: DataFrame) -> DataFrame:
-    added = events_of(lines, [EXECUTOR_ADDED], EXECUTOR_FIELDS).groupBy(
-        "app", _field("Executor ID").alias("executor")
-    ).agg(
-        F.min(_field("Timestamp")).alias("added_ms"),
-        F.max(_field("Executor Info", "Host")).alias("host"),
-        F.max(_field("Executor Info", "Total Cores")).alias("cores"),
-    )
-    worked = events_of(lines, [TASK_END], TASK_FIELDS).groupBy(
-        "app", _field("Task Info", "Executor ID").alias("executor")
-    ).agg(
-        F.count(F.lit(1)).alias("tasks"),
-        F.count_if(_field("Task Info", "Failed")).alias("failed"),
-        F.sum(_field("Task Metrics", "Executor Run Time")).alias("run_ms"),
-        F.sum(_field("Task Metrics", "JVM GC Time")).alias("gc_ms"),
-        F.sum(_field("Task Metrics", "Input Metrics", "Bytes Read")).alias("input_bytes"),
-    )
-    return added.join(worked, ["app", "executor"], "full").fillna(
-        0, ["tasks", "failed", "run_ms", "gc_ms", "input_bytes"]
+    """Executors with start, host, cores and work done, in one pass over both event types."""
+    task_end = F.col("Event") == TASK_END
+    executor = F.when(task_end, _field("Task Info", "Executor ID")).otherwise(_field("Executor ID"))
+    host = F.when(task_end, _field("Task Info", "Host")).otherwise(_field("Executor Info", "Host"))
+
+    def total(*path: str) -> Column:
+        return F.coalesce(F.sum(_field(*path)), F.lit(0))
+
+    return (
+        events_of(lines, [EXECUTOR_ADDED, TASK_END], f"{EXECUTOR_FIELDS}, {TASK_FIELDS}")
+        .groupBy("app", executor.alias("executor"), host.alias("host"))
+        .agg(
+            F.min("Timestamp").alias("added_ms"),
+            F.max(_field("Executor Info", "Total Cores")).alias("cores"),
+            F.count_if(task_end).alias("tasks"),
+            F.count_if(task_end & _field("Task Info", "Failed")).alias("failed"),
+            total("Task Metrics", "Executor Run Time").alias("run_ms"),
+            total("Task Metrics", "JVM GC Time").alias("gc_ms"),
+            total("Task Metrics", "Input Metrics", "Bytes Read").alias("input_bytes"),
+        )
     )
 
 

@@ -46,9 +46,8 @@ def _deltas(df: DataFrame, by, ts: str, value: str, rows: int) -> Ordered:
     grown = F.when(F.col("value") < F.col("before"), F.col("value")).otherwise(
         F.col("value") - F.col("before")
     )
-    return scan.with_df(
-        scan.df.withColumns({"delta": grown, "reset": F.col("value") < F.col("before")})
-    )
+    added = {"delta": grown, "reset": F.col("value") < F.col("before")}
+    return scan.map(lambda rows: rows.withColumns(added))
 
 
 def counter_deltas(df, by=SERIES, ts="ts", value="value", rows=ROWS_PER_PIECE) -> DataFrame:
@@ -72,8 +71,8 @@ def counter_rate(
             F.lit(False).alias("sample"),
         ),
     )
-    timeline = scan.df.drop("reset").withColumn("m", F.explode(moves)).select("*", "m.*").drop("m")
-    summed = scan.rearranged(timeline, "at").running_sum("move", "total").done()
+    timeline = scan.rearranged(lambda rows: rows.drop("reset").select("*", F.inline(moves)), "at")
+    summed = timeline.running_sum("move", "total").done()
     increase = F.when(F.col("delta").isNotNull(), F.round("total", 6))
     return summed.filter("sample").select(
         *by,

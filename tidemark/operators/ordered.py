@@ -2,7 +2,7 @@
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sorts all rows of a key in one task. That is fine
 until one key holds a large part of the table. ``ordered`` counts rows per key first (one column-pruned,
-map-side combined aggregate). Without a hot key it falls back to the plain window. A hot key is cut at
+map-side combined aggregate) and runs the plain window over all keys that are not hot. A hot key is cut at
 quantiles of its order column into consecutive pieces; the window runs inside each (key, piece), and what
 a piece needs from the rows before it (last row, sum so far, last value) comes from a one-row-per-piece
 summary that is joined back. Results equal those of the plain window.
@@ -11,6 +11,7 @@ summary that is joined back. Results equal those of the plain window.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +28,6 @@ _CUTS = "__cuts"
 _CARRY = "__carry"
 _PREV = "__prev"
 _N = "__n"
-_WHOLE = -1  # piece number of a key that is not cut
 
 
 @dataclass(frozen=True)
@@ -76,86 +76,83 @@ def _find_cuts(df: DataFrame, keys: list[str], order: str, rows: int) -> Cuts |
 def _piece_number(order: str, longest: int) -> Column:
     """How many cuts lie below the row: binary search in the sorted cut array."""
     steps = [1 << b for b in reversed(range(max(1, longest).bit_length()))]
-    found = F.aggregate(
+    return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
         lambda at, step: at
         + F.when(F.get(F.col(_CUTS), at + step - 1) < F.col(order), step).otherwise(F.lit(0)),
     )
-    return F.when(F.col(_CUTS).isNull(), F.lit(_WHOLE)).otherwise(found)
 
 
 @dataclass(frozen=True)
 class Ordered:
+    """Rows to scan: ``df`` as they are or, if ``split``, in pieces; ``rest`` holds the other keys."""
+
     df: DataFrame
     keys: tuple[str, ...]
     order: str
     ties: tuple[str, ...] = ()
-    cuts: Cuts | None = None
     split: bool = False
-    few: bool = False
-    scans: int = 0
-
-    @property
-    def _group(self) -> list[str]:
-        return [*self.keys, PIECE] if self.split else list(self.keys)
+    cuts: Cuts | None = None
+    rest: Ordered | None = None
 
     def window(self):
-        return Window.partitionBy(*self._group).orderBy(self.order, *self.ties)
+        group = [*self.keys, PIECE] if self.split else self.keys
+        return Window.partitionBy(*group).orderBy(self.order, *self.ties)
 
-    def with_df(self, df: DataFrame) -> Ordered:
-        """Same rows with other columns (must keep keys, order, ties and piece)."""
-        return replace(self, df=df)
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> Ordered:
+        """Change other columns; must keep the rows and the key, order, tie and piece columns."""
+        return self._next(change(self.df), self.rest and self.rest.map(change))
 
-    def rearranged(self, df: DataFrame, order: str) -> Ordered:
-        """Other rows of the same keys, cut at the same points of another order column."""
-        if not self.split:
-            return replace(self, df=df, order=order, ties=())
-        placed = _place(df.drop(PIECE), self.keys, order, (), self.cuts)
-        return replace(placed, scans=self.scans)
-
-    def _settled(self) -> Ordered:
-        """A split scan reads its input twice (rows and summary). Each further scan would double that
-        again, so the result of the one before is written to the checkpoint folder first."""
-        if not self.split or not self.scans:
-            return self
-        use_checkpoint_dir(self.df.sparkSession)
-        return replace(self, df=self.df.checkpoint(), scans=0)
-
-    def _scanned(self, df: DataFrame) -> Ordered:
-        return replace(self, df=df, scans=self.scans + 1)
+    def rearranged(self, change: Callable[[DataFrame], DataFrame], order: str) -> Ordered:
+        """Other rows of the same keys, ordered by another column and cut at the same points."""
+        rest = self.rest and self.rest.rearranged(change, order)
+        if self.cuts is None:
+            return replace(self, df=change(self.df), order=order, ties=(), rest=rest)
+        rows = change(self.df).drop(PIECE)
+        return replace(_in_pieces(rows, self.keys, order, (), self.cuts), rest=rest)
 
     def done(self) -> DataFrame:
-        return self.df.drop(PIECE)
+        rows = self.df.drop(PIECE)
+        return rows if self.rest is None else self.rest.done().unionByName(rows)
+
+    def _next(self, df: DataFrame, rest: Ordered | None) -> Ordered:
+        return replace(self, df=df, rest=rest)
 
-    def _with_carry(self, out: DataFrame, per_piece: Column, over_pieces) -> DataFrame:
+    def _settled(self) -> DataFrame:
+        """Rows to read twice (once for the summary): the hot keys' go to the checkpoint folder first.
+        Rows with given pieces come straight from a file and are read again instead."""
+        if self.cuts is None:
+            return self.df
+        use_checkpoint_dir(self.df.sparkSession)
+        return self.df.checkpoint()
+
+    def _with_carry(self, df, out: DataFrame, per_piece: Column, over_pieces) -> DataFrame:
         """Join to each row what the earlier pieces of its key hand over."""
-        summary = (
-            self.df.filter(F.col(PIECE) != _WHOLE)
-            .groupBy(*self.keys, PIECE)
-            .agg(per_piece.alias(_CARRY))
-        )
+        summary = df.groupBy(*self.keys, PIECE).agg(per_piece.alias(_CARRY))
         pieces = Window.partitionBy(*self.keys).orderBy(PIECE)
         carry = summary.withColumn(_CARRY, over_pieces(pieces)).filter(F.col(_CARRY).isNotNull())
         if self.cuts is None:  # given pieces: keys are never null, and the join reuses their shuffle
             return out.join(carry, [*self.keys, PIECE], "left")
-        return null_safe_join(out, carry, [*self.keys, PIECE], "left", small=self.few)
+        return null_safe_join(out, carry, [*self.keys, PIECE], "left", small=self.cuts.few)
 
     def previous(self, **columns: str) -> Ordered:
         """Add ``new=source``: the source's value on the previous row of the key, null on the first."""
-        self = self._settled()
+        rest = self.rest and self.rest.previous(**columns)
         if not self.split:
-            added = {new: F.lag(src).over(self.window()) for new, src in columns.items()}
-            return self._scanned(self.df.withColumns(added))
+            lagged = {new: F.lag(src).over(self.window()) for new, src in columns.items()}
+            return self._next(self.df.withColumns(lagged), rest)
+        df = self._settled()
         packed = F.struct(*[F.col(src).alias(new) for new, src in columns.items()])
-        out = self.df.withColumn(_PREV, F.lag(packed).over(self.window()))
-        place = F.struct(self.order, *self.ties)
         out = self._with_carry(
-            out, F.max_by(packed, place), lambda pieces: F.lag(_CARRY).over(pieces)
+            df,
+            df.withColumn(_PREV, F.lag(packed).over(self.window())),
+            F.max_by(packed, F.struct(self.order, *self.ties)),
+            lambda pieces: F.lag(_CARRY).over(pieces),
         )
         before = F.coalesce(_PREV, _CARRY)
-        out = out.withColumns({new: before.getField(new) for new in columns})
-        return self._scanned(out.drop(_PREV, _CARRY))
+        found = out.withColumns({new: before.getField(new) for new in columns})
+        return self._next(found.drop(_PREV, _CARRY), rest)
 
     def running_sum(self, source: str, new: str) -> Ordered:
         """Add the sum over all rows of the key up to this one (rows of equal order included)."""
@@ -167,46 +164,46 @@ class Ordered:
         return self._running(F.min, source, new, F.least(F.col(new), F.col(_CARRY)))
 
     def _running(self, how, source: str, new: str, both: Column) -> Ordered:
-        self = self._settled()
+        rest = self.rest and self.rest._running(how, source, new, both)
         upto = self.window().rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        out = self.df.withColumn(new, how(source).over(upto))
-        if self.split:
-            out = self._with_carry(
-                out,
-                how(source),
-                lambda pieces: how(_CARRY).over(
-                    pieces.rowsBetween(Window.unboundedPreceding, -1)
-                ),
-            )
-            out = out.withColumn(new, both).drop(_CARRY)
-        return self._scanned(out)
+        if not self.split:
+            return self._next(self.df.withColumn(new, how(source).over(upto)), rest)
+        df = self._settled()
+        out = self._with_carry(
+            df,
+            df.withColumn(new, how(source).over(upto)),
+            how(source),
+            lambda pieces: how(_CARRY).over(pieces.rowsBetween(Window.unboundedPreceding, -1)),
+        )
+        return self._next(out.withColumn(new, both).drop(_CARRY), rest)
 
     def fill_forward(self, source: str, new: str) -> Ordered:
         """Add the latest non-null value of the key up to and including this row."""
-        self = self._settled()
+        rest = self.rest and self.rest.fill_forward(source, new)
         upto = self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = self.df.withColumn(new, F.last(source, ignorenulls=True).over(upto))
-        if self.split:
-            place = F.struct(self.order, *self.ties)
-            known = F.when(F.col(source).isNotNull(), place)
-            out = self._with_carry(
-                out,
-                F.max_by(source, known),
-                lambda pieces: F.last(_CARRY, ignorenulls=True).over(
-                    pieces.rowsBetween(Window.unboundedPreceding, -1)
-                ),
-            )
-            out = out.withColumn(new, F.coalesce(new, _CARRY)).drop(_CARRY)
-        return self._scanned(out)
-
-
-def _place(df, keys, order, ties, cuts: Cuts) -> Ordered:
+        latest = F.last(source, ignorenulls=True).over(upto)
+        if not self.split:
+            return self._next(self.df.withColumn(new, latest), rest)
+        df = self._settled()
+        known = F.when(F.col(source).isNotNull(), F.struct(self.order, *self.ties))
+        out = self._with_carry(
+            df,
+            df.withColumn(new, latest),
+            F.max_by(source, known),
+            lambda pieces: F.last(_CARRY, ignorenulls=True).over(
+                pieces.rowsBetween(Window.unboundedPreceding, -1)
+            ),
+        )
+        return self._next(out.withColumn(new, F.coalesce(new, _CARRY)).drop(_CARRY), rest)
+
+
+def _in_pieces(df, keys, order, ties, cuts: Cuts) -> Ordered:
     placed = (
-        null_safe_join(df, cuts.df, list(keys), "left", small=cuts.few)
+        null_safe_join(df, cuts.df, list(keys), "inner", small=cuts.few)
         .withColumn(PIECE, _piece_number(order, cuts.longest))
         .drop(_CUTS)
     )
-    return Ordered(placed, tuple(keys), order, tuple(ties), cuts, split=True, few=cuts.few)
+    return Ordered(placed, tuple(keys), order, tuple(ties), split=True, cuts=cuts)
 
 
 def ordered(
@@ -216,17 +213,21 @@ def ordered(
     ties: list[str] | tuple[str, ...] = (),
     rows: int = ROWS_PER_PIECE,
 ) -> Ordered:
-    """Prepare ordered scans per key. ``order`` is a bigint column, ``ties`` break equal values."""
+    """Prepare ordered scans per key. ``order`` is a bigint column, ``ties`` break equal values.
+
+    Keys of more than ``rows`` rows are scanned in pieces of about that size.
+    """
     cuts = _find_cuts(df, list(keys), order, rows)
     if cuts is None:
         return Ordered(df, tuple(keys), order, tuple(ties))
-    return _place(df, keys, order, ties, cuts)
+    others = null_safe_join(df, cuts.df.select(*keys), list(keys), "left_anti", small=cuts.few)
+    rest = Ordered(others, tuple(keys), order, tuple(ties))
+    return replace(_in_pieces(df, keys, order, ties, cuts), rest=rest)
 
 
 def ordered_in_pieces(
     df: DataFrame, keys: list[str], piece: str, order: str, ties: list[str] | tuple[str, ...] = ()
 ) -> Ordered:
     """As ``ordered`` for rows that already know their piece (for example the split of a file)."""
-    return Ordered(
-        df.withColumn(PIECE, F.col(piece)), tuple(keys), order, tuple(ties), split=True, few=False
-    )
+    placed = df.withColumn(PIECE, F.col(piece))
+    return Ordered(placed, tuple(keys), order, tuple(ties), split=True)

@@ -39,7 +39,8 @@ def saw_in_order(
     earlier = F.lit(True)
     for i, wanted in enumerate(states):
         hit = F.when((F.col("s") == wanted) & earlier, F.col("at"))
-        scan = scan.with_df(scan.df.withColumn("hit", hit)).running_min("hit", f"hit_{i}")
+        hits = scan.map(lambda found, hit=hit: found.withColumn("hit", hit))
+        scan = hits.running_min("hit", f"hit_{i}")
         earlier = F.col(f"hit_{i}") < F.col("at")
     seen = [F.max(F.col(f"hit_{i}").isNotNull().cast("int")) for i in range(len(states))]
     total = sum(seen[1:], seen[0])

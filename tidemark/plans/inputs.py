@@ -174,6 +174,7 @@ def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             _ms("l_shipdate").alias("Launch Time"),
             (_ms("l_shipdate") + quantity * 1000).alias("Finish Time"),
             (F.col("l_partkey") % 10).cast("string").alias("Executor ID"),
+            F.concat(F.lit("host-"), (F.col("l_partkey") % 10).cast("string")).alias("Host"),
             (F.col("l_returnflag") == "R").alias("Failed"),
         ),
         Task_Metrics=F.struct(
