@@ -50,7 +50,7 @@ def test_sql_session_is_apart(spark):
     fresh = sql_session(spark, spark__sql__shuffle__partitions="50")
     assert fresh.conf.get("spark.sql.shuffle.partitions") == "50"
     assert fresh.conf.get("spark.sql.parquet.filterPushdown") == "true"
-    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
 
 
 def test_unknown_job():
