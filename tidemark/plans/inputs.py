@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.series import micros
 from tidemark.operators import eventlog as ev
+from tidemark.operators import rules
 from tidemark.operators.ordered import ordered
 from tidemark.sources.basic import spread
 
@@ -68,6 +69,63 @@ def labelled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", labels.alias("labels"), "value")
 
 
+COMPONENTS = {
+    "Controller": rules.Component("controller", "op-controller", "op", "ns"),
+    "Webhook": rules.Component("webhook", "op-webhook", "op", "ns"),
+}
+
+
+def component_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples of two components: even users are pods of one, odd users of the other.
+
+    Clicks are CPU counters, purchases memory, views memory limits, sign-ups CPU limits and replica
+    counts, errors pod phases. Some users stand for unnamed images or pause containers.
+    """
+    user = F.col("user_id").cast("string")
+    name = F.when(F.col("user_id") % 2 == 0, "controller").otherwise("webhook")
+    pod = F.concat(F.lit("op-1."), name, F.lit("-"), user)
+
+    def labels(**given: Column) -> Column:
+        return F.create_map(*[x for key, value in given.items() for x in (F.lit(key), value)])
+
+    namespace = F.lit("ns")
+    used = labels(
+        namespace=namespace,
+        pod=pod,
+        container=F.when(F.col("user_id") % 11 == 0, "POD").otherwise("main"),
+        image=F.when(F.col("user_id") % 7 == 0, "").otherwise("img"),
+    )
+    limit = labels(exported_namespace=namespace, container=F.concat(F.lit("op-"), name))
+    replicas = labels(
+        exported_namespace=namespace, replicaset=F.concat(F.lit("op-"), user, F.lit("."), name)
+    )
+    phase = labels(exported_namespace=namespace, exported_pod=pod, phase=F.lit("Running"))
+
+    def sample(kind: str, metric: str, of: Column, value: Column) -> Column:
+        row = F.struct(
+            F.lit(metric).alias("metric"), of.alias("labels"), value.cast("double").alias("value")
+        )
+        return F.when(F.col("event_type") == kind, row)
+
+    rows = F.array(
+        sample("click", rules.CPU_USED, used, F.col("value")),
+        sample("signup", rules.CPU_LIMIT, limit, F.col("value") / 20_000),
+        sample("purchase", rules.MEMORY_USED, used, F.col("value")),
+        sample("view", rules.MEMORY_LIMIT, limit, F.col("value")),
+        sample("signup", rules.READY, replicas, F.col("event_id") % 3),
+        sample("signup", rules.WANTED, replicas, F.lit(2)),
+        sample("error", rules.PHASE, phase, F.col("event_id") % 2),
+    )
+    return (
+        table(spark, sf_dir, "events")
+        .select(
+            F.col("ts").cast("timestamp").alias("ts"),
+            F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"),
+        )
+        .select("ts", "r.*")
+    )
+
+
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counter samples: values summed up per series, starting at 0 again every week."""
     rows = samples(spark, sf_dir).withColumn("us", micros(F.col("ts")))

@@ -254,6 +254,54 @@ WHERE pct > 90
   AND step_us + {DAY_US} <= (SELECT (max(epoch_us(ts)) // 1000) * 1000 - {HOUR_US} FROM events)
 """
 
+ORACLE["component_alerts"] = f"""
+WITH e AS (
+  SELECT *, epoch_us(ts) AS us, epoch_us(ts) - epoch_us(ts) % {HOUR_US // 2} AS step_us,
+         CASE WHEN user_id % 2 = 0 THEN 'Controller' ELSE 'Webhook' END AS component,
+         user_id % 11 <> 0 AND user_id % 7 <> 0 AS counted
+  FROM events),
+growth AS (
+  SELECT *, CASE WHEN value < before THEN value ELSE value - before END AS delta
+  FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY us) AS before
+        FROM e WHERE event_type = 'click' AND counted)),
+rates AS (
+  SELECT component, step_us,
+         round(sum(delta) OVER (PARTITION BY user_id ORDER BY us
+           RANGE BETWEEN {DAY_US - 1} PRECEDING AND CURRENT ROW), 6) / 86400.0::DOUBLE AS rate,
+         before
+  FROM growth),
+cpu AS (
+  SELECT component, step_us FROM
+    (SELECT component, step_us, max(rate) FILTER (before IS NOT NULL) AS used FROM rates GROUP BY 1, 2)
+    JOIN (SELECT component, step_us, max(value / 20000) AS lim FROM e
+          WHERE event_type = 'signup' GROUP BY 1, 2) USING (component, step_us)
+  WHERE used / nullif(lim, 0) * 100.0::DOUBLE > 90),
+memory AS (
+  SELECT component, step_us FROM
+    (SELECT component, step_us, max(value) AS used FROM e
+     WHERE event_type = 'purchase' AND counted GROUP BY 1, 2)
+    JOIN (SELECT component, step_us, max(value) AS lim FROM e
+          WHERE event_type = 'view' GROUP BY 1, 2) USING (component, step_us)
+  WHERE used / nullif(lim, 0) * 100.0::DOUBLE > 90),
+low AS (
+  SELECT DISTINCT component, step_us FROM
+    (SELECT component, user_id, step_us, arg_max(event_id % 3, us) AS ready
+     FROM e WHERE event_type = 'signup' GROUP BY 1, 2, 3)
+  WHERE ready < 2),
+steps AS (
+  SELECT component, step_us
+  FROM (VALUES ('Controller'), ('Webhook')) c(component),
+       (SELECT unnest(range(1704067200000000, 1706659200000000, {HOUR_US // 2})) AS step_us)),
+down AS (
+  SELECT component, step_us FROM steps
+  EXCEPT
+  SELECT component, step_us FROM e WHERE event_type = 'error' AND event_id % 2 = 1)
+SELECT component || 'CPUUsage' AS alert, 'warning' AS severity, 'ns' AS namespace, step_us FROM cpu
+UNION ALL SELECT component || 'MemoryUsage', 'warning', 'ns', step_us FROM memory
+UNION ALL SELECT component || 'IsDegraded', 'high', 'ns', step_us FROM low
+UNION ALL SELECT component || 'IsDown', 'critical', 'ns', step_us FROM down
+"""
+
 # --- durations -----------------------------------------------------------------------------------
 
 _RUNS = """

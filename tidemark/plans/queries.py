@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fleet as ff
 from tidemark.functions.text import tokens
-from tidemark.operators import alerts, audit, eventlog, fleet, latency, logs, metrics, sampling, status
+from tidemark.operators import (
+    alerts,
+    audit,
+    eventlog,
+    fleet,
+    latency,
+    logs,
+    metrics,
+    rules,
+    sampling,
+    status,
+)
 from tidemark.operators.text import lines, save_pairs, tokenize, word_count
 from tidemark.plans import inputs as i
 from tidemark.plans import reports
@@ -429,6 +440,15 @@ def pod_counts(spark, sf_dir):
     return alerts.pod_counts(i.pods(spark, sf_dir), ["namespace"])
 
 
+@query
+def component_alerts(spark, sf_dir):
+    """All alert rules of two components on half-hour steps of January 2024."""
+    start, end = 1_704_067_200_000_000, 1_706_659_200_000_000
+    return rules.component_alerts(
+        i.component_samples(spark, sf_dir), i.COMPONENTS, HOUR // 2, start, end, window_s=DAY
+    )
+
+
 # --- durations -----------------------------------------------------------------------------------
 
 
