@@ -4,7 +4,7 @@ import pytest
 
 from tidemark import jobs
 from tidemark.operators.logs import parse_batches
-from tidemark.session import sql_session
+from tidemark.session import size_shuffles, sql_session
 from tidemark.sources import tables
 from tidemark.streaming.wordcount import print_word_count_batches
 
@@ -53,6 +53,15 @@ def test_sql_session_is_apart(spark):
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
 
 
+def test_shuffles_follow_the_input(spark):
+    fresh = spark.newSession()
+    fresh.conf.set("spark.sql.shuffle.partitions", "200")
+    assert size_shuffles(fresh, 10**9) == 200
+    assert size_shuffles(fresh, 10**12) == 3726
+    assert size_shuffles(fresh, 10**14) == 20_000
+    assert fresh.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "20000"
+
+
 def test_unknown_job():
     with pytest.raises(KeyError):
         jobs.main(["nothing"])

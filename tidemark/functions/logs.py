@@ -19,7 +19,6 @@ LOGIN_LINE = (
 )
 SESSION_TIME = r"\b%s:(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)"
 SESSION_GROUPS = r"\bgroups:\[([^\]]*)\]"
-SESSION_EMAIL = r"\bemail:(\S+)"
 
 
 def part(value: Column, pattern: str, group: int) -> Column:

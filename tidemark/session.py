@@ -42,6 +42,24 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+SHUFFLE_BYTES = 256 * 2**20
+MAX_SHUFFLE_PARTITIONS = 20_000
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Start shuffles with a partition per 256 MB of input, at least as many as the session has set.
+
+    Adaptive execution merges small partitions but never makes more than it starts with, so the session's
+    200 would leave 500 GB to each task of a 100 TB shuffle. The bound keeps the number of shuffle blocks
+    in check; partitions beyond it grow and spill. Returns the number.
+    """
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(MAX_SHUFFLE_PARTITIONS, -(-input_bytes // SHUFFLE_BYTES))
+    number = max(current, wanted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(number))
+    return number
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors see, as named by the cluster; a fresh one only in local mode."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
