@@ -17,14 +17,14 @@ from tidemark.operators.ordered import ROWS_PER_PIECE, Ordered, ordered
 SERIES = ("metric", "series")
 
 
-def match_labels(
-    df: DataFrame,
+def label_test(
     equal: dict[str, str] | None = None,
     unequal: dict[str, str] | None = None,
     pattern: dict[str, str] | None = None,
     labels: str = "labels",
-) -> DataFrame:
-    """Samples whose labels match. A missing label counts as the empty string."""
+) -> Column:
+    """Whether all matchers hold. A missing label counts as the empty string; a pattern must match
+    the whole value."""
 
     def label(name: str) -> Column:
         return F.coalesce(F.try_element_at(F.col(labels), F.lit(name)), F.lit(""))
@@ -32,7 +32,12 @@ def match_labels(
     tests = [label(k) == v for k, v in (equal or {}).items()]
     tests += [label(k) != v for k, v in (unequal or {}).items()]
     tests += [whole_match(label(k), v) for k, v in (pattern or {}).items()]
-    return df.filter(reduce(lambda a, b: a & b, tests)) if tests else df
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def match_labels(df: DataFrame, **matchers) -> DataFrame:
+    """Samples whose labels match; matchers as in ``label_test``."""
+    return df.filter(label_test(**matchers))
 
 
 def _deltas(df: DataFrame, by, ts: str, value: str, rows: int) -> Ordered:

@@ -34,73 +34,112 @@ class Component:
     namespace: str
 
 
-def _used(samples: DataFrame, metric: str, c: Component) -> DataFrame:
-    """Usage of the component's real containers (no pause container, no unnamed image)."""
-    return metrics.match_labels(
-        samples.filter(F.col("metric") == metric),
-        equal={"namespace": c.namespace},
-        unequal={"image": "", "container": "POD"},
-        pattern={"pod": f"{c.prefix}.*.{c.name}.*"},
+Components = Mapping[str, Component]
+
+
+def _tagged(samples: DataFrame, metric: str, components: Components, **tests) -> DataFrame:
+    """Samples of a metric with the ``component`` whose matchers they pass. All components are told
+    apart in one pass; the matchers are functions of the component."""
+    marks = [
+        F.when(metrics.label_test(**{k: test(c) for k, test in tests.items()}), F.lit(label))
+        for label, c in components.items()
+    ]
+    hit = F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull()))
+    return samples.filter(F.col("metric") == metric).withColumn("component", hit)
+
+
+def _used(samples: DataFrame, metric: str, components: Components) -> DataFrame:
+    """Usage of the components' real containers (no pause container, no unnamed image)."""
+    return _tagged(
+        samples,
+        metric,
+        components,
+        equal=lambda c: {"namespace": c.namespace},
+        unequal=lambda c: {"image": "", "container": "POD"},
+        pattern=lambda c: {"pod": f"{c.prefix}.*.{c.name}.*"},
     )
 
 
-def _limit(samples: DataFrame, metric: str, c: Component) -> DataFrame:
-    return metrics.match_labels(
-        samples.filter(F.col("metric") == metric),
-        equal={"exported_namespace": c.namespace, "container": c.container},
+def _limit(samples: DataFrame, metric: str, components: Components) -> DataFrame:
+    return _tagged(
+        samples,
+        metric,
+        components,
+        equal=lambda c: {"exported_namespace": c.namespace, "container": c.container},
     )
 
 
-def cpu_high(samples: DataFrame, c: Component, step_s: int, pct: float = alerts.DEFAULT_PCT,
-             window_s: int = RATE_WINDOW_S) -> DataFrame:
-    """Steps at which the busiest container's CPU rate exceeds the threshold."""
-    used = _used(samples, CPU_USED, c).withColumn("series", series_key(F.col("labels")))
-    rates = metrics.counter_rate(used, window_s, by=("series",)).select(
-        F.timestamp_micros("us").alias("ts"), F.col("rate").alias("value")
+def cpu_high(
+    samples: DataFrame,
+    components: Components,
+    step_s: int,
+    pct: float = alerts.DEFAULT_PCT,
+    window_s: int = RATE_WINDOW_S,
+) -> DataFrame:
+    """Steps at which a component's busiest container exceeds the threshold of its CPU limit."""
+    used = _used(samples, CPU_USED, components).withColumn("series", series_key(F.col("labels")))
+    rates = metrics.counter_rate(used, window_s, by=("component", "series")).select(
+        "component", F.timestamp_micros("us").alias("ts"), F.col("rate").alias("value")
     )
-    share = metrics.pct_of_limit(rates, _limit(samples, CPU_LIMIT, c), step_s)
+    limits = _limit(samples, CPU_LIMIT, components)
+    share = metrics.pct_of_limit(rates, limits, step_s, by=("component",))
     return alerts.threshold_alert(share, pct, HIGH_USAGE)
 
 
-def memory_high(samples: DataFrame, c: Component, step_s: int, pct: float = alerts.DEFAULT_PCT) -> DataFrame:
-    used = _used(samples, MEMORY_USED, c)
-    share = metrics.pct_of_limit(used, _limit(samples, MEMORY_LIMIT, c), step_s)
+def memory_high(
+    samples: DataFrame, components: Components, step_s: int, pct: float = alerts.DEFAULT_PCT
+) -> DataFrame:
+    used = _used(samples, MEMORY_USED, components)
+    limits = _limit(samples, MEMORY_LIMIT, components)
+    share = metrics.pct_of_limit(used, limits, step_s, by=("component",))
     return alerts.threshold_alert(share, pct, HIGH_USAGE)
 
 
-def is_degraded(samples: DataFrame, c: Component, step_s: int) -> DataFrame:
+def is_degraded(samples: DataFrame, components: Components, step_s: int) -> DataFrame:
     """Steps at which any replica set has fewer ready replicas than wanted."""
+    keys = ["component", "series", "step_us"]
 
     def replicas(metric: str, column: str) -> DataFrame:
-        rows = metrics.match_labels(
-            samples.filter(F.col("metric") == metric),
-            equal={"exported_namespace": c.namespace},
-            pattern={"replicaset": f"{c.prefix}.*.{c.name}"},
+        rows = _tagged(
+            samples,
+            metric,
+            components,
+            equal=lambda c: {"exported_namespace": c.namespace},
+            pattern=lambda c: {"replicaset": f"{c.prefix}.*.{c.name}"},
         ).withColumn("series", series_key(F.col("labels")))
-        steps = metrics.resample(rows, step_s, by=("series",))
-        return steps.select("series", "step_us", F.col("value").alias(column))
+        steps = metrics.resample(rows, step_s, by=("component", "series"))
+        return steps.select(*keys, F.col("value").alias(column))
 
-    low = alerts.degraded(replicas(READY, "ready"), replicas(WANTED, "wanted"), ["series", "step_us"])
-    return low.select("step_us", F.lit(DEGRADED).alias("severity")).distinct()
+    low = alerts.degraded(replicas(READY, "ready"), replicas(WANTED, "wanted"), keys)
+    return low.select("component", "step_us").distinct().withColumn("severity", F.lit(DEGRADED))
 
 
-def is_down(samples: DataFrame, c: Component, step_s: int, start_us: int, end_us: int) -> DataFrame:
+def is_down(
+    samples: DataFrame, components: Components, step_s: int, start_us: int, end_us: int
+) -> DataFrame:
     """Steps from ``start_us`` up to ``end_us`` at which no pod of the component reports Running."""
-    running = metrics.match_labels(
-        samples.filter((F.col("metric") == PHASE) & (F.col("value") == 1)),
-        equal={"exported_namespace": c.namespace, "phase": "Running"},
-        pattern={"exported_pod": f"{c.prefix}.*.{c.name}.*"},
+    running = _tagged(
+        samples.filter(F.col("value") == 1),
+        PHASE,
+        components,
+        equal=lambda c: {"exported_namespace": c.namespace, "phase": "Running"},
+        pattern=lambda c: {"exported_pod": f"{c.prefix}.*.{c.name}.*"},
     )
-    seen = running.select(step_start(micros(F.col("ts")), step_s).alias("step_us"))
+    seen = running.select("component", step_start(micros(F.col("ts")), step_s).alias("step_us"))
     step = step_s * MICROS
-    first = start_us - start_us % step
-    steps = samples.sparkSession.range(first, end_us, step).withColumnRenamed("id", "step_us")
-    return alerts.absent(steps, seen, ["step_us"]).withColumn("severity", F.lit(DOWN))
+    steps = samples.sparkSession.range(start_us - start_us % step, end_us, step)
+    expected = steps.select(
+        F.col("id").alias("step_us"),
+        F.explode(F.array(*[F.lit(label) for label in components])).alias("component"),
+    )
+    return alerts.absent(expected, seen, ["component", "step_us"]).withColumn(
+        "severity", F.lit(DOWN)
+    )
 
 
 def component_alerts(
     samples: DataFrame,
-    components: Mapping[str, Component],
+    components: Components,
     step_s: int,
     start_us: int,
     end_us: int,
@@ -108,21 +147,22 @@ def component_alerts(
     window_s: int = RATE_WINDOW_S,
 ) -> DataFrame:
     """All rules of all components: ``alert, severity, namespace, step_us`` for every firing step."""
-    found = []
-    for label, c in components.items():
-        rules = {
-            "CPUUsage": cpu_high(samples, c, step_s, pct, window_s),
-            "MemoryUsage": memory_high(samples, c, step_s, pct),
-            "IsDegraded": is_degraded(samples, c, step_s),
-            "IsDown": is_down(samples, c, step_s, start_us, end_us),
-        }
-        found += [
-            rows.select(
-                F.lit(label + rule).alias("alert"),
-                "severity",
-                F.lit(c.namespace).alias("namespace"),
-                "step_us",
-            )
-            for rule, rows in rules.items()
-        ]
+    rules = {
+        "CPUUsage": cpu_high(samples, components, step_s, pct, window_s),
+        "MemoryUsage": memory_high(samples, components, step_s, pct),
+        "IsDegraded": is_degraded(samples, components, step_s),
+        "IsDown": is_down(samples, components, step_s, start_us, end_us),
+    }
+    namespace = F.coalesce(
+        *[F.when(F.col("component") == k, F.lit(c.namespace)) for k, c in components.items()]
+    )
+    found = [
+        rows.select(
+            F.concat(F.col("component"), F.lit(rule)).alias("alert"),
+            "severity",
+            namespace.alias("namespace"),
+            "step_us",
+        )
+        for rule, rows in rules.items()
+    ]
     return reduce(DataFrame.unionByName, found)
