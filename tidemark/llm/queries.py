@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, packing, quality, simhash, tokens
+from tidemark.llm import (
+    language_id,
+    packing,
+    pii,
+    quality,
+    sentence_pieces,
+    simhash,
+    suffix_dedup,
+    tokens,
+    topk,
+    warc,
+)
 from tidemark.llm.shared import prepare
+from tidemark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,6 +47,56 @@ def op1_language_id(spark, sf_dir):
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op2_suffix_dedup(spark, sf_dir):
+    """Every document without the bytes of its strings of 400 bytes that occur anywhere else."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), result="sha256")
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
+@query
+def op3_warc(spark, sf_dir):
+    """Every page written to web archives, read back and put together again by capture."""
+    path = scratch_path(spark, "archive")
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archive(pages, path)
+    records = warc.read_records(spark, path)
+    # the payload ends here: only its digest and size go on into the captures
+    sized = records.select(
+        "record_id",
+        "type",
+        "concurrent_to",
+        F.when(F.col("type") == "response", F.sha1("payload")).alias("sha1"),
+        F.octet_length("payload").cast("bigint").alias("n_bytes"),
+        F.element_at("headers", "warc-payload-digest").alias("digest"),
+        F.when(F.col("type") == "metadata", warc.fields_of(F.col("payload"))).alias("fields"),
+    )
+    captures = warc.assemble(sized)
+    main, fields = F.col("main"), F.col("metadata")[0]["fields"]
+    again = main["type"] == "revisit"
+    return captures.select(
+        F.element_at(fields, "page-id").cast("bigint").alias("page_id"),
+        F.when(again, F.element_at(fields, "payload-bytes").cast("bigint")).otherwise(main["n_bytes"]).alias("payload_bytes"),
+        F.when(again, F.substring(main["digest"], 6, 40)).otherwise(main["sha1"]).alias("payload_digest"),
+        main["type"].alias("record_type"),
+        F.element_at(fields, "refers-to-page-id").cast("bigint").alias("refers_to"),
+    )
+
+
+@query
+def op4_exact_topk(spark, sf_dir):
+    """For each hundredth vector the ten others with the highest integer inner product."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
 @query
 def op5_quality_rules(spark, sf_dir):
     """Measures and verdict of the quality cascade for every document."""
@@ -56,6 +118,24 @@ def op7_packing(spark, sf_dir):
     )
 
 
+@query
+def op8_pii(spark, sf_dir):
+    """Personal data in every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.learn(docs))
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def counted(kind: str):
+        n = F.size(F.filter("base", lambda s: s["kind"] == kind))
+        return n.cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[counted(k) for k in pii.KINDS], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans")
+    )
+
+
 @query
 def op9_simhash(spark, sf_dir):
     """Fingerprints and near-duplicate components of all documents."""
@@ -63,3 +143,17 @@ def op9_simhash(spark, sf_dir):
     return groups.select(
         "doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+@query
+def op10_sentence_pieces(spark, sf_dir):
+    """Ids of every document by the shared-prefix search, and whether they decode to the text again."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3000")
+    docs = table(spark, sf_dir, "documents")
+    coded = sentence_pieces.encode(docs, decoded=True)
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
