@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+from tidemark.session import table_bytes
 
+#: A side is hinted for a broadcast up to this size.
+BROADCAST_BYTES = 64 * 2**20
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
 
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the table has at most ``max_bytes`` by the optimizer's estimate, which is the files' size for a scan and
+    never too small for what is derived from one by filters, columns or aggregates. No job runs."""
+    return table_bytes(df) <= max_bytes
 
-def lookup(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast where the size check allows it; else leave the join to adaptive execution."""
-    return F.broadcast(df) if fits_broadcast(df, rows) else df
+
+def lookup(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast where the size allows it; else leave the join to adaptive execution, which measures the
+    side once it is there."""
+    return F.broadcast(df) if fits_broadcast(df, max_bytes) else df
 
 
 def null_safe_join(
@@ -52,10 +57,23 @@ def range_join(
     """
     first = F.floor(low / F.lit(bin_width)).cast("bigint")
     last = F.floor(high / F.lit(bin_width)).cast("bigint")
-    spread = ranges.filter(low < high).withColumn("__bin", F.explode(F.sequence(first, last)))
+    spread = explode_steps(ranges.filter(low < high), first, last, 1, "__bin")
     placed = points.withColumn("__bin", F.floor(point / F.lit(bin_width)).cast("bigint"))
-    return (
-        placed.join(lookup(spread), "__bin")
-        .filter((point >= low) & (point < high))
-        .drop("__bin")
-    )
+    return placed.join(spread, "__bin").filter((point >= low) & (point < high)).drop("__bin")
+
+
+#: Steps of one array value.
+STRETCH = 10_000
+
+
+def explode_steps(df: DataFrame, first: Column, last: Column, step: int, name: str) -> DataFrame:
+    """A row for each of ``first, first + step, ... last``, made in stretches, so that no value holds them all."""
+    count = F.floor((last - first) / F.lit(step)).cast("bigint")
+    stretches = F.sequence(F.lit(0).cast("bigint"), F.floor(count / STRETCH).cast("bigint"))
+    begun = df.filter(first <= last).withColumns({"__first": first, "__count": count})
+    parts = begun.withColumn("__part", F.explode(stretches))
+    low = F.col("__part") * STRETCH
+    high = F.least(F.col("__count"), low + (STRETCH - 1))
+    inside = parts.withColumn("__at", F.explode(F.sequence(low, high)))
+    at = F.col("__first") + F.col("__at") * F.lit(step)
+    return inside.withColumn(name, at).drop("__first", "__count", "__part", "__at")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: Databases of tables that queries register on the way.
+SCRATCH_DATABASES = ("tidemark_tables", "tidemark_reports")
 _LOCAL_ROOTS: dict[str, str] = {}
 
 SETTINGS = {
@@ -39,24 +41,31 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     """Runtime settings the results depend on (time zone) or the plans count on (adaptive)."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    spark.conf.unset(INITIAL)
     return spark
 
 
+#: Input of one shuffle partition to start with: a task sorts it in memory with room to spare.
 SHUFFLE_BYTES = 256 * 2**20
-MAX_SHUFFLE_PARTITIONS = 20_000
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Size of a scan's files as the optimizer knows it; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
-    """Start shuffles with a partition per 256 MB of input, at least as many as the session has set.
+    """Start shuffles with a partition per SHUFFLE_BYTES of input, at least as many as the session has set.
 
     Adaptive execution merges small partitions but never makes more than it starts with, so the session's
-    200 would leave 500 GB to each task of a 100 TB shuffle. The bound keeps the number of shuffle blocks
-    in check; partitions beyond it grow and spill. Returns the number.
+    200 would leave 500 GB to each task of a 100 TB shuffle. Scans call this with their size; the number only
+    rises until ``apply_settings`` starts another query. Returns it.
     """
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(MAX_SHUFFLE_PARTITIONS, -(-input_bytes // SHUFFLE_BYTES))
-    number = max(current, wanted)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(number))
+    current = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(INITIAL, None) or 0))
+    number = max(current, -(-input_bytes // SHUFFLE_BYTES))
+    if number > current:
+        spark.conf.set(INITIAL, str(number))
     return number
 
 
@@ -78,6 +87,21 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's files below the shared one."""
+    return f"{shared_root(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for files a job writes on the way."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application's queries have written on the way, and the tables they registered. Results that
+    have not been computed yet need those files, so this is for the caller who has taken them.
+    Checkpoints go by themselves with ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
+    for db in SCRATCH_DATABASES:
+        spark.sql(f"DROP DATABASE IF EXISTS `{db}` CASCADE")
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

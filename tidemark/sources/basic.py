@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.session import table_bytes
+
 
 def text_scan(spark: SparkSession, path: str) -> DataFrame:
     """One row per line, column ``value``."""
@@ -34,11 +36,17 @@ def preview(df: DataFrame, n: int = 20) -> DataFrame:
     return df
 
 
+#: A larger scan is read as it lies.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a scan's rows out by a unique key when it has fewer splits than the session has cores.
+    """Deal a small scan's rows out by a unique key when it has fewer splits than the session has cores.
 
-    For costly work per row on a small file of one row group. A large table has more splits than cores
-    and is read as it lies, without a shuffle.
+    For costly work per row on a file of one row group. Only a scan of at most SPREAD_BYTES is shuffled, whatever
+    the number of cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    if table_bytes(df) > SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
