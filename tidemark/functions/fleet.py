@@ -68,6 +68,22 @@ def quantity(raw: Column) -> Column:
     return F.when(raw.rlike(QUANTITY), value.try_cast("decimal(38,3)"))
 
 
+# Units of memory settings of applications, in powers of 1024; without a unit they are mebibytes.
+MEMORY_UNITS = {"b": 0, "k": 1, "kb": 1, "": 2, "m": 2, "mb": 2, "g": 3, "gb": 3, "t": 4, "tb": 4, "p": 5, "pb": 5}
+MEMORY = r"^\s*([0-9]+)([a-zA-Z]*)\s*$"
+
+
+def spark_memory(raw: Column) -> Column:
+    """Bytes of an application's memory setting, such as ``512m``: whole numbers with binary units in any case; null for
+    anything else. ``quantity`` reads container resources, where ``m`` is a thousandth."""
+    amount = F.regexp_extract(raw, MEMORY, 1).try_cast("decimal(20,0)")
+    unit = F.lower(F.regexp_extract(raw, MEMORY, 2))
+    factor = F.lit(None).cast("decimal(18,0)")
+    for name, power in MEMORY_UNITS.items():
+        factor = F.when(unit == name, F.lit(str(1024**power)).cast("decimal(18,0)")).otherwise(factor)
+    return F.when(raw.rlike(MEMORY), F.try_multiply(amount, factor))
+
+
 def uri_parts(uri: Column) -> Column:
     """Struct of bucket and key; one trailing slash is dropped, a missing key is empty."""
     trimmed = F.regexp_replace(uri, "/$", "")

@@ -26,8 +26,18 @@ def part(value: Column, pattern: str, group: int) -> Column:
     return F.when(value.rlike(pattern), F.regexp_extract(value, pattern, group))
 
 
-def log_time(value: Column) -> Column:
-    return F.try_to_timestamp(part(value, LOG_LINE, 1), F.lit(LOG_TIME))
+_MARK = "\x01"
+
+
+def head_parts(value: Column) -> Column:
+    """Time, level, logger and message of a record's first line as an array, null for other lines. Only a line that
+    passes the test is matched again, for all its parts at once."""
+    marked = F.regexp_replace(value, LOG_LINE, _MARK.join(f"${n}" for n in range(1, 5)))
+    return F.when(value.rlike(LOG_LINE), F.split(marked, _MARK, 4))
+
+
+def log_time(text: Column) -> Column:
+    return F.try_to_timestamp(text, F.lit(LOG_TIME))
 
 
 def session_time(value: Column, name: str) -> Column:

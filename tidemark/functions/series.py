@@ -13,6 +13,11 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def finite(value: Column) -> Column:
+    """Whether the number is there: null, NaN and the infinities are missing samples."""
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+
+
 def step_start(us: Column, step_s: int) -> Column:
     """Start of the step of a regular grid that holds the instant, in epoch microseconds."""
     step = step_s * MICROS

@@ -40,8 +40,7 @@ def evaluation_grid(df: DataFrame, step_s: int, by: list[str], ts="ts") -> DataF
     alerts = df.select(*by).distinct()
     if low is None:
         return alerts.withColumn("step_us", F.lit(None).cast("bigint")).limit(0)
-    steps = F.sequence(F.lit(low), F.lit(high), F.lit(step_s * MICROS))
-    return alerts.withColumn("step_us", F.explode(steps))
+    return joins.explode_steps(alerts, F.lit(low), F.lit(high), step_s * MICROS, "step_us")
 
 
 def alert_states(hits: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
@@ -52,28 +51,19 @@ def alert_states(hits: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
     return grid.join(fired, keys, "left").select(*keys, state.alias("state"))
 
 
-def alert_transitions(
-    states: DataFrame, by: list[str], order="step_us", rows=ROWS_PER_PIECE
-) -> DataFrame:
-    """Steps at which the state changes; an alert starts out inactive."""
-    scan = ordered(states, by, order, rows=rows).previous(before="state").done()
-    before = F.coalesce(F.col("before"), F.lit(INACTIVE))
-    return scan.filter(F.col("state") != before).select(
-        *by, order, before.alias("from_state"), F.col("state").alias("to_state")
-    )
-
-
 def alert_episodes(
-    states: DataFrame, by: list[str], order="step_us", rows=ROWS_PER_PIECE
+    hits: DataFrame, by: list[str], step_s: int, order="step_us", rows=ROWS_PER_PIECE
 ) -> DataFrame:
-    """Runs of firing steps: first and last step, number of steps, seconds between the two."""
-    scan = ordered(states, by, order, rows=rows).previous(before="state")
-    change = F.when(F.col("state") == F.col("before"), 0).otherwise(1)
-    changes = scan.map(lambda rows: rows.withColumn("change", change))
-    runs = changes.running_sum("change", "run").done()
+    """Runs of firing steps: first and last step, number of steps, seconds between the two.
+
+    Works on the steps at which the alert fires alone: a run ends where the next hit is more than a step away.
+    """
+    fired = hits.select(*by, order).distinct()
+    scan = ordered(fired, by, order, rows=rows).previous(before=order)
+    begins = F.when(F.col(order) - F.col("before") <= step_s * MICROS, 0).otherwise(1)
+    runs = scan.map(lambda rows: rows.withColumn("begins", begins)).running_sum("begins", "run").done()
     return (
-        runs.filter(F.col("state") == FIRING)
-        .groupBy(*by, "run")
+        runs.groupBy(*by, "run")
         .agg(
             F.min(order).alias("start_us"),
             F.max(order).alias("end_us"),
@@ -84,6 +74,20 @@ def alert_episodes(
     )
 
 
+def alert_transitions(
+    hits: DataFrame, by: list[str], step_s: int, last_us: int | None, order="step_us", rows=ROWS_PER_PIECE
+) -> DataFrame:
+    """Steps at which the state changes, up to the last step of evaluation; an alert starts out inactive."""
+    after = F.col("end_us") + step_s * MICROS
+
+    def change(at: Column, old: str, new: str) -> Column:
+        return F.struct(at.alias(order), F.lit(old).alias("from_state"), F.lit(new).alias("to_state"))
+
+    changes = F.array(change(F.col("start_us"), INACTIVE, FIRING), change(after, FIRING, INACTIVE))
+    runs = alert_episodes(hits, by, step_s, order, rows)
+    return runs.select(*by, F.inline(changes)).filter(F.col(order) <= F.lit(last_us).cast("bigint"))
+
+
 def reached_within(
     states: DataFrame, by: list[str], target: str, limit_s: int, ts="ts", state="state"
 ) -> DataFrame:

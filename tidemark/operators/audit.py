@@ -60,7 +60,7 @@ def audit_events(lines: DataFrame, catalogue: tuple[AuditRule, ...] = CATALOGUE)
     )
     logged = F.coalesce(
         F.try_to_timestamp(fl.part(value, fl.LOGIN_LINE, 4), F.lit("yyyy/MM/dd HH:mm:ss")),
-        fl.log_time(value),
+        fl.log_time(fl.part(value, fl.LOG_LINE, 1)),
     )
     return (
         lines.withColumn("rule", F.explode(F.filter(rules, lambda r: r.isNotNull())))

@@ -19,6 +19,7 @@ JOB_END = "SparkListenerJobEnd"
 STAGE_COMPLETED = "SparkListenerStageCompleted"
 TASK_END = "SparkListenerTaskEnd"
 EXECUTOR_ADDED = "SparkListenerExecutorAdded"
+EXECUTOR_REMOVED = "SparkListenerExecutorRemoved"
 SQL_START = "org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionStart"
 SQL_END = "org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionEnd"
 
@@ -34,7 +35,7 @@ TASK_FIELDS = """`Stage ID` bigint, `Stage Attempt ID` bigint,
   `Task Metrics` struct<`Executor Run Time`:bigint, `JVM GC Time`:bigint,
     `Input Metrics`:struct<`Bytes Read`:bigint, `Records Read`:bigint>>"""
 EXECUTOR_FIELDS = """`Timestamp` bigint, `Executor ID` string,
-  `Executor Info` struct<`Host`:string, `Total Cores`:bigint>"""
+  `Executor Info` struct<`Host`:string, `Total Cores`:bigint>, `Removed Reason` string"""
 SQL_FIELDS = """`executionId` bigint, `description` string, `time` bigint, `errorMessage` string"""
 
 
@@ -152,7 +153,8 @@ def task_summary(lines: DataFrame) -> DataFrame:
 
 
 def executor_summary(lines: DataFrame) -> DataFrame:
-    """Executors with start, host, cores and work done, in one pass over both event types."""
+    """Executors with start, end and its reason (null while they run), host, cores and work done, in one pass over the
+    three event types."""
     task_end = F.col("Event") == TASK_END
     executor = F.when(task_end, _field("Task Info", "Executor ID")).otherwise(_field("Executor ID"))
     host = F.when(task_end, _field("Task Info", "Host")).otherwise(_field("Executor Info", "Host"))
@@ -161,10 +163,13 @@ def executor_summary(lines: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(_field(*path)), F.lit(0))
 
     return (
-        events_of(lines, [EXECUTOR_ADDED, TASK_END], f"{EXECUTOR_FIELDS}, {TASK_FIELDS}")
-        .groupBy("app", executor.alias("executor"), host.alias("host"))
+        events_of(lines, [EXECUTOR_ADDED, EXECUTOR_REMOVED, TASK_END], f"{EXECUTOR_FIELDS}, {TASK_FIELDS}")
+        .groupBy("app", executor.alias("executor"))
         .agg(
-            F.min("Timestamp").alias("added_ms"),
+            F.max(host).alias("host"),
+            F.min(_when(EXECUTOR_ADDED, "Timestamp")).alias("added_ms"),
+            F.max(_when(EXECUTOR_REMOVED, "Timestamp")).alias("removed_ms"),
+            F.max(_when(EXECUTOR_REMOVED, "Removed Reason")).alias("reason"),
             F.max(_field("Executor Info", "Total Cores")).alias("cores"),
             F.count_if(task_end).alias("tasks"),
             F.count_if(task_end & _field("Task Info", "Failed")).alias("failed"),

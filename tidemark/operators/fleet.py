@@ -57,6 +57,42 @@ def retag(df: DataFrame, releases: DataFrame, ref: str = "image_ref") -> DataFra
     )
 
 
+def _joined(registry: Column, repository: Column) -> Column:
+    """Name of an image from its two parts, with one slash between them."""
+    slash = F.lit("/")
+    head = F.regexp_replace(registry, "/+$", "")
+    return F.concat(head, slash, F.regexp_replace(repository, "^/+", ""))
+
+
+def retag_nodes(df: DataFrame, releases: DataFrame, node: str = "image") -> DataFrame:
+    """Structured references (``registry``, ``repository``, ``tag``; each may be null) with the released tag of their
+    name; ``changed`` marks those that differ.
+
+    The name is the registry alone without a repository, else registry and repository; if that has no release, the
+    repository alone is looked up too, which is also the name without a registry. Without a tag nothing changes.
+    """
+    released = lookup(
+        releases.select(
+            image_name(F.col("image_ref")).alias("__name"), image_tag(F.col("image_ref")).alias("__tag")
+        ).filter(F.col("__name").isNotNull())
+    )
+    part = F.col(node)
+    full = F.coalesce(_joined(part["registry"], part["repository"]), part["registry"])
+    named = df.withColumns({"__full": full, "__short": part["repository"]})
+    for column in ("__full", "__short"):
+        found = released.withColumnsRenamed({"__name": column, "__tag": f"{column}_tag"})
+        named = named.join(found, column, "left")
+    # the repository's own release is applied last, so it wins over that of the full name
+    fresh = F.coalesce("__short_tag", "__full_tag")
+    changed = F.coalesce(part["tag"] != fresh, F.lit(False))
+    tag = F.when(changed, fresh).otherwise(part["tag"])
+    return (
+        named.withColumn("changed", changed)
+        .withColumn(node, part.withField("tag", tag))
+        .drop("__full", "__short", "__full_tag", "__short_tag")
+    )
+
+
 # A default that only points to a file is not compared.
 SKIP_PREFIX, SKIP_SUFFIX = "see ", " values.yaml file"
 
@@ -69,13 +105,20 @@ def _compared(default) -> bool:
 
 
 def _differs(value: Column, default) -> Column:
-    """Whether a scalar variant is another value than the default. Numbers compare by value."""
+    """Whether a scalar variant is another value than the default. Numbers compare by value, whole ones exactly."""
     kind = F.schema_of_variant(value)
     number = F.try_variant_get(value, "$", "double")
     if isinstance(default, bool):
         same = (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == default)
-    elif isinstance(default, (int, float)):
-        same = (kind.rlike("^(BIGINT|DOUBLE|DECIMAL)")) & (number == float(default))
+    elif isinstance(default, int):
+        whole = F.lit(str(default)).cast("decimal(38,0)")
+        exact = F.try_variant_get(value, "$", "decimal(38,0)") == whole
+        # a fraction would be rounded to the whole number, so both forms have to agree
+        same = (kind.rlike("^(BIGINT|DECIMAL)") & exact & (number == float(default))) | (
+            (kind == "DOUBLE") & (number == float(default))
+        )
+    elif isinstance(default, float):
+        same = (kind.rlike("^(BIGINT|DOUBLE|DECIMAL)")) & (number == default)
     elif isinstance(default, str):
         same = (kind == "STRING") & (F.try_variant_get(value, "$", "string") == default)
     elif default is None:

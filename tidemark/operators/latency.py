@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import MICROS, micros
@@ -27,15 +27,15 @@ def mean_duration(df: DataFrame, by: list[str], seconds: str) -> DataFrame:
 
 
 def latency_histogram(df: DataFrame, edges: list[float], seconds: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows per bucket (``le`` = upper edge, infinity last) and cumulative; rows without a value are
-    left out. The running total goes over the few buckets, never over rows."""
-    le = F.lit(float("inf"))
-    for edge in sorted(edges, reverse=True):
-        le = F.when(F.col(seconds) <= edge, F.lit(float(edge))).otherwise(le)
-    counts = (
-        df.filter(F.col(seconds).isNotNull())
-        .groupBy(*by, le.alias("le"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy(*by).orderBy("le")
-    return counts.withColumn("cumulative", F.sum("n").over(upto))
+    """Rows per bucket (``le`` = upper edge, infinity last) and cumulative, empty buckets included for every group;
+    rows without a value count for no bucket. One counter per bucket, combined before the shuffle."""
+    uppers = [*sorted(map(float, edges)), float("inf")]
+    below = [F.count_if(F.col(seconds) <= upper).alias(f"__{i}") for i, upper in enumerate(uppers)]
+    upto = df.groupBy(*by).agg(*below)
+    buckets = []
+    for i, upper in enumerate(uppers):
+        n = F.col(f"__{i}") - (F.col(f"__{i - 1}") if i else F.lit(0))
+        buckets.append(
+            F.struct(F.lit(upper).alias("le"), n.alias("n"), F.col(f"__{i}").alias("cumulative"))
+        )
+    return upto.select(*by, F.inline(F.array(*buckets)))

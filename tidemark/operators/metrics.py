@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.series import MICROS, micros, percent, step_start, whole_match
+from tidemark.functions.series import MICROS, finite, micros, percent, step_start, whole_match
+from tidemark.operators.joins import explode_steps
 from tidemark.operators.ordered import ROWS_PER_PIECE, Ordered, ordered
 
 SERIES = ("metric", "series")
@@ -44,9 +45,11 @@ def _deltas(df: DataFrame, by, ts: str, value: str, rows: int) -> Ordered:
     """Per sample: the counter's growth since the sample before it.
 
     A value below the previous one means the counter restarted from 0, so the growth is the value
-    itself. The first sample of a series has no growth (null).
+    itself. The first sample of a series has no growth (null). Values that are null, NaN or infinite are
+    missing samples.
     """
     samples = df.select(*by, micros(F.col(ts)).alias("us"), F.col(value).alias("value"))
+    samples = samples.filter(finite(F.col("value").cast("double")))
     scan = ordered(samples, list(by), "us", ["value"], rows).previous(before="value")
     grown = F.when(F.col("value") < F.col("before"), F.col("value")).otherwise(
         F.col("value") - F.col("before")
@@ -65,20 +68,22 @@ def counter_rate(
     """Growth over the trailing window ``(t - w, t]`` and per second, at each sample.
 
     Each growth enters the running sum at its own time and leaves it one window later, so one ordered
-    pass serves a window of any length (a sliding frame would add up every window again).
+    pass serves a window of any length (a sliding frame would add up every window again). The sum is one of decimals
+    with nine places, so what leaves is exactly what entered; growths of 1e19 and more are left out.
     """
     scan = _deltas(df, by, ts, value, rows)
+    exact = F.col("delta").try_cast("decimal(28,9)")
     moves = F.array(
-        F.struct(F.col("us").alias("at"), F.col("delta").alias("move"), F.lit(True).alias("sample")),
+        F.struct(F.col("us").alias("at"), exact.alias("move"), F.lit(True).alias("sample")),
         F.struct(
             (F.col("us") + window_s * MICROS).alias("at"),
-            (-F.col("delta")).alias("move"),
+            (-exact).alias("move"),
             F.lit(False).alias("sample"),
         ),
     )
     timeline = scan.rearranged(lambda rows: rows.drop("reset").select("*", F.inline(moves)), "at")
     summed = timeline.running_sum("move", "total").done()
-    increase = F.when(F.col("delta").isNotNull(), F.round("total", 6))
+    increase = F.when(F.col("delta").isNotNull(), F.round("total", 6).cast("double"))
     return summed.filter("sample").select(
         *by,
         "us",
@@ -275,6 +280,6 @@ def scrape_gaps(df, step_s: int, by=SERIES, ts="ts", rows=ROWS_PER_PIECE) -> Dat
 
 def missing_steps(gaps: DataFrame, step_s: int, by=SERIES) -> DataFrame:
     """One row per missing step of the gaps."""
-    step = F.lit(step_s * MICROS)
-    inside = F.sequence(F.col("last_seen_us") + step, F.col("seen_again_us") - step, step)
-    return gaps.select(*by, F.explode(inside).alias("step_us"))
+    step = step_s * MICROS
+    first, last = F.col("last_seen_us") + step, F.col("seen_again_us") - step
+    return explode_steps(gaps, first, last, step, "step_us").select(*by, "step_us")

@@ -17,11 +17,19 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import BROADCAST_ROWS, null_safe_join
+from tidemark.operators.joins import BROADCAST_BYTES, null_safe_join
 from tidemark.session import use_checkpoint_dir
 
+#: A key of more rows is scanned in pieces of about this size; results are the same on either side of it.
 ROWS_PER_PIECE = 5_000_000
-MAX_PIECES = 10_000
+#: Pieces that one round of cutting makes of a key; larger pieces are cut again.
+FANOUT = 1000
+#: Rows that a cut point rests on: cuts come from a sample, so no task merges digests of all rows of a key.
+ROWS_PER_CUT = 200
+
+#: What a row of keys takes in a broadcast, by estimate.
+KEY_BYTES = 200
+SEED = 29
 
 PIECE = "__piece"
 _CUTS = "__cuts"
@@ -37,6 +45,7 @@ class Cuts:
     df: DataFrame
     longest: int
     few: bool
+    again: bool
 
 
 def _find_cuts(df: DataFrame, keys: list[str], order: str, rows: int) -> Cuts | None:
@@ -46,18 +55,21 @@ def _find_cuts(df: DataFrame, keys: list[str], order: str, rows: int) -> Cuts |
     if not hot_keys:
         return None
     use_checkpoint_dir(df.sparkSession)
-    pieces = min(MAX_PIECES, math.ceil(peak / rows))
+    wanted = math.ceil(peak / rows)
+    pieces = min(FANOUT, wanted)
     shares = [i / pieces for i in range(1, pieces)]
-    hot_rows = null_safe_join(
-        df.select(*keys, order), hot, keys, "left_semi", small=hot_keys <= BROADCAST_ROWS
-    )
+    few = hot_keys * KEY_BYTES <= BROADCAST_BYTES
+    hot_rows = null_safe_join(df.select(*keys, order), hot, keys, "inner", small=few)
+    # a key of n rows needs n / rows cuts, each resting on some hundred rows; cuts never change a result
+    chance = F.lit(float(ROWS_PER_CUT)) / F.least(F.lit(float(rows)), F.col(_N) / pieces)
+    drawn = hot_rows.filter(F.rand(SEED) < chance)
     # A key needs only n / rows pieces: keep every stride-th quantile, so that the number of
     # cuts over all keys stays below 2 * (all rows / rows per piece).
     stride = F.greatest(F.lit(1), F.floor(F.lit(pieces) * F.lit(rows) / F.col(_N))).cast("int")
     cuts = (
-        hot_rows.groupBy(*keys)
+        drawn.groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).alias(_N),
+            F.max(_N).alias(_N),
             F.percentile_approx(order, shares, max(10_000, 20 * pieces)).alias(_CUTS),
         )
         .withColumn("__stride", stride)
@@ -67,14 +79,18 @@ def _find_cuts(df: DataFrame, keys: list[str], order: str, rows: int) -> Cuts |
                 F.filter(_CUTS, lambda _, i: (i + 1) % F.col("__stride") == 0)
             ).alias(_CUTS),
         )
-        .checkpoint()
     )
+    # a hot key the sample missed has no cuts and is one piece
+    cuts = null_safe_join(hot.select(*keys), cuts, keys, "left", small=few)
+    cuts = cuts.withColumn(_CUTS, F.coalesce(_CUTS, F.array().cast(cuts.schema[_CUTS].dataType)))
+    cuts = cuts.checkpoint()
     total, longest = cuts.agg(F.sum(F.size(_CUTS)), F.max(F.size(_CUTS))).first()
-    return Cuts(cuts, longest, total + hot_keys <= BROADCAST_ROWS)
+    few = hot_keys * KEY_BYTES + total * 8 <= BROADCAST_BYTES
+    return Cuts(cuts, longest, few, wanted > FANOUT)
 
 
 def _piece_number(order: str, longest: int) -> Column:
-    """How many cuts lie below the row: binary search in the sorted cut array."""
+    """How many cuts lie below the row: binary search in the sorted cut array; null without one."""
     steps = [1 << b for b in reversed(range(max(1, longest).bit_length()))]
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
@@ -95,6 +111,7 @@ class Ordered:
     split: bool = False
     cuts: Cuts | None = None
     rest: Ordered | None = None
+    rows: int = ROWS_PER_PIECE
 
     def window(self):
         group = [*self.keys, PIECE] if self.split else self.keys
@@ -105,12 +122,18 @@ class Ordered:
         return self._next(change(self.df), self.rest and self.rest.map(change))
 
     def rearranged(self, change: Callable[[DataFrame], DataFrame], order: str) -> Ordered:
-        """Other rows of the same keys, ordered by another column and cut at the same points."""
+        """Other rows of the same keys, ordered by another column. The hot keys' rows are written once and cut again
+        in the new order, as the old cuts need not part it evenly."""
         rest = self.rest and self.rest.rearranged(change, order)
         if self.cuts is None:
             return replace(self, df=change(self.df), order=order, ties=(), rest=rest)
-        rows = change(self.df).drop(PIECE)
-        return replace(_in_pieces(rows, self.keys, order, (), self.cuts), rest=rest)
+        use_checkpoint_dir(self.df.sparkSession)
+        rows = change(self.df).drop(PIECE).checkpoint()
+        fresh = ordered(rows, list(self.keys), order, rows=self.rows)
+        if not fresh.split:
+            return replace(rest, df=rest.df.unionByName(fresh.df))
+        plain = replace(rest, df=rest.df.unionByName(fresh.rest.df))
+        return replace(fresh, rest=plain)
 
     def done(self) -> DataFrame:
         rows = self.df.drop(PIECE)
@@ -197,13 +220,23 @@ class Ordered:
         return self._next(out.withColumn(new, F.coalesce(new, _CARRY)).drop(_CARRY), rest)
 
 
-def _in_pieces(df, keys, order, ties, cuts: Cuts) -> Ordered:
+def _in_pieces(df, keys, order, ties, cuts: Cuts, rows: int) -> Ordered:
+    keys = list(keys)
     placed = (
-        null_safe_join(df, cuts.df, list(keys), "inner", small=cuts.few)
+        null_safe_join(df, cuts.df, keys, "inner", small=cuts.few)
         .withColumn(PIECE, _piece_number(order, cuts.longest))
         .drop(_CUTS)
     )
-    return Ordered(placed, tuple(keys), order, tuple(ties), split=True, cuts=cuts)
+    again = cuts.again
+    while again:
+        finer = _find_cuts(placed, [*keys, PIECE], order, rows)
+        if finer is None:
+            break
+        again = finer.again
+        inside = null_safe_join(placed, finer.df, [*keys, PIECE], "left", small=finer.few)
+        number = F.coalesce(_piece_number(order, finer.longest), F.lit(0))
+        placed = inside.withColumn(PIECE, F.col(PIECE).cast("bigint") * FANOUT + number).drop(_CUTS)
+    return Ordered(placed, tuple(keys), order, tuple(ties), split=True, cuts=cuts, rows=rows)
 
 
 def ordered(
@@ -219,10 +252,10 @@ def ordered(
     """
     cuts = _find_cuts(df, list(keys), order, rows)
     if cuts is None:
-        return Ordered(df, tuple(keys), order, tuple(ties))
+        return Ordered(df, tuple(keys), order, tuple(ties), rows=rows)
     others = null_safe_join(df, cuts.df.select(*keys), list(keys), "left_anti", small=cuts.few)
-    rest = Ordered(others, tuple(keys), order, tuple(ties))
-    return replace(_in_pieces(df, keys, order, ties, cuts), rest=rest)
+    rest = Ordered(others, tuple(keys), order, tuple(ties), rows=rows)
+    return replace(_in_pieces(df, keys, order, ties, cuts, rows), rest=rest)
 
 
 def ordered_in_pieces(

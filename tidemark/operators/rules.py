@@ -143,24 +143,39 @@ def component_alerts(
     step_s: int,
     start_us: int,
     end_us: int,
-    pct: float = alerts.DEFAULT_PCT,
+    cpu_pct: float = alerts.DEFAULT_PCT,
+    memory_pct: float = alerts.DEFAULT_PCT,
     window_s: int = RATE_WINDOW_S,
+    service: str | None = None,
 ) -> DataFrame:
-    """All rules of all components: ``alert, severity, namespace, step_us`` for every firing step."""
+    """All rules of all components: ``alert, severity, namespace, service, step_us`` for every firing step that
+    starts within ``[start_us, end_us)``, the step of ``start_us`` included.
+
+    Only samples of the range are read, and one window before it for the rates. ``service`` names the installation
+    and is a label of every alert.
+    """
+    first = start_us - start_us % (step_s * MICROS)
+
+    def between(low_us: int) -> DataFrame:
+        low, high = (F.timestamp_micros(F.lit(us).cast("bigint")) for us in (low_us, end_us))
+        return samples.filter((F.col("ts") >= low) & (F.col("ts") < high))
+
+    inside = between(first)
     rules = {
-        "CPUUsage": cpu_high(samples, components, step_s, pct, window_s),
-        "MemoryUsage": memory_high(samples, components, step_s, pct),
-        "IsDegraded": is_degraded(samples, components, step_s),
-        "IsDown": is_down(samples, components, step_s, start_us, end_us),
+        "CPUUsage": cpu_high(between(first - window_s * MICROS), components, step_s, cpu_pct, window_s),
+        "MemoryUsage": memory_high(inside, components, step_s, memory_pct),
+        "IsDegraded": is_degraded(inside, components, step_s),
+        "IsDown": is_down(inside, components, step_s, start_us, end_us),
     }
     namespace = F.coalesce(
         *[F.when(F.col("component") == k, F.lit(c.namespace)) for k, c in components.items()]
     )
     found = [
-        rows.select(
+        rows.filter(F.col("step_us") >= first).select(
             F.concat(F.col("component"), F.lit(rule)).alias("alert"),
             "severity",
             namespace.alias("namespace"),
+            F.lit(service).cast("string").alias("service"),
             "step_us",
         )
         for rule, rows in rules.items()

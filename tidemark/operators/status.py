@@ -87,7 +87,8 @@ def retry_report(
     """Failed attempts per application and kind against the allowed retries and their spacing.
 
     ``attempts`` holds one row per failure with ``kind`` (``run`` or ``submit``); ``policy`` one row
-    per application and kind with ``max_retries`` and ``gap_s``. A first attempt is no retry.
+    per application and kind with ``max_retries`` (0: never) and ``gap_s``. A first attempt is no retry. Where no policy
+    is known, ``over_budget`` and ``too_fast`` are null; ``too_fast`` is false where no gap is asked for.
     """
     us = attempts.select(by, "kind", micros(F.col(ts)).alias("us"))
     spaced = ordered(us, [by, "kind"], "us", rows=rows).previous(before="us").done()
@@ -100,6 +101,8 @@ def retry_report(
         "kind",
         "failures",
         "min_gap_s",
-        F.coalesce(F.col("failures") > F.col("max_retries") + 1, F.lit(False)).alias("over_budget"),
-        F.coalesce(F.col("min_gap_s") < F.col("gap_s"), F.lit(False)).alias("too_fast"),
+        (F.col("failures") > F.col("max_retries") + 1).alias("over_budget"),
+        F.when(
+            F.col("max_retries").isNotNull(), F.coalesce(F.col("min_gap_s") < F.col("gap_s"), F.lit(False))
+        ).alias("too_fast"),
     )
