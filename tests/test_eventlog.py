@@ -66,6 +66,19 @@ def test_sql_summary(events):
     assert got.filter("state = 'FAILED'").first().error
 
 
+def test_executors_that_ended(spark):
+    import json
+
+    events = [
+        {"Event": ev.EXECUTOR_ADDED, "Timestamp": 5, "Executor ID": "1", "Executor Info": {"Host": "h", "Total Cores": 2}},
+        {"Event": ev.EXECUTOR_ADDED, "Timestamp": 6, "Executor ID": "2", "Executor Info": {"Host": "h", "Total Cores": 2}},
+        {"Event": ev.EXECUTOR_REMOVED, "Timestamp": 9, "Executor ID": "1", "Removed Reason": "lost"},
+    ]
+    lines = spark.createDataFrame([("a", json.dumps(e)) for e in events], "app string, value string")
+    got = {r.executor: (r.host, r.added_ms, r.removed_ms, r.reason, r.tasks) for r in ev.executor_summary(lines).collect()}
+    assert got == {"1": ("h", 5, 9, "lost", 0), "2": ("h", 6, None, None, 0)}
+
+
 def test_retention(spark):
     rows = [("a", n) for n in range(1, 8)] + [("b", 1)]
     files = spark.createDataFrame(rows, "app string, seq bigint")

@@ -56,6 +56,51 @@ def test_retag(spark):
     assert {r.image_ref for r in got if r.changed} == {"r.io:5000/app:1", "plain:6"}
 
 
+def test_retag_nodes(spark):
+    releases = spark.createDataFrame([("r.io:5000/team/app:2",), ("tool:7",)], "image_ref string")
+    rows = [
+        (1, ("r.io:5000/team/app", None, "1")),
+        (2, ("r.io:5000/", "/team/app", "1")),
+        (3, (None, "tool", "6")),
+        (4, ("r.io:5000", "tool", "6")),
+        (5, ("r.io:5000", "team/app", "2")),
+        (6, ("r.io:5000", "team/app", None)),
+        (7, ("x.io", "other", "1")),
+        (8, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, image struct<registry:string,repository:string,tag:string>")
+    got = {r.id: (r.image and r.image.tag, r.changed) for r in fleet.retag_nodes(df, releases).collect()}
+    assert got == {
+        1: ("2", True),
+        2: ("2", True),
+        3: ("7", True),
+        4: ("7", True),
+        5: ("2", False),
+        6: (None, False),
+        7: ("1", False),
+        8: (None, False),
+    }
+
+
+def test_spark_memory(spark):
+    raw = ["512m", "1g", "2G", "600", "10kb", "1t", "7b", "1.5g", "", "5Gi", None, "-1m"]
+    got = column(spark, raw, ff.spark_memory)
+    want = [512 * 2**20, 2**30, 2**31, 600 * 2**20, 10 * 2**10, 2**40, 7, None, None, None, None, None]
+    assert got == [None if w is None else Decimal(w) for w in want]
+
+
+def test_whole_numbers_compare_exactly(spark):
+    schema = {"properties": {"n": {"default": 9_007_199_254_740_992}, "m": {"default": 1}, "f": {"default": 0.5}}}
+
+    def found(text):
+        df = spark.createDataFrame([("d", text)], "doc_id string, json string")
+        return {r.path for r in fleet.config_drift(df, schema).collect()}
+
+    assert found('{"n": 9007199254740992, "m": 1.0, "f": 0.5}') == set()
+    assert found('{"n": 9007199254740993, "m": 1.5, "f": 1}') == {"n", "m", "f"}
+    assert found('{"n": 123456789012345678901234567890, "m": 1e0}') == {"n"}
+
+
 SCHEMA = {
     "properties": {
         "n": {"default": 1},

@@ -58,8 +58,8 @@ def test_shuffles_follow_the_input(spark):
     fresh.conf.set("spark.sql.shuffle.partitions", "200")
     assert size_shuffles(fresh, 10**9) == 200
     assert size_shuffles(fresh, 10**12) == 3726
-    assert size_shuffles(fresh, 10**14) == 20_000
-    assert fresh.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "20000"
+    assert size_shuffles(fresh, 10**14) == 372_530
+    assert fresh.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "372530"
 
 
 def test_unknown_job():

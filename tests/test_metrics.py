@@ -57,6 +57,49 @@ def test_hot_series_keeps_its_rates(spark, limit):
     assert gaps[0] == gaps[1] and gaps[0]
 
 
+@pytest.mark.parametrize("share", [0.01, 0.5, 1.0, 5.0])
+def test_pieces_of_any_window(spark, monkeypatch, share):
+    """One series of many samples: no piece of the rate's timeline holds more than twice the limit."""
+    from tidemark.operators import ordered as scans
+
+    made = []
+    place = scans._in_pieces
+
+    def watched(*args):
+        made.append(place(*args))
+        return made[-1]
+
+    monkeypatch.setattr(scans, "_in_pieces", watched)
+    n, limit = 10_000, 500
+    df = spark.range(n).select(
+        F.lit("m").alias("metric"),
+        F.lit("hot").alias("series"),
+        F.timestamp_seconds(BASE + F.col("id") * 5).alias("ts"),
+        (F.col("id") % 97).cast("double").alias("value"),
+    )
+    window = int(n * 5 * share)
+    split = sorted(map(tuple, metrics.counter_rate(df, window, rows=limit).collect()))
+    largest = [m.df.groupBy(scans.PIECE).count().agg(F.max("count")).first()[0] for m in made]
+    assert len(largest) == 2 and max(largest) <= 2 * limit
+    assert split == sorted(map(tuple, metrics.counter_rate(df, window).collect()))
+
+
+def test_rates_recover_from_odd_samples(spark):
+    """NaN, infinite and null samples are missing ones; what enters the sum leaves it exactly."""
+    odd = [0.0, 1.0, 2.0, float("nan"), 4.0, float("inf"), 6.0, None, 8.0, 9.0]
+    got = by_time(metrics.counter_rate(samples(spark, odd), 60), "increase")
+    assert got == [(None,), (1.0,), (2.0,), (2.0,), (2.0,), (2.0,), (3.0,)]
+    large = [0.0, 1e15, 1e15 + 0.25, 1e15 + 0.5, 1e15 + 0.75]
+    assert by_time(metrics.counter_rate(samples(spark, large), 30), "increase")[2:] == [(0.25,)] * 3
+
+
+def test_a_year_of_steps(spark):
+    """Steps of 5 s over a year come in stretches, not in one value."""
+    df = spark.createDataFrame([("m", "a", 0, 5 * 6_307_200 * 1_000_000)], "metric string, series string, last_seen_us bigint, seen_again_us bigint")
+    steps = metrics.missing_steps(df, 5)
+    assert steps.agg(F.count("*"), F.min("step_us"), F.max("step_us")).first() == (6_307_199, 5_000_000, 5 * 6_307_199 * 1_000_000)
+
+
 def test_matchers(spark):
     df = spark.createDataFrame(
         [
@@ -103,11 +146,14 @@ def test_states_and_episodes(spark):
     states = alerts.alert_states(hits, grid, ["metric"])
     got = [r.state[0] for r in states.orderBy("step_us").collect()]
     assert "".join(got) == "iffifii"
+    last = (BASE + 6 * 60) // 60 * 60 * 1_000_000
     for limit in (100, 2):
-        changes = alerts.alert_transitions(states, ["metric"], rows=limit).orderBy("step_us")
+        changes = alerts.alert_transitions(hits, ["metric"], 60, last, rows=limit).orderBy("step_us")
         assert [r.to_state for r in changes.collect()] == ["firing", "inactive"] * 2
-        runs = alerts.alert_episodes(states, ["metric"], rows=limit).orderBy("start_us").collect()
+        runs = alerts.alert_episodes(hits, ["metric"], 60, rows=limit).orderBy("start_us").collect()
         assert [(r.steps, r.seconds) for r in runs] == [(2, 60.0), (1, 0.0)]
+    cut = alerts.alert_transitions(hits, ["metric"], 60, last - 2 * 60_000_000)
+    assert [r.to_state for r in cut.orderBy("step_us").collect()] == ["firing", "inactive", "firing"]
     none = alerts.evaluation_grid(df.limit(0), 60, ["metric"])
     assert none.count() == 0
 
@@ -197,4 +243,4 @@ def test_durations(spark):
     got = {r.outcome: (r.mean_s, r.n) for r in latency.mean_duration(runs, ["outcome"], "run_s").collect()}
     assert got == {"ok": (12.5, 2), "failed": (None, 0)}
     buckets = latency.latency_histogram(runs, [10, 5], "latency_s").orderBy("le").collect()
-    assert [(r.le, r.n, r.cumulative) for r in buckets] == [(5.0, 2, 2), (float("inf"), 1, 3)]
+    assert [(r.le, r.n, r.cumulative) for r in buckets] == [(5.0, 2, 2), (10.0, 0, 2), (float("inf"), 1, 3)]

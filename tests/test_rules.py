@@ -56,11 +56,25 @@ def test_all_rules(spark):
         ("ControllerIsDown", "critical"): {1, 2},
         ("WebhookIsDegraded", "high"): {3},
     }
-    grid = alerts.evaluation_grid(frame(spark, rows).withColumn("alert", F.lit("ControllerIsDown")), 60, ["alert"])
-    runs = alerts.alert_episodes(alerts.alert_states(found.filter("alert = 'ControllerIsDown'"), grid, ["alert"]), ["alert"])
+    runs = alerts.alert_episodes(found.filter("alert = 'ControllerIsDown'"), ["alert"], 60)
     assert [(r.steps, r.seconds) for r in runs.collect()] == [(2, 60.0)]
 
 
+def test_range_thresholds_and_service(spark):
+    rows = component_rows("controller", [0.0, 28.0, 56.0, 84.0], [50.0, 91.0, 90.5, 95.0], [1.0, 1.0, 1.0, 1.0], [None] * 4)
+    start, end = (BASE + 60) * 1_000_000, (BASE + 180) * 1_000_000
+    found = rules.component_alerts(
+        frame(spark, rows), {"Controller": CONTROLLER}, 60, start, end, cpu_pct=95, memory_pct=90.7, service="release"
+    ).collect()
+    assert {r.service for r in found} == {"release"}
+    got = {}
+    for r in found:
+        got.setdefault(r.alert, set()).add((r.step_us // 1_000_000 - BASE) // 60)
+    assert got == {"ControllerMemoryUsage": {1}, "ControllerIsDegraded": {1, 2}, "ControllerIsDown": {1, 2}}
+    lower = rules.component_alerts(frame(spark, rows), {"Controller": CONTROLLER}, 60, start, end, cpu_pct=90)
+    assert {(r.step_us // 1_000_000 - BASE) // 60 for r in lower.filter("alert = 'ControllerCPUUsage'").collect()} == {1, 2}
+
+
 def test_without_samples_everything_is_down(spark):
     start, end = BASE * 1_000_000, (BASE + 120) * 1_000_000
     found = rules.component_alerts(frame(spark, []), {"Controller": CONTROLLER}, 60, start, end)

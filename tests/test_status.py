@@ -70,11 +70,12 @@ def test_pods(spark):
 def test_retries(spark, limit):
     rows = [("a", "run", n * 10) for n in range(5)] + [("b", "run", n * 4) for n in range(3)]
     rows += [("c", "submit", 0), ("free", "run", 0), ("free", "run", 1)]
+    rows += [("never", "run", 0), ("never", "run", 5), ("once", "run", 0)]
     attempts = spark.createDataFrame(rows, "app string, kind string, s bigint").withColumn(
         "ts", F.timestamp_seconds("s")
     )
     policy = spark.createDataFrame(
-        [("a", "run", 3, 10), ("b", "run", 3, 10), ("c", "submit", 5, 20), ("never", "run", 0, 0)],
+        [("a", "run", 3, 10), ("b", "run", 3, 10), ("c", "submit", 5, 20), ("never", "run", 0, None), ("once", "run", 0, None)],
         "app string, kind string, max_retries int, gap_s int",
     )
     got = {
@@ -85,5 +86,7 @@ def test_retries(spark, limit):
         "a": (5, 10.0, True, False),
         "b": (3, 4.0, False, True),
         "c": (1, None, False, False),
-        "free": (2, 1.0, False, False),
+        "free": (2, 1.0, None, None),
+        "never": (2, 5.0, True, False),
+        "once": (1, None, False, False),
     }

@@ -13,6 +13,7 @@ from tidemark.functions.series import micros
 from tidemark.operators import eventlog as ev
 from tidemark.operators import rules
 from tidemark.operators.ordered import ordered
+from tidemark.session import size_shuffles, table_bytes
 from tidemark.sources.basic import spread
 
 TABLES = (
@@ -23,7 +24,10 @@ WEEK_US = 7 * 86_400 * 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; shuffles start out wide enough for it."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size_shuffles(spark, table_bytes(rows))
+    return rows
 
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
@@ -245,11 +249,12 @@ def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def executor_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task log and one line per executor, which is added with its first task."""
+    """Task log and a line for each executor, which is added with its first task; even ones are removed an hour after
+    their last."""
     started = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_suppkey", (F.col("l_partkey") % 10).alias("executor"))
-        .agg(F.min("l_shipdate").alias("since"))
+        .agg(F.min("l_shipdate").alias("since"), F.max("l_shipdate").alias("until"))
     )
     added = _event(
         ev.EXECUTOR_ADDED,
@@ -260,7 +265,14 @@ def executor_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("executor") % 4 + 1).alias("Total Cores"),
         ),
     )
-    return _lines(started, F.col("l_suppkey"), added).unionByName(task_log(spark, sf_dir))
+    removed = _event(
+        ev.EXECUTOR_REMOVED,
+        Timestamp=_ms("until") + 3_600_000,
+        Executor_ID=F.col("executor").cast("string"),
+        Removed_Reason=F.lit("idle"),
+    )
+    gone = F.when(F.col("executor") % 2 == 0, removed)
+    return _lines(started, F.col("l_suppkey"), added, gone).unionByName(task_log(spark, sf_dir))
 
 
 def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,7 +343,7 @@ def batch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rule = F.lit("-------------------------------------------")
     header = F.concat(F.lit("Time: "), (F.col("hour") * 3_600_000).cast("string"), F.lit(" ms"))
-    ending = F.lit("24/01/01 00:00:00 INFO JobScheduler: Finished job streaming job")
+    ending = F.lit("24/01/01 00:00:00 INFO Batches: all rows are out")
     frame = F.array(
         F.struct(F.lit(0).alias("at"), rule.alias("value")),
         F.struct(F.lit(1).alias("at"), header.alias("value")),
@@ -358,12 +370,12 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def instant(ts: Column, clock: str) -> Column:
         text = F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        return F.concat(text, F.lit("417 +0000 UTC m=+"), F.lit(clock))
+        return F.concat(text, F.lit("808 +0000 UTC m=+"), F.lit(clock))
 
     login = F.concat(
         F.lit("10.0.0."),
         (F.col("event_id") % 250).cast("string"),
-        F.lit(":35528 - s"),
+        F.lit(":40404 - s"),
         event,
         F.lit(" - "),
         user,
@@ -374,9 +386,9 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" user:u"),
         event,
         F.lit(" token:true id_token:true created:"),
-        instant(at, "59642.43"),
+        instant(at, "12.5"),
         F.lit(" expires:"),
-        instant(expires, "60542.34"),
+        instant(expires, "72.75"),
         F.lit(" refresh_token:true groups:[role:all role:g"),
         (F.col("user_id") % 7).cast("string"),
         F.lit("]}."),
@@ -398,6 +410,31 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select(line.alias("value"))
 
 
+def application_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as metrics of nine kinds, one for each section of the dashboard."""
+    name = F.element_at(F.array(*[F.lit(n) for n in METRIC_NAMES.values()]), (F.col("l_orderkey") % 9 + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("app"),
+        (F.col("l_partkey") % 4).alias("executor"),
+        name.alias("metric"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("bigint")).alias("ts"),
+        F.col("l_quantity").alias("value"),
+    )
+
+
+METRIC_NAMES = {
+    "tasks": "metrics_executor_doneTasks",
+    "memory": "metrics_executor_heapMemory",
+    "gc": "metrics_executor_gcSeconds",
+    "cores_disk": "metrics_executor_allCores",
+    "block_manager": "a_driver_BlockManager_blocks",
+    "dag_scheduler": "a_driver_DAGScheduler_waiting",
+    "cpu": "a_driver_cpuSeconds",
+    "streaming": "a_driver_streamingRows",
+    "listener_bus": "a_driver_LiveListenerBus_events",
+}
+
+
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as pods: phase by key, one in three of the pending ones waits in the queue."""
     key = F.col("c_custkey")
@@ -440,21 +477,24 @@ def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retry_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """3 retries after a failure, 5 after a failed submission; one application in three has none."""
-    rule = F.array(
-        F.struct(
-            F.lit("run").alias("kind"), F.lit(3).alias("max_retries"), F.lit(1800).alias("gap_s")
-        ),
-        F.struct(
-            F.lit("submit").alias("kind"), F.lit(5).alias("max_retries"), F.lit(3600).alias("gap_s")
-        ),
-    )
+    """Of three applications one has no policy, one retries on failure (3 times, 5 after a failed submission) and one
+    never."""
+
+    def rule(kind: str, retries: int, gap_s: int) -> Column:
+        tries = F.col("app") % 3 == 1
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            F.when(tries, retries).otherwise(0).alias("max_retries"),
+            F.when(tries, gap_s).alias("gap_s"),
+        )
+
+    rules_ = F.array(rule("run", 3, 1800), rule("submit", 5, 3600))
     return (
         table(spark, sf_dir, "events")
         .filter(F.col("user_id") % 3 != 0)
         .select(F.col("user_id").alias("app"))
         .distinct()
-        .select("app", F.explode(rule).alias("r"))
+        .select("app", F.explode(rules_).alias("r"))
         .select("app", "r.*")
     )
 
@@ -533,6 +573,7 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONFIG_SCHEMA = {
     "properties": {
         "size": {"type": "integer", "default": 10},
+        "serial": {"type": "integer", "default": 9_007_199_254_740_992},
         "meta": {
             "properties": {
                 "brand": {"default": "Brand#2"},
@@ -549,6 +590,7 @@ def config_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     document = F.to_json(
         F.struct(
             F.col("p_size").alias("size"),
+            (F.lit(9_007_199_254_740_992) + F.col("p_partkey") % 2).alias("serial"),
             F.struct(F.col("p_brand").alias("brand"), F.col("p_type").alias("kind")).alias("meta"),
             F.array(
                 F.struct((F.col("p_partkey") % 2).alias("tier")),
@@ -574,6 +616,38 @@ def raw_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MEMORY_SUFFIXES = ("m", "g", "k", "", "MB", "t", "b", "Gi", ".5g")
+
+
+def memory_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffix = F.element_at(
+        F.array(*[F.lit(s) for s in MEMORY_SUFFIXES]), (F.col("p_partkey") % len(MEMORY_SUFFIXES) + 1).cast("int")
+    )
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(F.col("p_size").cast("string"), suffix).alias("raw")
+    )
+
+
+def image_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in parts: registry and tag, all three, repository and tag, and one without a tag."""
+    brand = F.lower(F.regexp_replace("p_brand", "#", "-"))
+    size = F.col("p_size").cast("string")
+    which = F.col("p_partkey") % 4
+
+    def node(registry: Column, repository: Column, tag: Column) -> Column:
+        return F.struct(registry.alias("registry"), repository.alias("repository"), tag.alias("tag"))
+
+    none = F.lit(None).cast("string")
+    whole = F.concat(F.lit("registry.example:5000/team/"), brand)
+    image = (
+        F.when(which == 0, node(whole, none, size))
+        .when(which == 1, node(F.lit("registry.example:5000/"), F.concat(F.lit("/team/"), brand), size))
+        .when(which == 2, node(none, whole, size))
+        .otherwise(node(F.lit("registry.example:5000"), F.concat(F.lit("team/"), brand), none))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", image.alias("image"))
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     return table(spark, sf_dir, "part").select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans.inputs import SUFFIXES
+from tidemark.plans.inputs import MEMORY_SUFFIXES, METRIC_NAMES, SUFFIXES
 
 DAY_US = 86_400 * 1_000_000
 HOUR_US = 3_600 * 1_000_000
@@ -150,6 +150,15 @@ SELECT user_id AS app, event_id % 4 AS executor, event_type AS metric,
        count(*) AS samples
 FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1, 2, 3
 """
+_SECTIONS = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(METRIC_NAMES))
+_METRICS = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(METRIC_NAMES.values()))
+ORACLE["dashboard_rollup"] = f"""
+SELECT l_suppkey AS app, l_partkey % 4 AS executor, CASE l_orderkey % 9 {_METRICS} END AS metric,
+       CASE l_orderkey % 9 {_SECTIONS} END AS section,
+       arg_max(l_quantity, (l_orderkey * 8 + l_linenumber) * 100 + l_quantity) AS last_value, max(l_quantity) AS peak,
+       sum(l_quantity) AS total, count(*) AS samples
+FROM lineitem GROUP BY 1, 2, 3, 4
+"""
 ORACLE["variable_values"] = "SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL"
 ORACLE["scoped_samples"] = """
 SELECT event_id, event_type, value FROM events
@@ -211,15 +220,13 @@ SELECT metric, min(step_us) AS start_us, max(step_us) AS end_us, count(*) AS ste
 FROM runs WHERE state = 'firing' GROUP BY metric, run
 """
 ORACLE["degraded_orders"] = """
-SELECT l_orderkey, ready, wanted
-FROM (SELECT l_orderkey, count(*) FILTER (l_linestatus = 'F') AS ready FROM lineitem GROUP BY 1)
-JOIN (SELECT o_orderkey AS l_orderkey, o_orderkey % 4 AS wanted FROM orders WHERE o_orderstatus = 'F')
-  USING (l_orderkey)
+SELECT * FROM (SELECT l_orderkey, count(*) FILTER (l_linestatus = 'F') AS ready, count(*) AS wanted
+               FROM lineitem GROUP BY 1)
 WHERE ready < wanted
 """
-ORACLE["absent_nations"] = """
-SELECT n_nationkey, n_name FROM nation
-WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 8500)
+ORACLE["absent_lines"] = """
+SELECT o_orderkey AS l_orderkey, CAST(i AS INTEGER) AS l_linenumber FROM orders, range(1, 8) t(i)
+EXCEPT SELECT l_orderkey, l_linenumber FROM lineitem
 """
 ORACLE["reached_in_time"] = """
 SELECT user_id, start_us, reached_us, round((reached_us - start_us) / 1000000.0::DOUBLE, 6) AS seconds,
@@ -256,10 +263,12 @@ WHERE pct > 90
 
 ORACLE["component_alerts"] = f"""
 WITH e AS (
-  SELECT *, epoch_us(ts) AS us, epoch_us(ts) - epoch_us(ts) % {HOUR_US // 2} AS step_us,
-         CASE WHEN user_id % 2 = 0 THEN 'Controller' ELSE 'Webhook' END AS component,
-         user_id % 11 <> 0 AND user_id % 7 <> 0 AS counted
-  FROM events),
+  SELECT * FROM (
+    SELECT *, epoch_us(ts) AS us, epoch_us(ts) - epoch_us(ts) % {HOUR_US // 2} AS step_us,
+           CASE WHEN user_id % 2 = 0 THEN 'Controller' ELSE 'Webhook' END AS component,
+           user_id % 11 <> 0 AND user_id % 7 <> 0 AS counted
+    FROM events)
+  WHERE us >= {1_704_499_200_000_000 - DAY_US} AND us < 1706313600000000),
 growth AS (
   SELECT *, CASE WHEN value < before THEN value ELSE value - before END AS delta
   FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY us) AS before
@@ -282,7 +291,7 @@ memory AS (
      WHERE event_type = 'purchase' AND counted GROUP BY 1, 2)
     JOIN (SELECT component, step_us, max(value) AS lim FROM e
           WHERE event_type = 'view' GROUP BY 1, 2) USING (component, step_us)
-  WHERE used / nullif(lim, 0) * 100.0::DOUBLE > 90),
+  WHERE used / nullif(lim, 0) * 100.0::DOUBLE > 80),
 low AS (
   SELECT DISTINCT component, step_us FROM
     (SELECT component, user_id, step_us, arg_max(event_id % 3, us) AS ready
@@ -291,38 +300,54 @@ low AS (
 steps AS (
   SELECT component, step_us
   FROM (VALUES ('Controller'), ('Webhook')) c(component),
-       (SELECT unnest(range(1704067200000000, 1706659200000000, {HOUR_US // 2})) AS step_us)),
+       (SELECT unnest(range(1704499200000000, 1706313600000000, {HOUR_US // 2})) AS step_us)),
 down AS (
   SELECT component, step_us FROM steps
   EXCEPT
   SELECT component, step_us FROM e WHERE event_type = 'error' AND event_id % 2 = 1)
-SELECT component || 'CPUUsage' AS alert, 'warning' AS severity, 'ns' AS namespace, step_us FROM cpu
-UNION ALL SELECT component || 'MemoryUsage', 'warning', 'ns', step_us FROM memory
-UNION ALL SELECT component || 'IsDegraded', 'high', 'ns', step_us FROM low
-UNION ALL SELECT component || 'IsDown', 'critical', 'ns', step_us FROM down
+SELECT alert, severity, 'ns' AS namespace, 'release' AS service, step_us FROM (
+  SELECT component || 'CPUUsage' AS alert, 'warning' AS severity, step_us FROM cpu
+  UNION ALL SELECT component || 'MemoryUsage', 'warning', step_us FROM memory
+  UNION ALL SELECT component || 'IsDegraded', 'high', step_us FROM low
+  UNION ALL SELECT component || 'IsDown', 'critical', step_us FROM down)
+WHERE step_us >= 1704499200000000
 """
 
 # --- durations -----------------------------------------------------------------------------------
 
 _RUNS = """
   runs AS (
-    SELECT o_orderstatus, (epoch_us(ended) - epoch_us(o_orderdate)) / 1000000.0::DOUBLE AS run_s
+    SELECT o_orderstatus, (epoch_us(ended) - epoch_us(o_orderdate)) / 1000000.0::DOUBLE AS run_s,
+           CASE WHEN o_orderkey % 50 <> 0 THEN (o_orderkey * 7919 % 14400)::DOUBLE END AS latency_s
     FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS ended FROM lineitem GROUP BY 1)
       ON o_orderkey = l_orderkey)
 """
 ORACLE["mean_durations"] = f"""
 WITH {_RUNS} SELECT o_orderstatus, round(avg(run_s), 3) AS mean_s, count(run_s) AS n FROM runs GROUP BY 1
 """
-_EDGES = [d * 86_400 for d in (-1000, -100, 0, 30, 365, 1000)]
-_LE = " ".join(f"WHEN run_s <= {e} THEN {e}" for e in _EDGES)
-ORACLE["latency_histogram"] = f"""
+ORACLE["start_latency"] = f"""
+WITH {_RUNS}
+SELECT o_orderstatus, round(avg(latency_s), 3) AS mean_s, count(latency_s) AS n FROM runs GROUP BY 1
+"""
+
+
+def _histogram(edges: list[int], seconds: str) -> str:
+    buckets = ", ".join(f"({i}, {e}::DOUBLE)" for i, e in enumerate(edges)) + f", ({len(edges)}, NULL)"
+    return f"""
 WITH {_RUNS},
+buckets AS (SELECT * FROM (VALUES {buckets}) b(i, le)),
 counted AS (
-  SELECT o_orderstatus, CAST(CASE {_LE} END AS DOUBLE) AS le, count(*) AS n FROM runs GROUP BY 1, 2)
-SELECT *, CAST(sum(n) OVER (PARTITION BY o_orderstatus ORDER BY le NULLS LAST) AS BIGINT) AS cumulative
+  SELECT o_orderstatus, i, le, count(*) FILTER ({seconds} <= coalesce(le, 'infinity'::DOUBLE)) AS cumulative
+  FROM runs, buckets GROUP BY 1, 2, 3)
+SELECT o_orderstatus, le, cumulative,
+       cumulative - coalesce(lag(cumulative) OVER (PARTITION BY o_orderstatus ORDER BY i), 0) AS n
 FROM counted
 """
 
+
+ORACLE["latency_histogram"] = _histogram([d * 86_400 for d in (-1000, -100, 0, 30, 365, 1000)], "run_s")
+ORACLE["start_latency_histogram"] = _histogram([60, 300, 900, 3600, 10_000, 14_400, 20_000], "latency_s")
+
 # --- event logs ----------------------------------------------------------------------------------
 
 ORACLE["eventlog_files"] = """
@@ -370,6 +395,8 @@ FROM g
 """
 ORACLE["executor_summary"] = """
 SELECT CAST(l_suppkey AS VARCHAR) AS app, CAST(x AS VARCHAR) AS executor, min(epoch_ms(l_shipdate)) AS added_ms,
+       CASE WHEN x % 2 = 0 THEN max(epoch_ms(l_shipdate)) + 3600000 END AS removed_ms,
+       CASE WHEN x % 2 = 0 THEN 'idle' END AS reason,
        'host-' || x AS host, x % 4 + 1 AS cores, count(*) AS tasks,
        count(*) FILTER (l_returnflag = 'R') AS failed, CAST(sum(q) * 900 AS BIGINT) AS run_ms,
        CAST(sum(q) * 10 AS BIGINT) AS gc_ms, CAST(sum(q) * 4096 AS BIGINT) AS input_bytes
@@ -497,8 +524,10 @@ WITH f AS (
 g AS (SELECT *, us - lag(us) OVER (PARTITION BY app, kind ORDER BY us) AS gap FROM f),
 t AS (SELECT app, kind, count(*) AS failures, min(gap) / 1000000.0::DOUBLE AS min_gap_s FROM g GROUP BY 1, 2)
 SELECT app, kind, failures, round(min_gap_s, 6) AS min_gap_s,
-       app % 3 <> 0 AND failures > CASE kind WHEN 'run' THEN 4 ELSE 6 END AS over_budget,
-       coalesce(app % 3 <> 0 AND min_gap_s < CASE kind WHEN 'run' THEN 1800 ELSE 3600 END, FALSE) AS too_fast
+       CASE app % 3 WHEN 1 THEN failures > CASE kind WHEN 'run' THEN 4 ELSE 6 END
+                    WHEN 2 THEN failures > 1 END AS over_budget,
+       CASE app % 3 WHEN 1 THEN coalesce(min_gap_s < CASE kind WHEN 'run' THEN 1800 ELSE 3600 END, FALSE)
+                    WHEN 2 THEN FALSE END AS too_fast
 FROM t
 """
 
@@ -556,6 +585,8 @@ ORACLE["config_drift"] = """
 SELECT p_partkey AS doc_id, 'size' AS path, '10' AS expected, CAST(p_size AS VARCHAR) AS actual
 FROM part WHERE p_size <> 10
 UNION ALL
+SELECT p_partkey, 'serial', '9007199254740992', '9007199254740993' FROM part WHERE p_partkey % 2 = 1
+UNION ALL
 SELECT p_partkey, 'meta.brand', '"Brand#2"', '"' || p_brand || '"' FROM part WHERE p_brand <> 'Brand#2'
 UNION ALL
 SELECT p_partkey, 'prices.[0].tier', '1', CAST(p_partkey % 2 AS VARCHAR) FROM part WHERE p_partkey % 2 <> 1
@@ -580,6 +611,30 @@ ORACLE["quantities"] = (
     + " ".join(f"WHEN {n} THEN {_FACTOR[s]}" for n, s in enumerate(SUFFIXES) if s in _FACTOR)
     + " END AS DOUBLE) AS amount FROM part"
 )
+_POWERS = {"m": 20, "g": 30, "k": 10, "": 20, "MB": 20, "t": 40, "b": 0}
+ORACLE["spark_memory_settings"] = (
+    f"SELECT p_partkey, CASE p_partkey % {len(MEMORY_SUFFIXES)} "
+    + " ".join(
+        f"WHEN {n} THEN p_size * {2 ** _POWERS[s]}::BIGINT" for n, s in enumerate(MEMORY_SUFFIXES) if s in _POWERS
+    )
+    + " END AS n_bytes FROM part"
+)
+ORACLE["retagged_nodes"] = """
+WITH rel AS (
+  SELECT lower(replace(p_brand, '#', '-')) AS brand, max(p_size) AS newest
+  FROM part WHERE NOT p_brand LIKE '%3' GROUP BY 1),
+j AS (
+  SELECT p_partkey, p_size, r.brand, newest, p_partkey % 4 AS w,
+         coalesce(p_partkey % 4 <> 3 AND newest <> p_size, FALSE) AS changed
+  FROM (SELECT *, lower(replace(p_brand, '#', '-')) AS brand FROM part) r LEFT JOIN rel USING (brand))
+SELECT p_partkey, changed,
+       CASE w WHEN 0 THEN 'registry.example:5000/team/' || brand WHEN 1 THEN 'registry.example:5000/'
+              WHEN 3 THEN 'registry.example:5000' END AS registry,
+       CASE w WHEN 1 THEN '/team/' || brand WHEN 2 THEN 'registry.example:5000/team/' || brand
+              WHEN 3 THEN 'team/' || brand END AS repository,
+       CASE WHEN w <> 3 THEN CAST(CASE WHEN changed THEN newest ELSE p_size END AS VARCHAR) END AS tag
+FROM j
+"""
 ORACLE["profile_capacity"] = """
 SELECT profile, optional, temporary, CAST(sum(tenths * n) AS DOUBLE) / 10 AS cpu,
        CAST(sum(tenths * 100 * n) AS BIGINT) AS mem_mi, CAST(sum(n) AS BIGINT) AS containers
@@ -626,17 +681,15 @@ FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1
 """
 ORACLE["supplier_customer_nations"] = """
 SELECT coalesce(s.nation, c.nation) AS nation, suppliers, customers
-FROM (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier WHERE s_acctbal > 8000 GROUP BY 1) s
-FULL JOIN (SELECT c_nationkey AS nation, count(*) AS customers FROM customer WHERE c_acctbal > 9800 GROUP BY 1) c
+FROM (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier GROUP BY 1) s
+FULL JOIN (SELECT c_nationkey AS nation, count(*) AS customers FROM customer GROUP BY 1) c
   ON s.nation = c.nation
 """
-ORACLE["idle_customers"] = """
-SELECT c_custkey, c_mktsegment FROM customer
-WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)
+ORACLE["idle_orders"] = """
+SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
 """
-ORACLE["active_customers"] = """
-SELECT c_custkey, c_mktsegment FROM customer
-WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)
+ORACLE["active_orders"] = """
+SELECT o_orderkey, o_orderstatus FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
 """
 ORACLE["price_band"] = """
 SELECT n_nationkey AS band, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS total
@@ -657,7 +710,7 @@ SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGIN
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY 1, 2
 """
 ORACLE["approximate_suppliers"] = """
-SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, TRUE AS near FROM lineitem GROUP BY 1
+SELECT l_returnflag, count(DISTINCT l_suppkey) AS exact, TRUE AS near FROM lineitem GROUP BY 1
 """
 _SALES = (
     "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, "
@@ -687,8 +740,8 @@ SELECT l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty
 FROM lineitem GROUP BY 1 ORDER BY qty DESC, l_partkey LIMIT 10
 """
 ORACLE["nation_sets"] = """
-WITH s AS (SELECT s_nationkey AS nation FROM supplier WHERE s_acctbal > 8000),
-c AS (SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 9800)
+WITH s AS (SELECT s_nationkey AS nation FROM supplier),
+c AS (SELECT c_nationkey AS nation FROM customer)
 SELECT 'union' AS how, nation FROM (SELECT * FROM s UNION SELECT * FROM c)
 UNION ALL SELECT 'intersect', nation FROM (SELECT * FROM s INTERSECT SELECT * FROM c)
 UNION ALL SELECT 'except', nation FROM (SELECT * FROM s EXCEPT SELECT * FROM c)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import fleet as ff
+from tidemark.functions.series import micros, step_start
 from tidemark.functions.text import tokens
 from tidemark.operators import (
     alerts,
@@ -184,19 +186,19 @@ def _line_files(spark, sf_dir, path, keep):
     docs.write.mode("append").text(path)
 
 
-def _count_available(spark, source, out, checkpoint, per_trigger):
-    stream = spark.readStream.option("maxFilesPerTrigger", per_trigger).text(source)
+def _count_available(spark, source, out, checkpoint):
+    """All there is: one batch, as wide as the cluster; a batch of a fixed number of files would not be."""
+    stream = spark.readStream.text(source)
     running = stream_word_count_batches(stream, out, checkpoint, {"availableNow": True})
     running.awaitTermination()
 
 
 @query
 def stream_words(spark, sf_dir):
-    """Word counts of several micro-batches, summed up."""
+    """Word counts of the lines a stream finds."""
     source, out = scratch_path(spark, "lines"), scratch_path(spark, "counts")
-    for odd in (0, 1):
-        _line_files(spark, sf_dir, source, F.col("doc_id") % 2 == odd)
-    _count_available(spark, source, out, scratch_path(spark, "progress"), 8)
+    i.documents(spark, sf_dir).select("text").write.text(source)
+    _count_available(spark, source, out, scratch_path(spark, "progress"))
     return sum_over_batches(read_batches(spark, out))
 
 
@@ -207,7 +209,7 @@ def restarted_stream_words(spark, sf_dir):
     progress = scratch_path(spark, "progress")
     for odd in (0, 1):
         _line_files(spark, sf_dir, source, F.col("doc_id") % 2 == odd)
-        _count_available(spark, source, out, progress, 100)
+        _count_available(spark, source, out, progress)
     return sum_over_batches(read_batches(spark, out))
 
 
@@ -339,6 +341,16 @@ def app_rollup(spark, sf_dir):
     return found.withColumn("total", F.round("total", 4))
 
 
+@query
+def dashboard_rollup(spark, sf_dir):
+    """Every section of the application dashboard over order lines as metrics of their supplier's application."""
+    rows = i.application_metrics(spark, sf_dir)
+    found = [
+        metrics.app_rollup(rows, section=name).withColumn("section", F.lit(name)) for name in metrics.SECTIONS
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def variable_values(spark, sf_dir):
     return metrics.variable_values(i.table(spark, sf_dir, "events"), "event_type")
@@ -371,52 +383,45 @@ def missing_steps(spark, sf_dir):
 # --- alerts --------------------------------------------------------------------------------------
 
 
-def _states(spark, sf_dir):
+def _hits(spark, sf_dir):
     rows = i.samples(spark, sf_dir)
-    hits = metrics.max_over_series(rows, 2 * HOUR).filter(F.col("max_value") > 60)
-    grid = alerts.evaluation_grid(rows, 2 * HOUR, ["metric"])
-    return alerts.alert_states(hits, grid, ["metric"])
+    return metrics.max_over_series(rows, 2 * HOUR).filter(F.col("max_value") > 60)
 
 
 @query
 def alert_states(spark, sf_dir):
-    return _states(spark, sf_dir)
+    grid = alerts.evaluation_grid(i.samples(spark, sf_dir), 2 * HOUR, ["metric"])
+    return alerts.alert_states(_hits(spark, sf_dir), grid, ["metric"])
 
 
 @query
 def alert_transitions(spark, sf_dir):
-    return alerts.alert_transitions(_states(spark, sf_dir), ["metric"])
+    step = step_start(micros(F.col("ts")), 2 * HOUR)
+    last = i.samples(spark, sf_dir).agg(F.max(step)).first()[0]
+    return alerts.alert_transitions(_hits(spark, sf_dir), ["metric"], 2 * HOUR, last)
 
 
 @query
 def alert_episodes(spark, sf_dir):
-    return alerts.alert_episodes(_states(spark, sf_dir), ["metric"])
+    return alerts.alert_episodes(_hits(spark, sf_dir), ["metric"], 2 * HOUR)
 
 
 @query
 def degraded_orders(spark, sf_dir):
     """Orders of which fewer lines are final (ready) than there are lines (wanted)."""
-    per_order = i.table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
-    ready = per_order.agg(F.count_if(F.col("l_linestatus") == "F").alias("ready"))
-    wanted = (
-        i.table(spark, sf_dir, "orders")
-        .filter(F.col("o_orderstatus") == "F")
-        .select(
-            F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 4).alias("wanted")
-        )
-    )
+    lines = i.table(spark, sf_dir, "lineitem")
+    ready = lines.groupBy("l_orderkey").agg(F.count_if(F.col("l_linestatus") == "F").alias("ready"))
+    wanted = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("wanted"))
     return alerts.degraded(ready, wanted, ["l_orderkey"])
 
 
 @query
-def absent_nations(spark, sf_dir):
-    expected = i.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    observed = (
-        i.table(spark, sf_dir, "supplier")
-        .filter(F.col("s_acctbal") > 8500)
-        .select(F.col("s_nationkey").alias("n_nationkey"))
-    )
-    return alerts.absent(expected, observed, ["n_nationkey"])
+def absent_lines(spark, sf_dir):
+    """Line numbers 1 to 7 that an order does not have."""
+    slots = F.explode(F.sequence(F.lit(1), F.lit(7))).alias("l_linenumber")
+    expected = i.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), slots)
+    observed = i.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return alerts.absent(expected, observed, ["l_orderkey", "l_linenumber"])
 
 
 @query
@@ -442,13 +447,15 @@ def pod_counts(spark, sf_dir):
 
 @query
 def component_alerts(spark, sf_dir):
-    """All alert rules of two components on half-hour steps of January 2024. The samples are stored
+    """All alert rules of two components on half-hour steps of three weeks. The samples are stored
     by metric, so each rule reads only its own."""
-    start, end = 1_704_067_200_000_000, 1_706_659_200_000_000
+    start, end = 1_704_499_200_000_000, 1_706_313_600_000_000
     path = scratch_path(spark, "component-samples")
     i.component_samples(spark, sf_dir).write.partitionBy("metric").parquet(path)
     samples = spark.read.parquet(path)
-    return rules.component_alerts(samples, i.COMPONENTS, HOUR // 2, start, end, window_s=DAY)
+    return rules.component_alerts(
+        samples, i.COMPONENTS, HOUR // 2, start, end, cpu_pct=90, memory_pct=80, window_s=DAY, service="release"
+    )
 
 
 # --- durations -----------------------------------------------------------------------------------
@@ -463,7 +470,10 @@ def _order_seconds(spark, sf_dir):
     orders = i.table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderstatus", F.col("o_orderdate").alias("started")
     )
-    runs = orders.join(shipped, "o_orderkey").withColumn("submitted", F.col("started"))
+    # submitted up to four hours before the start; one order in 50 has no record of it
+    waited = F.timestamp_add("SECOND", -(F.col("o_orderkey") * 7919 % 14_400), F.col("started"))
+    submitted = F.when(F.col("o_orderkey") % 50 != 0, waited)
+    runs = orders.join(shipped, "o_orderkey").withColumn("submitted", submitted)
     return latency.with_durations(runs)
 
 
@@ -474,14 +484,29 @@ def mean_durations(spark, sf_dir):
 
 
 @query
-def latency_histogram(spark, sf_dir):
-    edges = [d * float(DAY) for d in (-1000, -100, 0, 30, 365, 1000)]
-    found = latency.latency_histogram(
-        _order_seconds(spark, sf_dir), edges, "run_s", ("o_orderstatus",)
-    )
+def start_latency(spark, sf_dir):
+    """Mean seconds from submission to start."""
+    found = latency.mean_duration(_order_seconds(spark, sf_dir), ["o_orderstatus"], "latency_s")
+    return found.withColumn("mean_s", F.round("mean_s", 3))
+
+
+def _histogram(spark, sf_dir, edges, seconds):
+    found = latency.latency_histogram(_order_seconds(spark, sf_dir), edges, seconds, ("o_orderstatus",))
     return found.withColumn("le", F.when(F.col("le") < float("inf"), F.col("le")))
 
 
+@query
+def latency_histogram(spark, sf_dir):
+    """Run times per bucket."""
+    return _histogram(spark, sf_dir, [d * float(DAY) for d in (-1000, -100, 0, 30, 365, 1000)], "run_s")
+
+
+@query
+def start_latency_histogram(spark, sf_dir):
+    """Seconds from submission to start per bucket, empty buckets included."""
+    return _histogram(spark, sf_dir, [float(s) for s in (60, 300, 900, 3600, 10_000, 14_400, 20_000)], "latency_s")
+
+
 # --- event logs ----------------------------------------------------------------------------------
 
 
@@ -714,6 +739,21 @@ def profile_capacity(spark, sf_dir):
     return found.withColumn("cpu", F.col("cpu").cast("double"))
 
 
+@query
+def spark_memory_settings(spark, sf_dir):
+    """Memory settings of applications in bytes."""
+    return i.memory_settings(spark, sf_dir).select(
+        "p_partkey", ff.spark_memory(F.col("raw")).cast("bigint").alias("n_bytes")
+    )
+
+
+@query
+def retagged_nodes(spark, sf_dir):
+    """Structured image references with the released tag of their name."""
+    nodes = fleet.retag_nodes(i.image_nodes(spark, sf_dir), i.releases(spark, sf_dir), "image")
+    return nodes.select("p_partkey", "image.registry", "image.repository", "image.tag", "changed")
+
+
 @query
 def uri_parts(spark, sf_dir):
     return i.table(spark, sf_dir, "pages").select(
@@ -741,8 +781,8 @@ for _report in (
     reports.order_customer,
     reports.customer_orders_outer,
     reports.supplier_customer_nations,
-    reports.idle_customers,
-    reports.active_customers,
+    reports.idle_orders,
+    reports.active_orders,
     reports.price_band,
     reports.nation_dim_join,
     reports.pricing_summary,
