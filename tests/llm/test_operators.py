@@ -375,6 +375,29 @@ def test_links_at_any_thresholds(prepared, monkeypatch, thresholds):
     assert got == pairs
 
 
+@pytest.mark.parametrize("crowd", [0, 2, 6])
+def test_crowds_keep_their_components(prepared, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    values = planted(60, 4)
+    hub = values[0]
+    values = sorted({*values, *(hub ^ (1 << i) ^ (1 << j) for i in range(0, 40, 5) for j in range(i, 64, 9))})
+    fps = prepared.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fp long")
+    pairs = {tuple(x % 2**64 for x in r) for r in simhash.links(fps, len(values)).collect()}
+    assert all((a ^ b).bit_count() <= 3 and a != b for a, b in pairs)
+    parent = {v: v for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    expected = brute.components(values)
+    found = [root(v) for v in values]
+    assert len(set(zip(found, expected, strict=True))) == len(set(found)) == len(set(expected))
+
+
 def test_allocation_is_the_cheapest():
     rng = np.random.default_rng(5)
     for _ in range(20):

@@ -155,12 +155,12 @@ def first_rejection(rules: list[Rule]) -> Column:
     return verdict
 
 
-def cascade(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns and rows of ``docs`` and ``rejected_by``: the first rule of the cascade that rejects the text,
-    null for kept texts.
+def cascade(docs: DataFrame, text: str = "text", verdict: str = "rejected_by") -> DataFrame:
+    """All columns and rows of ``docs`` and ``verdict``: the first rule of the cascade that rejects the text, null for
+    kept texts.
 
     A null text is an empty one and has too few words. Repeated rows get the same verdict, an empty table gives
-    none. Columns of other names are passed on; one called ``rejected_by`` is replaced.
+    none. Other columns are passed on whatever their names; one named as the verdict is replaced.
     """
     order = order_rules(sample_of(docs, text), [*base_rules(F.col("words")), *shape_rules(F.col("text"), F.col("words"))])
     names = {r.name: i for i, r in enumerate(order)}
@@ -168,8 +168,8 @@ def cascade(docs: DataFrame, text: str = "text") -> DataFrame:
     rules = [*base_rules(F.col("__words")), *shape_rules(own, F.col("__words"))]
     rules.sort(key=lambda r: names[r.name])
     # a generator of one row: a later filter on the verdict stays above it, so words are split once
-    split = docs.drop("rejected_by").select("*", F.explode(F.array(words_of(own))).alias("__words"))
-    judged = split.select("*", F.explode(F.array(first_rejection(rules))).alias("rejected_by"))
+    split = docs.drop(verdict).select("*", F.explode(F.array(words_of(own))).alias("__words"))
+    judged = split.select("*", F.explode(F.array(first_rejection(rules))).alias(verdict))
     return judged.drop("__words")
 
 

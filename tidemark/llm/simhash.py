@@ -20,6 +20,8 @@ SHINGLE, SEED, BITS, DISTANCE = 3, 42, 64, 3
 SAMPLE, PROBES = 20_000, 1000
 #: What one signature row costs, in candidate pairs.
 ROW_COST = 2.0
+#: Signature rows of one value beyond which its fingerprints are linked over centres: about as much work as all pairs.
+CROWD = 5000
 #: For each byte value, its eight bits, the highest first.
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -191,14 +193,55 @@ def signatures(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
 
 
 def links(fps: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
-    """Pairs ``(a, b)`` of distinct fingerprints that differ in at most ``distance`` bits, each verified."""
+    """Pairs ``(a, b)`` of distinct fingerprints that differ in at most ``distance`` bits, each verified.
+
+    All pairs, but for values that more than CROWD signature rows share: the fingerprints behind those are linked
+    over centres (``crowd_links``), which leaves out pairs but no connection, and grows with their number alone.
+    """
     rows = signatures(fps, choose_parts(fps, n, distance))
+    shared = rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+    crowds = stored(shared.select("part", "value"), "simhash-crowds")
+    if crowds.isEmpty():
+        return _pairs(rows, distance)
+    crowd = rows.join(crowds, ["part", "value"], "left_semi").select("fp").distinct()
+    rest = rows.join(crowds, ["part", "value"], "left_anti")
+    return _pairs(rest, distance).unionByName(crowd_links(stored(crowd, "simhash-crowd"), distance))
+
+
+def _pairs(rows: DataFrame, distance: int) -> DataFrame:
     own = rows.where("not probe").select("part", "value", F.col("fp").alias("a"))
     other = rows.select("part", "value", F.col("fp").alias("b"), "probe")
     met = own.join(other, ["part", "value"]).where("a <> b and (probe or a < b)")
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
 
 
+def crowd_links(fps: DataFrame, distance: int) -> DataFrame:
+    """Links that connect whatever is within ``distance`` bits, without all pairs.
+
+    Two fingerprints within ``near`` and ``far`` bits of the same centre, ``near + far = distance``, differ in at most
+    ``distance`` bits, and of any two that do some centre lies so between them. So each centre links all its
+    fingerprints to the least of those within ``near`` bits: as many links as fingerprints, verified by construction.
+    A fingerprint has a fixed number of centres, 2,081 for distance 3.
+    """
+    near = distance // 2
+    masks = [mask_of(list(c)) for j in range(distance - near + 1) for c in combinations(range(BITS), j)]
+    flips = np.array(masks, np.uint64)
+    close = np.bitwise_count(flips) <= near
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp in batch.column(0).to_numpy().view(np.uint64):
+                columns = [(fp ^ flips).view(np.int64), np.full(len(flips), fp).view(np.int64), close]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["centre", "a", "close"])
+
+    rows = fps.select("fp").mapInArrow(made, "centre long, a long, close boolean")
+    least = rows.groupBy("centre").agg(
+        F.min(F.when(F.col("close"), F.col("a"))).alias("b"), F.count(F.lit(1)).alias("n")
+    )
+    meeting = least.where("b is not null and n > 1").select("centre", "b")
+    return rows.join(meeting, "centre").where("a <> b").select("a", "b").distinct()
+
+
 def simhash_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE
 ) -> DataFrame:
