@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import packing, pii, quality, simhash, suffix_dedup
@@ -12,7 +12,8 @@ from tidemark.llm.shared import prepare, stored
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects; null and empty texts have too few words and go."""
     prepare(spark)
-    return quality.cascade(docs).where("rejected_by is null").select(*docs.columns)
+    judged = quality.cascade(docs, verdict="__rejected_by")
+    return judged.where("__rejected_by is null").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,18 +30,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without the strings of 400 bytes that occur more than once; characters that a cut leaves incomplete
     go as well. A document that is left empty stays as one with an empty text."""
     prepare(spark)
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = suffix_dedup.remove_repeats(docs, result="text", carry=rest)
+    named = docs.select("doc_id", "text", _others(docs))
+    cut = suffix_dedup.remove_repeats(named, result="text", carry=("__others",))
     return _with_text(cut, "kept", docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each span of personal data replaced by its kind."""
     prepare(spark)
-    model = pii.learn(docs)
-    named = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("__id"), "text")
-    found = pii.find_personal_data(named, model, key="__id", mask=True)
-    return _with_text(found.select("__id.*", "masked"), "masked", docs.columns)
+    named = docs.select(_others(docs), "text")
+    found = pii.find_personal_data(named, pii.learn(docs), key="__others", mask=True)
+    return _with_text(found, "masked", docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +52,15 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def _others(docs: DataFrame) -> Column:
+    """All columns but the text as one, so that their names cannot clash with those of an operator."""
+    return F.struct(*[c for c in docs.columns if c != "text"]).alias("__others")
+
+
 def _with_text(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """The columns of documents with another text, and the number of its characters where there is such a column."""
-    out = rows.withColumn("text", F.col(text))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
-    return out.select(*columns)
+    """The columns of documents with another text and, where there is such a column, the number of its characters."""
+    made = {"text": F.col(text), "n_chars": F.length(text).cast("bigint")}
+    return rows.select(*[(made[c] if c in made else F.col("__others")[c]).alias(c) for c in columns])
 
 
 STAGES = [
