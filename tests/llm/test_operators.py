@@ -315,6 +315,15 @@ def test_patterns(text):
     assert found == brute.personal(text)[1]
 
 
+def test_likeness_alone_adds_nothing(prepared):
+    """Numbers of a card's length that fail the check stay, even if they repeat; a phone number keeps its label without
+    its prefix."""
+    docs = prepared.read.parquet(f"{SMALL}/documents.parquet")
+    field = pii.Field(pii.learn(docs))
+    for text in ("order 4111111111111112 and 4111111111111112 again 4111111111111112", "in 2024 we sold 1234567 of 1234567"):
+        assert field.spans(text, pii.base_spans(text)) == []
+
+
 def test_labels_are_carried_along_skips():
     """The same digits with other separators, far from the first mention, take its label; plain numbers do not."""
     rows = [("digits 12-19|letters 0|dots 3|dashes 0|at False plus False bracket False", -1, pii.OUTSIDE, 5)]

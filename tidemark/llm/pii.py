@@ -134,6 +134,21 @@ class Nodes:
                 seen[key] = i
         return links
 
+    def groups(self) -> list[int]:
+        """A number for each node, equal for nodes that skips connect."""
+        parent = list(range(len(self.spans)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i, j, kind in self.links:
+            if kind != CHAIN:
+                parent[root(j)] = root(i)
+        return [root(i) for i in range(len(parent))]
+
     def features(self) -> list[tuple[str, ...]]:
         return [features(w) for w in self.words]
 
@@ -144,10 +159,13 @@ def _many(n: int) -> str:
 
 def features(word: str) -> tuple[str, ...]:
     """What a node shows on its own: a bounded set of values."""
-    digits = sum("0" <= c <= "9" for c in word)
-    letters = sum(map(str.isalpha, word))
+    figures = "".join(c for c in word if "0" <= c <= "9")
+    digits, letters = len(figures), sum(map(str.isalpha, word))
+    parts = re.findall("[0-9]+", word)
     return (
         "digits " + _many(digits),
+        "luhn " + (str(_luhn(figures)) if 12 <= digits <= 19 else "-"),
+        "octets " + (str(all(len(p) < 4 and int(p) < 256 for p in parts)) if len(parts) == 4 else "-"),
         "letters " + ("0" if not letters else "1-3" if letters < 4 else "4+"),
         "dots " + _many(word.count(".")),
         "dashes " + _many(word.count("-")),
@@ -256,7 +274,8 @@ class Field:
         return p / p.sum(axis=1, keepdims=True)
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Base spans and the words that the field is sure of."""
+        """Base spans and the words that the field is sure of and that repeat or resemble, over any number of links, a base
+        span of their kind: likeness to a kind alone does not make personal data."""
         if not _ANY.search(text):
             return base
         nodes = Nodes(text, base)
@@ -265,7 +284,11 @@ class Field:
         p = self.marginals(nodes)
         best = p[:, :OUTSIDE].argmax(axis=1)
         sure = (nodes.labels == OUTSIDE) & (p[np.arange(len(p)), best] >= SURE)
-        added = [(*nodes.spans[i][:2], int(best[i])) for i in np.flatnonzero(sure)]
+        if not sure.any():
+            return base
+        group = nodes.groups()
+        seen = {(g, k) for g, k in zip(group, nodes.labels.tolist(), strict=True) if k != OUTSIDE}
+        added = [(*nodes.spans[i][:2], int(best[i])) for i in np.flatnonzero(sure).tolist() if (group[i], int(best[i])) in seen]
         return sorted([*base, *added], key=lambda s: (s[0], s[2]))
 
 
