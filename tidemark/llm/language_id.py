@@ -17,6 +17,7 @@ from tidemark.llm.shared import per_text
 #: Expected texts of each language that the model is learned from, and entries it keeps of each kind and language.
 SAMPLE_TEXTS, WORDS, GRAMS = 1500, 12_000, 5000
 ORDERS = (5, 4, 3, 2, 1)
+SEED = 23
 #: Log10 share of a word or n-gram that a language does not have.
 MISSING = -7.0
 UNKNOWN = "und"
@@ -50,11 +51,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {"langs": [], "tables": {}}
-    rate = F.lit(0.0)
-    for name, n in sizes.items():
-        rate = F.when(F.col("l") == name, min(1.0, SAMPLE_TEXTS / n)).otherwise(rate)
-    # the text decides, so the sample is the same on every run
-    drawn = labelled.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < rate * 1_000_000)
+    # rows are drawn one by one, so a text that a third of all rows share cannot fill the sample
+    drawn = labelled.sampleBy("l", {name: min(1.0, SAMPLE_TEXTS / n) for name, n in sizes.items()}, SEED)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,6 +33,7 @@ LABELS = len(KINDS) + 1
 CHAIN, SAME, ALIKE = range(3)
 #: Expected texts with a digit or an ``@`` that the potentials are learned from.
 SAMPLE_TEXTS = 4000
+SEED = 19
 ROUNDS, DAMPING, SURE = 10, 0.5, 0.9
 #: A repeated word needs this many letters and digits, a similar one this many last digits.
 SAME_CHARS, ALIKE_DIGITS = 6, 7
@@ -180,7 +181,7 @@ def learn(docs: DataFrame, text: str = "text") -> dict:
     feature sets are few whatever the input."""
     marked = docs.select(F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
     rate = min(1.0, SAMPLE_TEXTS / max(1, marked.count()))
-    drawn = marked.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < rate * 1_000_000)
+    drawn = marked.sample(rate, SEED)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
