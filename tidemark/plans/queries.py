@@ -109,7 +109,9 @@ def range_gaps(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("n"))
     )
     top = i.table(spark, sf_dir, "orders").agg(F.max("o_custkey")).first()[0] or 0
-    ids = basic.range_source(spark, top + 1, spark.sparkContext.defaultParallelism)
+    # a slice for each core, more where one would hold over ten million keys
+    slices = max(spark.sparkContext.defaultParallelism, -(-top // 10_000_000))
+    ids = basic.range_source(spark, top + 1, slices)
     return ids.join(per_customer, "id", "left").select(
         "id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )
