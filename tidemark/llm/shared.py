@@ -107,9 +107,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def _stars(links: DataFrame, larger: bool) -> DataFrame:
-    """One half round over links ``(a, b)`` with a > b."""
+    """One half round over links ``(a, b)`` with a > b: each node's larger neighbours (or its smaller ones and itself) are
+    linked to the least of all it sees."""
     if larger:
-        both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        swapped = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+        both = links.select(F.inline(F.array(F.struct("a", "b"), swapped)))
     else:
         both = links
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

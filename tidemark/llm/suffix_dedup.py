@@ -195,7 +195,11 @@ def _contexts(pending: DataFrame, length: int) -> DataFrame:
     """Open phrases with their bytes: rows ``(k, th, lo, n, d, f1, f2, bytes)``."""
     names = ("olo", "on", "od", "of1", "of2")
     schema = StructType(
-        [pending.schema["k"], *(StructField(x, LongType()) for x in ("th", "lo", "n", "d", "f1", "f2")), StructField("bytes", BinaryType())]
+        [
+            pending.schema["k"],
+            *(StructField(x, LongType()) for x in ("th", "lo", "n", "d", "f1", "f2")),
+            StructField("bytes", BinaryType()),
+        ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -120,17 +120,20 @@ def top_k(
     blocks): a row block is sent once per query block, a query block once per share. Every pair of blocks gives at
     most k rows a query, and a window keeps the k best of those, cut on the map side first.
     """
-    asked = queries.where(usable(key, vector)).select(F.col(key).cast("bigint").alias("id"), scaled(vector, scale).alias("v"))
-    asked = stored(asked.dropDuplicates(["id"]), "queries")
-    blocks = stored(
-        _packed(rows.where(usable(key, vector)).select(F.col(key).cast("bigint").alias("id"), scaled(vector, scale).alias("v")), ROWS),
-        "row-blocks",
-    )
+
+    def whole(df: DataFrame) -> DataFrame:
+        columns = F.col(key).cast("bigint").alias("id"), scaled(vector, scale).alias("v")
+        return df.where(usable(key, vector)).select(*columns)
+
+    asked = stored(whole(queries).dropDuplicates(["id"]), "queries")
+    blocks = stored(_packed(whole(rows), ROWS), "row-blocks")
     query_blocks, n_blocks = max(1, -(-asked.count() // QUERIES)), blocks.count()
     shares = max(1, -(-n_blocks // SPREAD))
     q = stored(_grouped(asked, query_blocks), "query-blocks")
     left = q.select(
-        "q", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "width", "data")]
+        "q",
+        F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"),
+        *[F.col(c).alias(f"q_{c}") for c in ("ids", "width", "data")],
     )
     right = blocks.select(
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"),
