@@ -21,6 +21,7 @@ from tidemark.llm import (
 )
 from tidemark.llm.shared import prepare
 from tidemark.session import scratch_path
+from tidemark.sources.basic import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,10 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a small table of fewer splits than cores is dealt out first."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 @query
 def op1_language_id(spark, sf_dir):
     """Language of every text, learned from the documents that are not held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = language_id.learn(docs.where(~F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False))))
     found = language_id.identify(docs, model)
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
@@ -50,7 +56,7 @@ def op1_language_id(spark, sf_dir):
 @query
 def op2_suffix_dedup(spark, sf_dir):
     """Every document without the bytes of its strings of 400 bytes that occur anywhere else."""
-    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), result="sha256")
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir), result="sha256")
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     return found.select(
         "doc_id",
@@ -100,19 +106,19 @@ def op4_exact_topk(spark, sf_dir):
 @query
 def op5_quality_rules(spark, sf_dir):
     """Measures and verdict of the quality cascade for every document."""
-    return quality.measures(table(spark, sf_dir, "documents"))
+    return quality.measures(documents(spark, sf_dir))
 
 
 @query
 def op6_token_counts(spark, sf_dir):
     """Token counts of every document."""
-    return tokens.token_counts(table(spark, sf_dir, "documents"))
+    return tokens.token_counts(documents(spark, sf_dir))
 
 
 @query
 def op7_packing(spark, sf_dir):
     """All documents packed into sequences of 1024 ids."""
-    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    pieces = packing.pack(documents(spark, sf_dir))
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
@@ -121,7 +127,7 @@ def op7_packing(spark, sf_dir):
 @query
 def op8_pii(spark, sf_dir):
     """Personal data in every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     found = pii.find_personal_data(docs, pii.learn(docs))
 
     def listed(spans: str):
@@ -139,7 +145,7 @@ def op8_pii(spark, sf_dir):
 @query
 def op9_simhash(spark, sf_dir):
     """Fingerprints and near-duplicate components of all documents."""
-    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    groups = simhash.simhash_groups(documents(spark, sf_dir))
     return groups.select(
         "doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id")
     )
@@ -149,7 +155,7 @@ def op9_simhash(spark, sf_dir):
 def op10_sentence_pieces(spark, sf_dir):
     """Ids of every document by the shared-prefix search, and whether they decode to the text again."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3000")
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     coded = sentence_pieces.encode(docs, decoded=True)
     return coded.select(
         "doc_id",
