@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.compare import compare, connect
 from tests.llm import brute
-from tests.llm.conftest import SMALL
+from tests.llm.conftest import SMALL, words
 from tidemark.llm import pii
 from tidemark.llm.packing import TOKENIZER
 from tidemark.llm.queries import QUERIES
@@ -148,3 +148,19 @@ def test_every_query_is_registered(prepared):
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLE) <= set(entry.oracle_sql()) and "pipeline" not in entry.oracle_sql()
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+
+
+def test_passages_of_51_words(prepared):
+    """A passage of 51 short words in three documents goes; one of 45 words and the documents around them stay."""
+    docs = prepared.read.parquet(f"{SMALL}/documents.parquet")
+    around = [words(60, 100 + i) for i in range(6)]
+    short = words(45, 99)
+    passage = " ".join(w[:4] for w in words(51, 98).split())
+    assert all(corpus_pipeline.PASSAGE_BYTES <= len(p) < 300 for p in (short, passage))
+    rows = [(i, f"{around[2 * i]} Q {passage} {'XYZ'[i]} {around[2 * i + 1]}") for i in range(3)]
+    rows += [(10 + i, f"{words(50, 200 + i)} {'UVW'[i]} {short} {'RST'[i]} {words(50, 300 + i)}") for i in range(3)]
+    df = prepared.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], docs.schema)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(prepared, df, SMALL).collect()}
+    for i in range(3):
+        assert got[i] == f"{around[2 * i]}{'XYZ'[i]} {around[2 * i + 1]}"
+        assert got[10 + i] == dict(rows)[10 + i]

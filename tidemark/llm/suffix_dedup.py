@@ -167,7 +167,7 @@ def _classes(rows: DataFrame, name: str) -> DataFrame:
     return stored(joined.where("copies > 1 or open").drop("core"), f"{name}-classes")
 
 
-def _settled(joined: DataFrame, length: int, result: str) -> DataFrame:
+def _settled(joined: DataFrame, length: int, words: int, result: str) -> DataFrame:
     """Rows without open phrases get their result; of the others all columns stay, and their result is null."""
     given = [StructField(f.name, f.dataType) for f in joined.schema]
     schema = StructType([*given, *_result_fields(result)])
@@ -185,7 +185,7 @@ def _settled(joined: DataFrame, length: int, result: str) -> DataFrame:
             own = batch.filter(pc.invert(waits))
             kept = ("k", "carried")
             columns = [own.column(i).cast(f.type) if f.name in kept else pa.nulls(len(own), f.type) for i, f in enumerate(given)]
-            columns += _results(*[own.column(place[c]) for c in ("text", "lo", "n")], length, result, arrow)
+            columns += _results(*[own.column(place[c]) for c in ("text", "lo", "n")], length, words, result, arrow)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return joined.mapInArrow(run, schema)
@@ -290,13 +290,16 @@ def _result_fields(result: str) -> list[StructField]:
     return [StructField("n_bytes", LongType()), StructField("spans", spans), last]
 
 
-def _results(text: pa.Array, lo: pa.Array, n: pa.Array, length: int, result: str, arrow: pa.Schema) -> list[pa.Array]:
+def _results(
+    text: pa.Array, lo: pa.Array, n: pa.Array, length: int, words: int, result: str, arrow: pa.Schema
+) -> list[pa.Array]:
     """Bytes, removed spans and what is left of texts with their arrays of repeated starts."""
     sizes, found, kept = [], [], []
     for t, starts, counts in zip(text.to_pylist(), lo.to_pylist(), n.to_pylist(), strict=True):
         data = t.encode()
         spans = zip(starts or (), counts or (), strict=True)
-        runs = merged([(i, i + k + length - 1) for i, k in spans])
+        runs = [(i, j + length - 1) for i, j in merged([(i, i + k) for i, k in spans])]
+        runs = merged([(i, j) for i, j in runs if j - i >= LENGTH or not words or len(data[i:j].split()) > words])
         rest = without(data, runs)
         sizes.append(len(data))
         found.append([{"start": i, "end": j} for i, j in runs])
@@ -308,7 +311,7 @@ def _results(text: pa.Array, lo: pa.Array, n: pa.Array, length: int, result: str
     return [pa.array(c, f.type) for c, f in zip((sizes, found, kept), fields, strict=True)]
 
 
-def _cut(docs: DataFrame, length: int, result: str) -> DataFrame:
+def _cut(docs: DataFrame, length: int, words: int, result: str) -> DataFrame:
     """Results of rows ``(k, carried, text, lo, n)``."""
     schema = StructType([docs.schema["k"], docs.schema["carried"], *_result_fields(result)])
 
@@ -316,7 +319,7 @@ def _cut(docs: DataFrame, length: int, result: str) -> DataFrame:
         arrow = to_arrow_schema(schema)
         for batch in batches:
             own = [batch.column(i).cast(arrow.field(i).type) for i in range(2)]
-            columns = _results(*batch.columns[2:], length, result, arrow)
+            columns = _results(*batch.columns[2:], length, words, result, arrow)
             yield pa.RecordBatch.from_arrays([*own, *columns], schema=arrow)
 
     return docs.select("k", "carried", "text", "lo", "n").mapInArrow(run, schema)
@@ -336,6 +339,7 @@ def remove_repeats(
     length: int = LENGTH,
     result: str = "bytes",
     carry: tuple[str, ...] = (),
+    words: int = 0,
 ) -> DataFrame:
     """Per row: its key, the columns of ``carry``, ``n_bytes`` (UTF-8), ``spans`` (maximal runs of removed bytes, end
     exclusive) and ``kept``, the rest as bytes; with ``result="text"`` as text, without characters that a cut leaves
@@ -343,6 +347,8 @@ def remove_repeats(
 
     A byte goes if a string of ``length`` bytes that covers it starts at another place too, in any text or the same.
     Strings do not cross texts, and the input is judged, not what is left. Strings count as equal by 128-bit hashes.
+    With ``words``, a run of such starts that covers less than LENGTH bytes goes only if it has more words than that;
+    words are parted by ASCII spaces, and one that the run cuts counts.
 
     A null text is empty; a text shorter than ``length`` stays whole. A repeated row is another place: the text
     goes from every copy. Rows are told apart by key and text, so null and repeated keys are allowed. An empty
@@ -364,7 +370,7 @@ def remove_repeats(
     )
     arrays = [F.col(f"done.{c}").alias(c) for c in ("lo", "n")]
     arrays += [F.col(f"opens.{c}").alias(f"o{c}") for c in ("lo", "n", "d", "f1", "f2")]
-    first = stored(_settled(_beside(own, per_text.select("k", "th", *arrays)), length, result), "first")
+    first = stored(_settled(_beside(own, per_text.select("k", "th", *arrays)), length, words, result), "first")
     dropped(parse, classes)
 
     names = ["k", "carried", *(f.name for f in _result_fields(result))]
@@ -373,7 +379,7 @@ def remove_repeats(
     late = found.groupBy("k", "th").agg(F.collect_list(F.struct("lo", "n")).alias("late"))
     all_ = _beside(pending, late)
     more = [F.concat(c, F.coalesce(F.col(f"late.{c}"), F.array().cast("array<bigint>"))).alias(c) for c in ("lo", "n")]
-    rest = _cut(all_.select("k", "carried", "text", *more), length, result)
+    rest = _cut(all_.select("k", "carried", "text", *more), length, words, result)
     both = first.where("text is null").select(*names).unionByName(rest)
     return both.select(F.col("k").alias(key), *[F.col(f"carried.{c}").alias(c) for c in carry], *names[2:])
 
