@@ -338,6 +338,21 @@ def test_labels_are_carried_along_skips():
     assert [text[i:j] for i, j, _ in spans] == ["4111 1111 1111 1111", "4111.1111.1111.1111"]
 
 
+def test_labels_reach_thirty_repeats():
+    """Each of thirty repeats without the prefix takes the label of the one match, before or after it."""
+    rows = [("digits 12-19|letters 0|dots 0|dashes 0|at False plus False bracket False", -1, pii.OUTSIDE, 5)]
+    for kind in (pii.CHAIN, pii.SAME, pii.ALIKE):
+        for label in range(pii.LABELS):
+            rows.append((str(kind), label, label, 20000))
+    model = pii._trained(rows)
+    model["weights"][:] *= 0.02
+    repeats = [f"{'and so on ' * 20}0049301234567 " for _ in range(30)]
+    for texts in (["call +49 30 1234567 ", *repeats], [*repeats, "call +49 30 1234567 "]):
+        text = "".join(texts)
+        spans = pii.Field(model).spans(text, pii.base_spans(text))
+        assert len(spans) == 31 and {k for *_, k in spans} == {pii.KINDS.index("phone")}
+
+
 # --- near-duplicates -------------------------------------------------------------------------------------------------
 
 

@@ -35,6 +35,7 @@ CHAIN, SAME, ALIKE = range(3)
 SAMPLE_TEXTS = 4000
 SEED = 19
 ROUNDS, DAMPING, SURE = 10, 0.5, 0.9
+SETTLED = 1e-4
 #: A repeated word needs this many letters and digits, a similar one this many last digits.
 SAME_CHARS, ALIKE_DIGITS = 6, 7
 _WORD = re.compile(r"\S+")
@@ -234,6 +235,22 @@ def _trained(rows: list[tuple[str, int, int, int]]) -> dict:
     return {"place": place, "weights": weights, "pairs": potentials}
 
 
+def _sweeps(links: list[tuple[int, int]], n: int) -> list[np.ndarray]:
+    """The messages of a sweep along the links and one back, in steps: a node sends after all that it waits for. Message
+    ``i`` goes along link ``i``, message ``len(links) + i`` back."""
+    steps = []
+    ahead, behind = [0] * n, [0] * n
+    for i, j in sorted(links, key=lambda x: x[1]):
+        ahead[j] = max(ahead[j], ahead[i] + 1)
+    for i, j in sorted(links, reverse=True):
+        behind[i] = max(behind[i], behind[j] + 1)
+    for first, level in ((0, [ahead[i] for i, _ in links]), (len(links), [behind[j] for _, j in links])):
+        order = np.argsort(level, kind="stable")
+        cuts = np.flatnonzero(np.diff(np.array(level)[order])) + 1
+        steps += [first + part for part in np.split(order, cuts)]
+    return steps
+
+
 class Field:
     """The random field with learned potentials."""
 
@@ -253,24 +270,37 @@ class Field:
         return out
 
     def marginals(self, nodes: Nodes) -> np.ndarray:
-        """Label probabilities after ROUNDS of damped messages along every link in both directions."""
+        """Label probabilities after rounds of messages, each a sweep along the text and one back, until no message
+        changes by SETTLED. A sweep sends from a node once all messages to it are there, so the first round, whose messages
+        have none before them to be damped by, crosses any number of links; ROUNDS only ends messages that go in circles."""
         own = self.node_potentials(nodes)
-        belief = own
+        belief = own.copy()
         if nodes.links:
-            a, b, kind = np.array(nodes.links).T
+            links = sorted({(i, j) for i, j, _ in nodes.links})  # several between two nodes act as one, and echo nothing
+            place = {link: i for i, link in enumerate(links)}
+            joint = np.zeros((len(links), LABELS, LABELS))
+            np.add.at(joint, [place[i, j] for i, j, _ in nodes.links], self.pairs[[kind for *_, kind in nodes.links]])
+            a, b = np.array(links).T
             source, target = np.concatenate([a, b]), np.concatenate([b, a])
             back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-            pair = self.pairs[np.concatenate([kind, kind])]
+            pair = np.concatenate([joint, joint])
             message = np.zeros((len(source), LABELS))
-            for _ in range(ROUNDS):
-                sent = (belief[source] - message[back])[:, :, None] + pair
-                top = sent.max(axis=1, keepdims=True)
-                fresh = np.log(np.exp(sent - top).sum(axis=1)) + top[:, 0]
-                fresh -= fresh.max(axis=1, keepdims=True)
-                message = DAMPING * message + (1 - DAMPING) * fresh
-                belief = own.copy()
-                for label in range(LABELS):
-                    belief[:, label] += np.bincount(target, message[:, label], len(own))
+            steps = _sweeps(links, len(own))
+            for turn in range(ROUNDS):
+                change = 0.0
+                for now in steps:
+                    sent = (belief[source[now]] - message[back[now]])[:, :, None] + pair[now]
+                    top = sent.max(axis=1, keepdims=True)
+                    fresh = np.log(np.exp(sent - top).sum(axis=1)) + top[:, 0]
+                    fresh -= fresh.max(axis=1, keepdims=True)
+                    more = fresh - message[now]
+                    change = max(change, float(np.abs(more).max()))
+                    if turn:
+                        more *= 1 - DAMPING
+                    message[now] += more
+                    np.add.at(belief, target[now], more)
+                if change < SETTLED:
+                    break
         p = np.exp(belief - belief.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
@@ -280,7 +310,7 @@ class Field:
         if not _ANY.search(text):
             return base
         nodes = Nodes(text, base)
-        if not len(nodes.labels):
+        if (nodes.labels == OUTSIDE).all():
             return base
         p = self.marginals(nodes)
         best = p[:, :OUTSIDE].argmax(axis=1)
