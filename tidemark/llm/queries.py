@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    alignment,
+    byte_pairs,
     language_id,
     packing,
     pii,
     quality,
     sentence_pieces,
     simhash,
+    spelling,
     suffix_dedup,
     tokens,
     topk,
@@ -163,3 +166,26 @@ def op10_sentence_pieces(spark, sf_dir):
         F.crc32("ids").alias("ids_crc32"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_byte_pairs(spark, sf_dir):
+    """Ids of every document by forced boundaries, and the text they decode to."""
+    coded = byte_pairs.encode(documents(spark, sf_dir), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query
+def op12_alignment(spark, sf_dir):
+    """Alignment of the tokens of two tokenizers in every document, with corpus counts of linked ids."""
+    found = alignment.align(documents(spark, sf_dir), result="sha256")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    """Frequent spellings of all words of the documents."""
+    return spelling.variants(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,19 +46,30 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def by_bytes(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """The texts in order, in lists of about ``limit`` characters; a longer text is a list of its own."""
+    """The texts in order, in lists of about ``limit`` bytes; a longer text is a list of its own."""
     held: list[str] = []
     size = 0
     for text in texts:
-        if held and size + len(text) > limit:
+        more = len(text) if text.isascii() else len(text.encode())
+        if held and size + more > limit:
             yield held
             held, size = [], 0
         held.append(text)
-        size += len(text)
+        size += more
     if held:
         yield held
 
 
+@contextmanager
+def keeping() -> Iterator[None]:
+    """No search for reference cycles while a task fills its tables of small values, which hold none."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def per_text(
     docs: DataFrame,
     key: str,
@@ -77,7 +90,7 @@ def per_text(
         for batch in batches:
             columns = apply(batch.column(1).to_pylist())
             arrays = [batch.column(0).cast(arrow.field(0).type)]
-            arrays += [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]
+            arrays += [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
