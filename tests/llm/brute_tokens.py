@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -49,11 +50,11 @@ def alignment(texts: list[str | None]) -> list[tuple]:
             for x in data:
                 ends[side].append((ends[side][-1] if ends[side] else 0) + len(x))
         shared = sorted(set(ends[0]) & set(ends[1]))
-        groups, start = [], 0
-        for end in shared:
-            sides = [",".join(str(i) for i, e in zip(ids, ends[s], strict=True) if start < e <= end) for s, ids in enumerate((ids_a, ids_b))]
-            groups.append("|".join(sides))
-            start = end
+        groups = [[[], []] for _ in shared]
+        for side, ids in enumerate((ids_a, ids_b)):
+            for i, end in zip(ids, ends[side], strict=True):
+                groups[bisect_left(shared, end)][side].append(str(i))
+        groups = ["|".join(",".join(side) for side in group) for group in groups]
         pairs, j = [], 0
         for i, (x, end) in enumerate(zip(ids_a, ends[0], strict=True)):
             begin = end - len(bytes_a[i])

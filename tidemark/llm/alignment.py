@@ -4,9 +4,9 @@ Both tokenizers encode a whole text first. Byte offsets where tokens of both end
 token of both are anchors and cut the text into windows of token ids. What lies over what inside a window depends on its
 ids alone, so a task keeps the alignment of each window it has seen, by the tuple of its ids.
 
-Corpus counts follow from the distinct windows: each part of the corpus writes its windows once with the number of times
-they occur, and its texts as lists of numbers of windows. Windows are summed over parts, links over windows, and what a
-window is worth goes back to the parts that hold it. So shuffles carry distinct windows, not occurrences of links.
+Links are pairs of ids, of which there are few beside their occurrences. Each part of the corpus numbers the pairs it
+meets, writes them once with their counts, and its texts as numbers of pairs. Counts are summed over parts, and what a pair is
+worth goes back to the parts that hold it. So shuffles carry the pairs of a part and one row for each text.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +22,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import (
     ArrayType,
-    BinaryType,
     IntegerType,
     LongType,
     StringType,
@@ -43,10 +39,10 @@ from tokenizers import Tokenizer
 from tidemark.llm.shared import by_bytes, keeping, stored
 
 LEFT, LEFT_RANKS, RIGHT = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-#: A part of the corpus ends when its texts have more bytes or its windows are more than this.
-PART_BYTES, PART_WINDOWS = 64 << 20, 400_000
-#: A window of more ids is named by a 128-bit digest and carries its links with it.
-NAMED_IDS = 40
+#: A part of the corpus ends when its texts have more bytes than this, or its pairs are more.
+PART_BYTES, PART_PAIRS = 64 << 20, 1_000_000
+#: Windows that a task keeps, and the most ids of one that it keeps.
+KEPT_WINDOWS, KEPT_IDS = 400_000, 64
 #: A key with at least one of so many shares of all rows is joined by broadcast: there can be no more such keys.
 SHARES = 20_000
 #: A run of white space from which on the ranks' word pattern would need too deep a stack.
@@ -55,6 +51,8 @@ _BLANK_RUN = re.compile(r"\s{2000}")
 _SAFE, _UNSAFE = re.compile(r"(?<=[^ ▁]) (?=[^\s▁])"), re.compile(r" \s|▁|^ | $")
 #: Pieces of texts whose ids a task keeps, and the longest that it keeps.
 KEPT, SHORT = 400_000, 48
+#: Bytes of parts that are encoded as one text.
+JOINED = 8192
 
 
 class Left:
@@ -101,85 +99,170 @@ def overlaps(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarra
     return (left.astype(np.int64) << 32) + right, ends
 
 
+class Pool:
+    """Runs of numbers, told by their place in the order in which they came."""
+
+    def __init__(self) -> None:
+        self.values, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.stops = np.zeros(1 << 12, np.int64)
+
+    def extend(self, values: np.ndarray, stops: np.ndarray, n: int) -> None:
+        """Append runs that end at ``stops`` within ``values``, after ``n`` runs."""
+        used = self.used + len(values)
+        if used > len(self.values):
+            self.values = np.concatenate([self.values[: self.used], np.zeros(used, np.uint32)])
+        if n + len(stops) + 1 > len(self.stops):
+            self.stops = np.concatenate([self.stops[: n + 1], np.zeros(n + len(stops) + 1, np.int64)])
+        self.values[self.used : used] = values
+        self.stops[n + 1 : n + 1 + len(stops)] = stops + self.used
+        self.used = used
+
+    def runs(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs at these places one after the other, and the size of each."""
+        starts = self.stops[places]
+        sizes = self.stops[places + 1] - starts
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.values[np.arange(total) + np.repeat(starts - ends + sizes, sizes)], sizes
+
+
 class Aligner:
-    """Windows of whole texts; numbers of windows count from 0 within the current part."""
+    """Windows of whole texts, and the pairs of ids of a part of the corpus, numbered from 0."""
 
     def __init__(self) -> None:
         self.left, self.right = Left(), Right()
         self.left_sizes = np.array([len(x) for x in self.left.bytes])
         self.right_sizes = np.array([len(x) for x in self.right.bytes])
         n_a, n_b = len(self.left_sizes), len(self.right_sizes)
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.lost: set[str] = set()
         self.ids = np.dtype("<u2" if max(n_a, n_b) < 0xFFFF else "<u4")
         self.border = np.iinfo(self.ids).max
         # an id with what follows it: left ones inside a group, at the end of its left side, then right ones
         self.marked = [f"{i}{end}" for n, end in ((n_a, ","), (n_a, "|"), (n_b, ","), (n_b, ";")) for i in range(n)]
+        rng = np.random.default_rng(11)
+        self.mix = rng.integers(1, 1 << 63, size=int(self.border) + 1 if self.ids.itemsize == 2 else 1 << 16, dtype=np.uint64)
+        self.pieces: dict[str, int] = {}
+        self.sides = Pool(), Pool()
         self.begin()
 
     def begin(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.groups: list[str] = []
-        self.counts: list[int] = []
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both sides of whole texts, null where a side does not give the bytes again. Texts are parted where both
-        tokenizers start anew, and the ids of a part that comes back are kept."""
-        split = [_SAFE.split(t) if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        if len(self.known[0]) > KEPT:
-            self.known, self.lost = ({}, {}), set()
-        kept_a, kept_b = self.known
-        lost, ordinary, left, right = self.lost, self.left.encode, self.left.bytes.__getitem__, self.right.bytes.__getitem__
-        fresh = set().union(*split).difference(kept_a, lost)
-        for batch in by_bytes(fresh):
-            for part, b in zip(batch, self.right.encode(batch), strict=True):
-                spaced = " " + part
-                a, whole = ordinary(spaced), spaced.encode()
-                if part and b"".join(map(right, b)) == whole and b"".join(map(left, a)) == whole:
-                    kept_a[part], kept_b[part] = array("I", a).tobytes(), array("I", b).tobytes()
-                else:
-                    lost.add(part)
-        a, b = kept_a.__getitem__, kept_b.__getitem__
-        out = [
-            tuple(np.frombuffer(b"".join(map(side, parts)), np.uint32) for side in (a, b)) if lost.isdisjoint(parts) else None
-            for parts in split
-        ]
-        for part in fresh:
-            if len(part) > SHORT:
-                lost.discard(part)
-                if kept_a.pop(part, None) is not None:
-                    del kept_b[part]
-        return out
+        """A new part: its pairs are numbered anew."""
+        self.pairs: dict[int, int] = {}
+        self.counts = np.zeros(1024, np.int64)
+        self.forget()
 
-    def align(self, texts: list[str]) -> list[tuple[int, int, int, list[int]] | None]:
-        """(left ids, right ids, groups: how many, numbers of windows) of each text, null where there are no tokens."""
-        out: list = [None] * len(texts)
-        coded = self.encode(texts)
-        use = [k for k, pair in enumerate(coded) if pair is not None]
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.groups: list[str] = []
+        self.links = Pool()
+
+    def encode(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the texts that have tokens, the ids of both sides of them, and how many ids each text has there. A text
+        has none where a side does not give its bytes again. Texts are parted where both tokenizers start anew, and the ids
+        of a piece that comes back are kept."""
+        if len(self.pieces) > KEPT:
+            self.pieces, self.sides = {}, (Pool(), Pool())
+        flat: list[str] = []
+        bounds, odd = [], set()
+        for text in texts:
+            if _UNSAFE.search(text):
+                split = _SAFE.split(text)
+                odd.update(split)
+            else:
+                split = text.split(" ")
+            flat += split
+            bounds.append(len(flat))
+        codes = list(map(self.pieces.get, flat))
+        fresh = {p for p, c in zip(flat, codes, strict=True) if c is None}
+        if fresh:
+            alone = [p for p in fresh if not p or p[0].isspace() or (p in odd and _UNSAFE.search(p))]
+            for some in by_bytes(fresh.difference(alone), JOINED):
+                self._learn(some)
+            for piece in alone:
+                self._learn([piece])
+            codes = [self.pieces[p] if c is None else c for p, c in zip(flat, codes, strict=True)]
+            for piece in fresh:
+                if len(piece) > SHORT:
+                    del self.pieces[piece]
+        places = np.array(codes, np.int64)
+        lost = np.concatenate([[0], np.cumsum(places < 0)])
+        ends = np.array(bounds)
+        starts = np.concatenate([[0], ends[:-1]])
+        use = np.flatnonzero(lost[ends] == lost[starts])
+        keep = np.repeat(lost[ends] == lost[starts], ends - starts)
+        places = places[keep]
+        piece_ends = np.cumsum((ends - starts)[use])
+        out = []
+        for side in self.sides:
+            ids, sizes = side.runs(places)
+            total = np.concatenate([[0], np.cumsum(sizes)])[piece_ends]
+            out.append((ids, np.diff(total, prepend=0)))
+        (a, n_a), (b, n_b) = out
+        return use.tolist(), a, b, n_a, n_b
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Keep the ids of pieces. They are encoded as one text, in which each is encoded as it is alone; if that does not
+        give the bytes again, one by one."""
+        text = " ".join(pieces)
+        b = self.right.encode([text])[0] if text else []
+        a = self.left.encode(" " + text)
+        data = (" " + text).encode()
+        whole = b"".join(map(self.right.bytes.__getitem__, b)) == data == b"".join(map(self.left.bytes.__getitem__, a))
+        if not whole or not text:
+            if len(pieces) == 1:
+                self.pieces[pieces[0]] = -1
+            else:
+                for piece in pieces:
+                    self._learn([piece])
+            return
+        sizes = [len(p) + 1 if p.isascii() else len(p.encode()) + 1 for p in pieces]
+        ends = np.cumsum(sizes)
+        n = self.n_kept = getattr(self, "n_kept", 0) if self.sides[0].used else 0
+        for ids, widths, side in zip((a, b), (self.left_sizes, self.right_sizes), self.sides, strict=True):
+            ids = np.array(ids, np.uint32)
+            side.extend(ids, np.searchsorted(np.cumsum(widths[ids]), ends) + 1, n)
+        self.pieces.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.n_kept = n + len(pieces)
+
+    def align(self, texts: list[str]) -> list[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
+        """(left ids, right ids, groups: how many of each, groups as text, numbers of pairs, how often) of each text."""
+        none = np.zeros(0, np.int32)
+        out: list = [(0, 0, 0, "", none, none)] * len(texts)
+        use, a, b, n_a, n_b = self.encode(texts)
         if not use:
             return out
-        a, b = (np.concatenate([coded[k][side] for k in use]) for side in (0, 1))
-        data = b"".join([(" " + texts[k]).encode() for k in use] + [b" "])
-        bounds = np.cumsum([int(self.left_sizes[coded[k][0]].sum()) for k in use])
+        if len(self.known) > KEPT_WINDOWS:
+            self.forget()
+        data = np.frombuffer(b"".join([(" " + texts[k]).encode() for k in use] + [b" "]), np.uint8)
         ends_a, ends_b = np.cumsum(self.left_sizes[a]), np.cumsum(self.right_sizes[b])
-        space = np.frombuffer(data, np.uint8) == 32
-        is_end = np.zeros(len(space), bool)
+        bounds = ends_a[np.cumsum(n_a) - 1]
+        is_end = np.zeros(len(data), bool)
         is_end[ends_a] = True
         shared = ends_b[is_end[ends_b]]
-        anchors = shared[space[shared]]  # each text starts with a space, so the end of the one before is one too
+        anchors = shared[data[shared] == 32]  # each text starts with a space, so the end of the one before is one too
         stop_a, stop_b = np.searchsorted(ends_a, anchors) + 1, np.searchsorted(ends_b, anchors) + 1
-        marked = self._marked(a, b, ends_a, ends_b, shared)
-        buffer, stops = self._names(a, b, stop_a, stop_b)
-        numbers = self._numbers(buffer, stops, marked, (stop_a + stop_b).tolist())
+        numbers = self._numbers(a, b, stop_a, stop_b, self._marked(a, b, ends_a, ends_b, shared))
         last = np.searchsorted(anchors, bounds) + 1
+        n_windows = np.diff(last, prepend=0)
         n_groups = np.diff(np.searchsorted(shared, bounds) + 1, prepend=0)
+        # (text, pair) of all links of the batch, counted at once
+        pairs, n_links = self.links.runs(numbers)
+        width = len(self.pairs)
+        of = np.repeat(np.repeat(np.arange(len(use)), n_windows), n_links)
+        keys, times = np.unique(of * width + pairs, return_counts=True)
+        of, pairs = np.divmod(keys, width)
+        self.counts[:width] += np.bincount(pairs, times, width).astype(np.int64)
+        cuts = np.searchsorted(of, np.arange(1, len(use)))
+        pairs, times = np.split(pairs.astype(np.int32), cuts), np.split(times.astype(np.int32), cuts)
+        listed, groups_of = numbers.tolist(), self.groups.__getitem__
         at = 0
-        for k, to, groups in zip(use, last.tolist(), n_groups.tolist(), strict=True):
-            out[k] = (len(coded[k][0]), len(coded[k][1]), groups, numbers[at:to])
+        for i, k in enumerate(use):
+            to = int(last[i])
+            text = ";".join(map(groups_of, listed[at:to]))
+            out[k] = (int(n_a[i]), int(n_b[i]), int(n_groups[i]), text, pairs[i], times[i])
             at = to
         return out
 
-    def _marked(self, a, b, ends_a, ends_b, shared) -> list[int]:
+    def _marked(self, a, b, ends_a, ends_b, shared) -> np.ndarray:
         """Places in ``marked`` of all ids, group by group, each with its left ids first."""
         last_a, last_b = np.isin(ends_a, shared, assume_unique=True), np.isin(ends_b, shared, assume_unique=True)
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
@@ -189,10 +272,10 @@ class Aligner:
         n_a, n_b = len(self.left_sizes), len(self.right_sizes)
         out[np.arange(len(a)) + before_b[group_a]] = a + n_a * last_a
         out[np.arange(len(b)) + until_a[group_b]] = b + 2 * n_a + n_b * last_b
-        return out.tolist()
+        return out
 
-    def _names(self, a, b, stop_a, stop_b) -> tuple[bytes, list[int]]:
-        """The id tuples of all windows in one buffer (left ids, border, right ids), and where each ends."""
+    def _names(self, a, b, stop_a, stop_b) -> tuple[np.ndarray, np.ndarray]:
+        """The id tuples of all windows in one array (left ids, border, right ids), and where each ends."""
         n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
         stop = np.cumsum(n_a + n_b + 1)
         names = np.full(int(stop[-1]), self.border, self.ids)
@@ -200,141 +283,140 @@ class Aligner:
         of_a, of_b = np.repeat(window, n_a), np.repeat(window, n_b)
         names[np.arange(len(a)) + (stop_b - n_b)[of_a] + of_a] = a
         names[np.arange(len(b)) + stop_a[of_b] + of_b + 1] = b
-        return names.tobytes(), (stop * self.ids.itemsize).tolist()
-
-    def _numbers(self, buffer: bytes, stops: list[int], marked: list[int], ends: list[int]) -> list[int]:
-        """The number of each window; one that the part has not seen is aligned and kept."""
-        known, groups, strings = self.numbers, self.groups, self.marked.__getitem__
-        out, at, begin = [], 0, 0
-        for to, end in zip(stops, ends, strict=True):
-            name = buffer[at:to]
-            number = known.get(name)
-            if number is None:
-                number = known[name] = len(groups)
-                groups.append("".join(map(strings, marked[begin:end]))[:-1])
-            out.append(number)
-            at, begin = to, end
-        self.counts += [0] * (len(groups) - len(self.counts))
-        return out
-
-    def links(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Links of the windows of names, and the place of the name of each."""
+        return names, stop
+
+    def _distinct(self, names: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One window of each id tuple of the batch, and for each window the place of its own among them. Tuples are found
+        equal by a sum of mixed ids and then compared id by id."""
+        sizes = np.diff(stop, prepend=0)
+        start = stop - sizes
+        inside = np.arange(len(names)) - np.repeat(start, sizes)
+        mixed = self.mix[names & np.uint32(len(self.mix) - 1)] * (2 * inside.astype(np.uint64) + np.uint64(1))
+        mixed ^= mixed >> np.uint64(31)
+        sums = np.add.reduceat(mixed * np.uint64(0x9E3779B97F4A7C15), start) + sizes.astype(np.uint64)
+        _, first, which = np.unique(sums, return_index=True, return_inverse=True)
+        of = first[which]
+        same = sizes[of] == sizes
+        if same.all() and np.array_equal(names[np.arange(len(names)) + np.repeat(start[of] - start, sizes)], names):
+            return first, which
+        return np.arange(len(stop)), np.arange(len(stop))
+
+    def _numbers(self, a, b, stop_a, stop_b, marked: np.ndarray) -> np.ndarray:
+        """The number of each window; one that is not kept is aligned."""
+        names, stop = self._names(a, b, stop_a, stop_b)
+        first, which = self._distinct(names, stop)
+        width, buffer = self.ids.itemsize, names.tobytes()
+        stops = (stop[first] * width).tolist()
+        starts = np.concatenate([[0], stop])[first] * width
+        tuples = [buffer[i:j] for i, j in zip(starts.tolist(), stops, strict=True)]
+        known, groups, strings = self.known, self.groups, self.marked.__getitem__
+        numbers = list(map(known.get, tuples))
+        fresh = [i for i, n in enumerate(numbers) if n is None]
+        if fresh:
+            ends = stop_a + stop_b
+            begins = np.concatenate([[0], ends])[first[fresh]].tolist()
+            listed = marked.tolist()
+            added: list[bytes] = []
+            for i, begin, end in zip(fresh, begins, ends[first[fresh]].tolist(), strict=True):
+                number = known.get(tuples[i])
+                if number is None:
+                    number = known[tuples[i]] = len(groups)
+                    groups.append("".join(map(strings, listed[begin:end]))[:-1])
+                    added.append(tuples[i])
+                numbers[i] = number
+            self._link(added)
+            for name in added:
+                if len(name) > KEPT_IDS * width:
+                    del known[name]
+        return np.array(numbers, np.int64)[which]
+
+    def _link(self, names: list[bytes]) -> None:
+        """Append the numbers of the pairs of each window."""
         ids = np.frombuffer(b"".join(names), self.ids)
         sizes = np.array([len(name) // self.ids.itemsize for name in names])
         borders = np.flatnonzero(ids == self.border)
-        starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(ids))
-        left = place < np.repeat(borders, sizes)
-        right = place > np.repeat(borders, sizes)
-        a, b = ids[left], ids[right]
+        place, border = np.arange(len(ids)), np.repeat(borders, sizes)
+        a, b = ids[place < border], ids[place > border]
         ends_a, ends_b = np.cumsum(self.left_sizes[a]), np.cumsum(self.right_sizes[b])
         links, ends = overlaps(a, b, ends_a, ends_b)
-        return links, np.searchsorted(ends_a[np.cumsum(borders - starts) - 1], ends)
-
-    def long_links(self, name: bytes) -> list[int] | None:
-        return self.links([name])[0].tolist() if len(name) > NAMED_IDS * self.ids.itemsize else None
-
-    def name_of(self, name: bytes) -> bytes:
-        return name if len(name) <= NAMED_IDS * self.ids.itemsize else xxhash.xxh3_128_digest(name)
+        last_a = np.cumsum(borders - (np.cumsum(sizes) - sizes)) - 1  # the last left id of each window
+        stops = np.searchsorted(ends, ends_a[last_a]) + 1
+        distinct, which = np.unique(links, return_inverse=True)
+        pairs = self.pairs
+        numbers = np.array([pairs.setdefault(p, len(pairs)) for p in distinct.tolist()], np.uint32)
+        if len(pairs) > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros(2 * len(pairs) - len(self.counts), np.int64)])
+        self.links.extend(numbers[which], stops, len(self.groups) - len(names))
 
 
 def _schema(docs: DataFrame, key: str, result: str) -> StructType:
     last = "groups" if result == "groups" else "groups_sha256"
-    names = ("part", "n_a", "n_b", "n_groups")
+    numbers = ArrayType(IntegerType())
     return StructType(
         [
             StructField(key, docs.schema[key].dataType),
-            *(StructField(n, LongType()) for n in names),
+            StructField("part", LongType()),
+            *(StructField(n, LongType()) for n in ("n_a", "n_b", "n_groups")),
             StructField(last, StringType()),
-            StructField("numbers", ArrayType(IntegerType())),
-            StructField("name", BinaryType()),
+            StructField("numbers", numbers),
+            StructField("times", numbers),
             StructField("number", IntegerType()),
+            StructField("pair", LongType()),
             StructField("n", LongType()),
-            StructField("links", ArrayType(LongType())),
         ]
     )
 
 
 def _encoded(docs: DataFrame, key: str, text: str, result: str) -> DataFrame:
-    """Rows of texts (``name`` is null) and rows of windows (``name`` is not) of all parts."""
+    """Rows of texts (``pair`` is null) and rows of pairs (``pair`` is not) of all parts."""
     schema = _schema(docs, key, result)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         aligner, size, part = Aligner(), 0, TaskContext.get().partitionId() << 32
 
-        def rows(columns: list, n: int, first: int) -> pa.RecordBatch:
-            given = dict(enumerate(columns, first))
-            arrays = [given.get(i, None) for i in range(len(arrow))]
-            arrays = [pa.nulls(n, f.type) if a is None else a for a, f in zip(arrays, arrow, strict=True)]
-            return pa.RecordBatch.from_arrays(
-                [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, arrow, strict=True)],
-                schema=arrow,
+        def rows(size: int, **columns) -> pa.RecordBatch:
+            arrays = []
+            for f in arrow:
+                column = columns.get(f.name)
+                column = pa.nulls(size, f.type) if column is None else column
+                arrays.append(column if isinstance(column, pa.Array) else pa.array(column, f.type))
+            return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+        def lists(values: list[np.ndarray]) -> pa.Array:
+            ends = np.cumsum([0, *map(len, values)])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values))).cast(arrow.field("times").type)
+
+        def pairs() -> pa.RecordBatch:
+            n = len(aligner.pairs)
+            counted = rows(
+                n, part=[part] * n, number=list(range(n)), pair=list(aligner.pairs), n=pa.array(aligner.counts[:n])
             )
-
-        def windows() -> Iterator[pa.RecordBatch]:
-            names, step = list(aligner.numbers), 20_000
-            for at in range(0, len(names), step):
-                some = names[at : at + step]
-                count = list(range(at, at + len(some)))
-                columns = [
-                    list(map(aligner.name_of, some)),
-                    count,
-                    aligner.counts[at : at + step],
-                    list(map(aligner.long_links, some)),
-                ]
-                made = rows(columns, len(some), 7)
-                yield made.set_column(1, arrow.field(1), pa.array([part] * len(some), pa.int64()))
             aligner.begin()
+            return counted
 
         for batch in batches:
             keys, at = batch.column(0).cast(arrow.field(0).type), 0
             for texts in by_bytes([t or "" for t in batch.column(1).to_pylist()]):
                 with keeping():
-                    found = aligner.align(texts)
-                columns: list[list] = [[], [], [], [], [], []]
-                for entry in found:
-                    a, b, groups, numbers = entry or (0, 0, 0, [])
-                    for number, n in Counter(numbers).items():
-                        aligner.counts[number] += n
-                    joined = ";".join(map(aligner.groups.__getitem__, numbers))
-                    if result == "sha256" and entry:
-                        joined = hashlib.sha256(joined.encode()).hexdigest()
-                    for column, value in zip(columns, (part, a, b, groups, joined, numbers), strict=True):
-                        column.append(value)
-                yield rows([keys.slice(at, len(texts)), *columns], len(texts), 0)
+                    n_a, n_b, n_groups, groups, numbers, times = zip(*aligner.align(texts), strict=True)
+                if result == "sha256":
+                    groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                kept = {"groups" if result == "groups" else "groups_sha256": list(groups)}
+                yield rows(
+                    len(texts), part=[part] * len(texts), n_a=list(n_a), n_b=list(n_b), n_groups=list(n_groups), **kept,
+                    numbers=lists(list(numbers)), times=lists(list(times)), **{key: keys.slice(at, len(texts))},
+                )
                 at += len(texts)
                 size += sum(map(len, texts))
-                if size > PART_BYTES or len(aligner.numbers) > PART_WINDOWS:
-                    yield from windows()
+                if size > PART_BYTES or len(aligner.pairs) > PART_PAIRS:
+                    yield pairs()
                     size, part = 0, part + 1
-        yield from windows()
+        yield pairs()
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
-def _links(windows: DataFrame) -> DataFrame:
-    """Links of distinct windows ``(id, n, name, links)``: rows ``(id, n, link)``, one for each occurrence in the window."""
-    schema = "id long, n long, link long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner()
-        for batch in batches:
-            for given in (True, False):
-                some = batch.filter(pc.equal(pc.is_valid(batch.column(3)), given))
-                if not len(some):
-                    continue
-                if given:
-                    links = some.column(3).flatten()
-                    place = pc.list_parent_indices(some.column(3))
-                else:
-                    links, place = map(pa.array, aligner.links(some.column(2).to_pylist()))
-                own = [some.column(i).take(place) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, links], names=["id", "n", "link"])
-
-    return windows.mapInArrow(run, schema)
-
-
 def looked_up(rows: DataFrame, table: DataFrame, on: str, weight: str) -> DataFrame:
     """Inner join of rows with a table of one row a key, whose ``weight`` is the number of rows of the key.
 
@@ -358,26 +440,22 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", result: str
     The left side encodes a space and the text, the right side the text. Null and empty texts, and those whose tokens
     do not give these bytes again, have no tokens: zeros and an empty text, no digest. Repeated rows count as often as
     they stand, null and repeated keys are allowed, other columns are not read, an empty table gives no rows. A text
-    without anchors is one window. A part holds at most PART_BYTES of texts and one more batch.
+    without anchors is one window. What a part sends to one task is bounded by PART_BYTES of texts and PART_PAIRS pairs, and
+    one more batch.
     """
     kept = "groups" if result == "groups" else "groups_sha256"
-    both = stored(_encoded(docs, key, text, result), "alignment")
-    texts = both.where("name is null").select(F.col(key).alias("k"), F.col("part").alias("of"), "n_a", "n_b", "n_groups", kept, "numbers")
-    parts = both.where("name is not null").select("part", "number", "name", "n", "links")
-    sums = (F.sum("n").alias("n"), F.first("links").alias("links"), F.count(F.lit(1)).alias("parts"))
-    windows = stored(parts.groupBy("name").agg(*sums).withColumn("id", F.monotonically_increasing_id()), "windows")
-
-    links = stored(_links(windows.select("id", "n", "name", "links")), "links")
-    pairs = links.groupBy("link").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("rows"))
-    pairs = stored(pairs.withColumn("right", F.col("link").bitwiseAND(F.lit(0xFFFFFFFF))), "pairs")
+    named = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    both = stored(_encoded(named, "k", "t", result), "alignment")
+    texts = both.where("pair is null").select("k", F.col("part").alias("of"), "n_a", "n_b", "n_groups", kept, "numbers", "times")
+    parts = both.where("pair is not null").select("part", "number", "pair", "n")
+
+    pairs = stored(parts.groupBy("pair").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("rows")), "pairs")
+    pairs = pairs.withColumn("right", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
     # one row for each id of the right vocabulary at most
     top = F.broadcast(pairs.groupBy("right").agg(F.max("count").alias("top")))
     best = (F.col("count") == F.col("top")).cast("long").alias("best")
-    judged = pairs.join(top, "right").select("link", "count", best, "rows")
-    worth = looked_up(links.select("id", "link"), judged, "link", "rows")
-    worth = worth.groupBy("id").agg(F.sum("best").alias("best"), F.sum("count").alias("sum"))
-    worth = stored(windows.select("id", "name", "parts").join(worth, "id").drop("id"), "worth")
-    back = looked_up(parts.select("part", "number", "name"), worth, "name", "parts").drop("name")
+    judged = pairs.join(top, "right").select("pair", "count", best, "rows")
+    worth = looked_up(parts.select("part", "number", "pair"), judged, "pair", "rows").drop("pair")
 
     schema = StructType(
         [
@@ -387,18 +465,18 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", result: str
         ]
     )
 
-    def summed(texts: pa.Table, windows: pa.Table) -> pa.Table:
+    def summed(texts: pa.Table, pairs: pa.Table) -> pa.Table:
         arrow = to_arrow_schema(schema)
-        order = np.argsort(windows["number"].to_numpy())
-        values = [windows[c].to_numpy()[order] for c in ("best", "sum")]
+        order = np.argsort(pairs["number"].to_numpy())
+        values = [pairs[c].to_numpy()[order] for c in ("best", "count")]
         sums: list[list[int]] = [[], []]
-        for numbers in texts["numbers"]:
-            own = numbers.values.to_numpy()
+        for numbers, times in zip(texts["numbers"], texts["times"], strict=True):
+            own, often = numbers.values.to_numpy(), times.values.to_numpy()
             for out, value in zip(sums, values, strict=True):
-                out.append(int(value[own].sum()) if len(own) else 0)
+                out.append(int((value[own] * often).sum()) if len(own) else 0)
         plain = [texts[c].combine_chunks() for c in ("n_a", "n_b", "n_groups")]
         n_links = pc.subtract(pc.add(plain[0], plain[1]), plain[2])
         columns = [texts["k"].combine_chunks().cast(arrow.field(0).type), *plain, n_links, *(pa.array(s, pa.int64()) for s in sums)]
         return pa.Table.from_arrays([*columns, texts[kept].combine_chunks().cast(arrow.field(7).type)], schema=arrow)
 
-    return texts.groupBy("of").cogroup(back.groupBy("part")).applyInArrow(summed, schema)
+    return texts.groupBy("of").cogroup(worth.groupBy("part")).applyInArrow(summed, schema)
