@@ -50,6 +50,55 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def languages(rows: list[tuple[str | None, str | None, bool]], words: int, grams: int) -> list[tuple[str, float]]:
+    """(language, score) of each (text, lang, held out), learned from the rows that are not held out."""
+
+    def letters(text):
+        return re.findall(r"[^\W\d_]+", text.lower())
+
+    counts: dict = {}
+    for text, lang, held in rows:
+        if text is None or lang is None or held:
+            continue
+        for w in letters(text):
+            counts.setdefault((lang, 0), Counter())[w] += 1
+            for n in range(1, 6):
+                for i in range(len(w) + 2 - n + 1):
+                    counts.setdefault((lang, n), Counter())[f" {w} "[i : i + n]] += 1
+    langs = sorted({lang for _, lang, held in rows if lang is not None and not held})
+    share: dict = {}
+    for (lang, n), found in counts.items():
+        top = sorted(found.items(), key=lambda x: (-x[1], x[0]))[: grams if n else words]
+        total = sum(c for _, c in top)
+        for g, c in top:
+            share[lang, n, g] = np.log10(c / total)
+    known = {(n, g) for _, n, g in share}
+
+    def log(lang, n, g):
+        return share.get((lang, n, g), -7.0)
+
+    def scores(w):
+        if (0, w) in known:
+            return [log(lang, 0, w) for lang in langs]
+        for n in range(5, 0, -1):
+            parts = [f" {w} "[i : i + n] for i in range(len(w) + 2 - n + 1)]
+            parts = [g for g in parts if (n, g) in known]
+            if parts:
+                return [sum(log(lang, n, g) for g in parts) / len(parts) for lang in langs]
+        return [-7.0] * len(langs)
+
+    out = []
+    for text, _, _ in rows:
+        found = letters(text or "")
+        if not any(any(map(str.isalpha, w)) for w in found):
+            out.append(("und", 0.0))
+            continue
+        total = np.sum([scores(w) for w in found], axis=0)
+        odds = 10.0 ** np.maximum(total - total.max(), -300)
+        out.append((langs[int(total.argmax())], 1 / odds.sum()))
+    return out
+
+
 def components(fps: list[int], distance: int = 3) -> list[int]:
     """Component number of each fingerprint."""
     all_ = sorted(set(fps))

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from tests.llm.conftest import SMALL, odd_texts
+from tests.llm.conftest import SMALL, odd_texts, words
+from tests.llm.test_pipeline import without_repeats
 from tidemark.llm import language_id, packing, pii, quality, sentence_pieces, simhash, suffix_dedup, tokens, topk, warc
 from tidemark.llm.queries import QUERIES
+from tidemark.llm.shared import stored
 from tidemark.session import scratch_path
 
 
@@ -41,9 +43,35 @@ def rows_of(df):
 
 
 def test_repeats_of_small_table(prepared, small_texts):
-    found = by_key(QUERIES["op2_suffix_dedup"](prepared, SMALL), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    result = stored(QUERIES["op2_suffix_dedup"](prepared, SMALL), "result")
+    found = by_key(result, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     expected = brute.repeats([t for _, t in small_texts])
     assert found == {k: e for (k, _), e in zip(small_texts, expected, strict=True)}
+    plain = dict(without_repeats([(k, t or "") for k, t in small_texts]))
+    assert by_key(result, "doc_id", "text") == {k: (t,) for k, t in plain.items()}
+
+
+def test_passages_and_repeats_of_odd_texts(odd):
+    found = suffix_dedup.remove_passages(odd)
+    size = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    got = rows_of(found.select("doc_id", "n_bytes", size, F.size("spans"), "kept_sha256", "kept"))
+    texts = [(k, t or "") for k, t in odd_texts()]
+    expected = zip(texts, brute.repeats([t for _, t in texts]), without_repeats(texts), strict=True)
+    assert got == Counter((k, *e, cut) for (k, _), e, (_, cut) in expected)
+
+
+def test_many_copies_of_a_row(prepared):
+    """Hundreds of copies of a long row, with and without a key, beside variants of its parts."""
+    long = words(2500, 70)
+    rows = [(k, long) for k in [1] * 300 + [None] * 300] + [(2, None)] * 50 + [(3, "short")] * 50
+    rows += [(10 + i, f"{words(40, 80 + i)} {long[i * 900 : i * 900 + 3000]} {words(40, 90 + i)}") for i in range(4)]
+    df = prepared.createDataFrame(rows, "doc_id long, text string")
+    found = suffix_dedup.remove_repeats(df, result="sha256")
+    size = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    got = rows_of(found.select("doc_id", "n_bytes", size, F.size("spans"), "kept_sha256"))
+    few = [(1, long), (None, long), (3, "short"), (2, None), *rows[-4:]]  # two copies repeat as many do
+    plain = dict(zip([(k, t) for k, t in few], brute.repeats([t for _, t in few]), strict=True))
+    assert got == Counter((k, *plain[k, t]) for k, t in rows)
 
 
 @pytest.mark.parametrize("length", [32, 50, 400])
@@ -275,6 +303,34 @@ def test_packing(odd, none):
     assert all(len(r["ids"]) == 1024 for r in packed) and all(r["n"] == 1024 for r in packed[:-1])
 
 
+BLANK_RUNS = [(i, f"a{blank * 2_000_000}b") for i, blank in enumerate((" ", "\n", "\t", "\u00a0"))]
+
+
+def test_packing_of_long_blank_runs(prepared):
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    df = prepared.createDataFrame(BLANK_RUNS, "doc_id long, text string").repartition(4)
+    pieces = packing.pack(df).select("doc_id", "start", F.crc32("ids").alias("crc"), "length", "doc_tokens").collect()
+    expected = {}
+    for k, t in BLANK_RUNS:
+        expected[k] = np.array([*whole.encode(t, add_special_tokens=False).ids, 0], "<u4")
+    assert sum(p["length"] for p in pieces) == sum(map(len, expected.values()))
+    for p in pieces:
+        own = expected[p["doc_id"]]
+        assert p["doc_tokens"] == len(own)
+        assert p["crc"] == zlib.crc32(own[p["start"] : p["start"] + p["length"]].tobytes())
+
+
+def test_five_megabytes_without_a_space(prepared, pieces_model):
+    text = words(1_200_000, 44).replace(" ", "")[:5_000_000]
+    df = prepared.createDataFrame([(1, text, "xx"), (2, "plain words", "xx")], "doc_id long, text string, lang string").repartition(2)
+    n = len(pieces_model.encode(text))
+    assert by_key(tokens.token_counts(df), "doc_id", "n_bytes", "n_tokens")[1] == (5_000_000, n)
+    assert by_key(sentence_pieces.encode(df), "doc_id", "n_tokens")[1] == (n,)
+    assert by_key(pii.find_personal_data(df, pii.learn(df)), "doc_id", F.size("spans"))[1] == (0,)
+    found = by_key(language_id.identify(df, language_id.learn(df)), "doc_id", "lang_pred")
+    assert found[1] == ("xx",)
+
+
 def test_packing_crc(prepared, small_texts):
     whole = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     ids = {k: np.array([*whole.encode(t, add_special_tokens=False).ids, 0], "<u4") for k, t in small_texts}
@@ -468,6 +524,38 @@ def test_languages_of_odd_texts(odd, none):
     assert language_id.identify(none, model).count() == 0
 
 
+def test_languages_of_small_table(prepared):
+    table = prepared.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()
+    rows = [(r["text"], r["lang"], zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in table]
+    plain = brute.languages(rows, language_id.WORDS, language_id.GRAMS)
+    got = by_key(QUERIES["op1_language_id"](prepared, SMALL), "doc_id", "held_out", "lang_pred", "score")
+    for r, (_, _, held), (lang, score) in zip(table, rows, plain, strict=True):
+        found = got[r["doc_id"]]
+        assert found[:2] == (held, lang) and abs(found[2] - score) < 1e-6
+
+
+def test_queries_on_odd_documents(prepared, odd):
+    """Queries read a table with nulls, repeated keys and clashing column names."""
+    folder = scratch_path(prepared, "odd")
+    odd.write.parquet(f"{folder}/documents.parquet")
+    keys = Counter(k for k, _ in odd_texts())
+    for name in ("op1_language_id", "op5_quality_rules", "op6_token_counts", "op8_pii", "op9_simhash", "op11_byte_pairs", "op12_alignment"):
+        rows = QUERIES[name](prepared, folder).collect()
+        assert Counter(r["doc_id"] for r in rows) == keys, name
+        if name == "op1_language_id":
+            assert all(r["held_out"] is (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+        if name == "op5_quality_rules":
+            plain = Counter((k, *brute.measures(t)) for k, t in odd_texts())
+            columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+            assert Counter(tuple(r[c] for c in columns) for r in rows) == plain
+
+
+def test_samples_do_not_depend_on_the_files(prepared):
+    docs = prepared.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.learn(docs)
+    assert model == language_id.learn(docs.orderBy("text").repartition(7))
+
+
 def test_backoff_uses_the_longest_known_grams():
     model = {"langs": ["a", "b"], "tables": {k: {} for k in (0, *language_id.ORDERS)}}
     model["tables"][0]["known"] = [-1.0, -3.0]

@@ -44,16 +44,21 @@ def one_of_each(rows):
     return list(first.values())
 
 
-def without_repeats(rows):
+def without_repeats(rows, length=corpus_pipeline.PASSAGE_BYTES):
+    """Runs of strings that start elsewhere too go if they cover 400 bytes or over 50 words."""
     out = []
-    texts = [t for _, t in rows]
-    seen = Counter(d[i : i + 400] for t in texts for d in [t.encode()] for i in range(len(d) - 399))
-    for k, t in rows:
-        data = t.encode()
+    texts = [t.encode() for _, t in rows]
+    seen = Counter(d[i : i + length] for d in texts for i in range(len(d) - length + 1))
+    for (k, _), data in zip(rows, texts, strict=True):
         gone = np.zeros(len(data), bool)
-        for i in range(len(data) - 399):
-            if seen[data[i : i + 400]] > 1:
-                gone[i : i + 400] = True
+        again = [i for i in range(len(data) - length + 1) if seen[data[i : i + length]] > 1]
+        for n, i in enumerate(again):
+            if n == 0 or again[n - 1] != i - 1:
+                first = i
+            if n + 1 == len(again) or again[n + 1] != i + 1:
+                end = i + length
+                if end - first >= 400 or len(data[first:end].split()) > 50:
+                    gone[first:end] = True
         out.append((k, bytes(b for b, g in zip(data, gone, strict=True) if not g).decode("utf-8", "ignore")))
     return out
 
@@ -117,6 +122,16 @@ def test_empty_table(prepared, none):
     assert "sequence_id" in df.columns
 
 
+def test_packing_stage_on_long_blank_runs(prepared):
+    docs = prepared.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [(i, f"a{blank * 1_200_000}b") for i, blank in enumerate((" ", "\n", "\t", "\u00a0"))]
+    df = prepared.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], docs.schema)
+    whole = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    pieces = corpus_pipeline.packed(prepared, df, SMALL).where("start = 0").collect()
+    expected = {k: len(whole.encode(t, add_special_tokens=False).ids) + 1 for k, t in rows}
+    assert {p["doc_id"]: p["doc_tokens"] for p in pieces} == expected
+
+
 def test_planted_copies_and_passages(prepared):
     """Exact and near copies go but for one, a passage that documents share goes, clean documents stay as they are."""
     docs = prepared.read.parquet(f"{SMALL}/documents.parquet")
@@ -147,7 +162,7 @@ def test_every_query_is_registered(prepared):
 
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLE) <= set(entry.oracle_sql()) and "pipeline" not in entry.oracle_sql()
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 def test_passages_of_51_words(prepared):
@@ -156,11 +171,15 @@ def test_passages_of_51_words(prepared):
     around = [words(60, 100 + i) for i in range(6)]
     short = words(45, 99)
     passage = " ".join(w[:4] for w in words(51, 98).split())
-    assert all(corpus_pipeline.PASSAGE_BYTES <= len(p) < 300 for p in (short, passage))
+    tiny = " ".join(w[:2] for w in words(51, 97).split())
+    assert all(corpus_pipeline.PASSAGE_BYTES <= len(p) < 300 for p in (short, passage, tiny))
+    assert len(tiny) == 51 * 3 - 1
     rows = [(i, f"{around[2 * i]} Q {passage} {'XYZ'[i]} {around[2 * i + 1]}") for i in range(3)]
     rows += [(10 + i, f"{words(50, 200 + i)} {'UVW'[i]} {short} {'RST'[i]} {words(50, 300 + i)}") for i in range(3)]
+    rows += [(20 + i, f"{words(50, 400 + i)} {'XYZ'[i]} {tiny} {'RST'[i]} {words(50, 500 + i)}") for i in range(3)]
     df = prepared.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], docs.schema)
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(prepared, df, SMALL).collect()}
     for i in range(3):
         assert got[i] == f"{around[2 * i]}{'XYZ'[i]} {around[2 * i + 1]}"
         assert got[10 + i] == dict(rows)[10 + i]
+        assert tiny not in got[20 + i] and got[20 + i].startswith(words(50, 400 + i)) and got[20 + i].endswith(words(50, 500 + i))

@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
-from tidemark.llm.shared import per_text
+from tidemark.llm.shared import is_drawn, per_text
 
 #: Expected texts of each language that the model is learned from, and entries it keeps of each kind and language.
 SAMPLE_TEXTS, WORDS, GRAMS = 1500, 12_000, 5000
 ORDERS = (5, 4, 3, 2, 1)
-SEED = 23
 #: Log10 share of a word or n-gram that a language does not have.
 MISSING = -7.0
 UNKNOWN = "und"
@@ -37,22 +36,26 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def held_out(key: Column) -> Column:
-    return F.crc32(key.cast("string").cast("binary")) % 4 == 2
+    """Whether a row is kept from learning, by its key; one without a key is not."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict:
     """The model of rows with a text and a language: ``{"langs": [...], "tables": {0: {word: scores}, n: {gram: scores}}}``.
 
-    Rows are drawn evenly at a rate that gives about SAMPLE_TEXTS whole texts of each language; counts are added up
-    in Spark, and the most frequent WORDS words and GRAMS n-grams of each length are kept for each language, which
-    bounds what reaches the driver. Without labelled rows the model knows no language.
+    Rows are drawn evenly, by a hash of key and text, at a rate that gives about SAMPLE_TEXTS whole texts of each language;
+    counts are added up in Spark, and the most frequent WORDS words and GRAMS n-grams of each length are kept for each
+    language, which bounds what reaches the driver for each. Languages are taken to be few, as labels of a table are.
+    Without labelled rows the model knows no language.
     """
-    labelled = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
+    labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    labelled = labelled.where("t is not null and l is not null")
     sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {"langs": [], "tables": {}}
-    # rows are drawn one by one, so a text that a third of all rows share cannot fill the sample
-    drawn = labelled.sampleBy("l", {name: min(1.0, SAMPLE_TEXTS / n) for name, n in sizes.items()}, SEED)
+    # by key and text, so a text that a third of all rows share cannot fill the sample
+    rates = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, SAMPLE_TEXTS / n)])
+    drawn = labelled.where(is_drawn(rates[F.col("l")], "k", "t")).select("t", "l")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

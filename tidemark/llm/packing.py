@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,15 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END, LENGTH = 0, 1024
 #: Ids of one stored row; a longer document takes several rows.
 CHUNK = 1 << 16
+#: A run of white space from which on the ranks' word pattern would need too deep a stack.
+_BLANK_RUN = re.compile(r"\s{2000}")
 
 
 class Ids:
     """Ids of whole texts as the tokenizer file gives them.
 
     The ranks file holds the same vocabulary and the same word pattern and is several times faster; a text that
-    holds the string of a special token goes to the tokenizer file itself.
+    holds the string of a special token or a long run of white space goes to the tokenizer file itself.
     """
 
     def __init__(self, tokenizer: str = TOKENIZER, ranks: str = RANKS) -> None:
@@ -43,7 +46,7 @@ class Ids:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if any(s in text for s in self.specials):
+        if any(s in text for s in self.specials) or _BLANK_RUN.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.plain.encode_to_numpy(text, disallowed_special=())
 

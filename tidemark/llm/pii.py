@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tidemark.llm.shared import per_text
+from tidemark.llm.shared import is_drawn, per_text
 
 # The kinds in the order spans are listed, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -33,7 +33,6 @@ LABELS = len(KINDS) + 1
 CHAIN, SAME, ALIKE = range(3)
 #: Expected texts with a digit or an ``@`` that the potentials are learned from.
 SAMPLE_TEXTS = 4000
-SEED = 19
 ROUNDS, DAMPING, SURE = 10, 0.5, 0.9
 SETTLED = 1e-4
 #: A repeated word needs this many letters and digits, a similar one this many last digits.
@@ -175,14 +174,14 @@ def features(word: str) -> tuple[str, ...]:
     )
 
 
-def learn(docs: DataFrame, text: str = "text") -> dict:
-    """Potentials from what the patterns find in about SAMPLE_TEXTS texts drawn evenly from those with a digit or an
-    ``@``. Each kind of factor is trained on its own: node weights by softmax regression over the counts of feature
+def learn(docs: DataFrame, text: str = "text", key: str = "doc_id") -> dict:
+    """Potentials from what the patterns find in about SAMPLE_TEXTS texts drawn evenly, by a hash of key and text, from
+    those with a digit or an ``@``. Each kind of factor is trained on its own: node weights by softmax regression over the counts of feature
     sets, pair potentials by how much more often two labels meet than by chance. Counts are added up in Spark; the
     feature sets are few whatever the input."""
-    marked = docs.select(F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
-    rate = min(1.0, SAMPLE_TEXTS / max(1, marked.count()))
-    drawn = marked.sample(rate, SEED)
+    marked = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
+    rate = SAMPLE_TEXTS / max(1, marked.count())
+    drawn = marked.where(is_drawn(F.lit(rate), "k", "t")).select("t")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()

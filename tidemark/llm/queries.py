@@ -23,7 +23,7 @@ from tidemark.llm import (
     warc,
 )
 from tidemark.llm.shared import prepare
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, size_shuffles, table_bytes
 from tidemark.sources.basic import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +39,10 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table's scan; shuffles are sized for it."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size_shuffles(spark, table_bytes(rows))
+    return rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,22 +54,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_language_id(spark, sf_dir):
     """Language of every text, learned from the documents that are not held out."""
     docs = documents(spark, sf_dir)
-    model = language_id.learn(docs.where(~F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False))))
+    model = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
     found = language_id.identify(docs, model)
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 @query
 def op2_suffix_dedup(spark, sf_dir):
-    """Every document without the bytes of its strings of 400 bytes that occur anywhere else."""
-    found = suffix_dedup.remove_repeats(documents(spark, sf_dir), result="sha256")
-    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    """Every document without the bytes of its strings of 400 bytes that occur anywhere else; beside it ``text``, the
+    document without its repeated passages of over 50 words, which can be shorter."""
+    found = suffix_dedup.remove_passages(documents(spark, sf_dir))
+
+    def total(spans: str):
+        return F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+
     return found.select(
         "doc_id",
         "n_bytes",
-        removed.alias("n_removed"),
+        total("spans").alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"),
         "kept_sha256",
+        total("passages").alias("n_passage_bytes"),
+        F.size("passages").cast("bigint").alias("n_passages"),
+        F.col("kept").alias("text"),
     )
 
 
@@ -156,8 +166,7 @@ def op9_simhash(spark, sf_dir):
 
 @query
 def op10_sentence_pieces(spark, sf_dir):
-    """Ids of every document by the shared-prefix search, and whether they decode to the text again."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3000")
+    """Ids of every document by the shared-prefix search, and the digest of the text they decode to."""
     docs = documents(spark, sf_dir)
     coded = sentence_pieces.encode(docs, decoded=True)
     return coded.select(

@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from tidemark.session import apply_settings, scratch_path, use_checkpoint_dir
+from tidemark.session import apply_settings, scratch_path, size_shuffles, table_bytes, use_checkpoint_dir
 
 #: Rows of one Arrow batch: texts vary from a word to many MB, so batches hold few rows.
 BATCH_ROWS = 1000
@@ -20,23 +20,33 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 1 << 20
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of the text operators, and a shared folder for what they write on the way."""
+def prepare(spark: SparkSession, *tables: DataFrame) -> SparkSession:
+    """Session settings of the text operators, shuffles sized for the given tables, and a shared folder for what the
+    operators write on the way."""
     apply_settings(spark)
+    for df in tables:
+        size_shuffles(spark, table_bytes(df))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     use_checkpoint_dir(spark)
     return spark
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
+    """The rows written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
+    Shuffles after it are sized for it."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     read = df.sparkSession.read.schema(df.schema).parquet(path)
+    size_shuffles(df.sparkSession, table_bytes(read))
     read.stored_at = path
     return read
 
 
+def is_drawn(rate: Column, *columns: str) -> Column:
+    """Whether a row is in a sample of that rate, by a hash of its columns: the same rows wherever they are stored."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < rate * (1 << 30)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for table in tables:
@@ -109,8 +119,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     )
     seen = None
     while True:
-        least = _stars(links, larger=True)
+        least, before = _stars(links, larger=True), links
         links = stored(_stars(least, larger=False), f"{name}-links")
+        dropped(before)
         state = links.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         ).first()
