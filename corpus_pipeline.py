@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import packing, pii, quality, simhash, suffix_dedup
 from tidemark.llm.shared import prepare, stored
+from tidemark.llm.suffix_dedup import PASSAGE_BYTES, PASSAGE_WORDS
 from tidemark.sources.basic import spread
 
-#: Repeated passages of more words go, if they have this many bytes: the shortest 51 words in a row of sf0.1 documents that
-#: reach the stage have 230 (en), 246 (fr), 252 (es) and 259 (de).
-PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects; null and empty texts have too few words and go."""
-    prepare(spark)
+    prepare(spark, docs)
     judged = quality.cascade(docs, verdict="__rejected_by")
     return judged.where("__rejected_by is null").select(*docs.columns)
 
@@ -24,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the least doc_id (then the least text hash); of rows that
     agree in both one stays."""
-    prepare(spark)
+    prepare(spark, docs)
     named = docs.withColumn("__id", F.struct(F.col("doc_id"), F.xxhash64("text").alias("th")))
     groups = simhash.simhash_groups(named, key="__id")
     first = groups.where(F.col("__id") == F.col("component")).select("__id").distinct()
@@ -34,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur more than once and have over PASSAGE_WORDS words or 400 bytes;
     characters that a cut leaves incomplete go as well. A document that is left empty stays as one with an empty text."""
-    prepare(spark)
+    prepare(spark, docs)
     named = docs.select("doc_id", "text", _others(docs))
     cut = suffix_dedup.remove_repeats(
         named, length=PASSAGE_BYTES, words=PASSAGE_WORDS, result="text", carry=("__others",)
@@ -44,7 +42,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each span of personal data replaced by its kind."""
-    prepare(spark)
+    prepare(spark, docs)
     named = docs.select(_others(docs), "text")
     found = pii.find_personal_data(named, pii.learn(docs), key="__others", mask=True)
     return _with_text(found, "masked", docs.columns)
@@ -52,7 +50,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 ids."""
-    prepare(spark)
+    prepare(spark, docs)
     pieces = packing.pack(docs)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
