@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -40,6 +41,34 @@ def measures(text: str | None) -> tuple[int, int, int, int, int]:
     return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(marked)
 
 
+def good(text: str | None) -> bool:
+    """Whether no quality rule rejects the text."""
+    n, chars, symbols, dup, repeated = measures(text)
+    text = text or ""
+    w = SPACE.findall(text)
+    lines = [x for x in text.split("\n") if SPACE.search(x)]
+    if n < 20 or 100 * repeated > 30 * n:
+        return False
+    bullets = sum(x.lstrip(" \t")[:1] in tuple("•‣●*–-") for x in text.split("\n"))
+    ellipses = sum(x.rstrip(" \t\r").endswith(("...", "…")) for x in text.split("\n"))
+    alphabetic = sum(any(unicodedata.category(c)[0] == "L" for c in x) for x in w)
+    stops = set(
+        "the of and to in that it is was for on with as at by from this are be or de la le les et des en un une que du est pour "
+        "dans der die und das den von zu mit sich auf ist im dem nicht ein eine el los del las por con para se es al lo su".split()
+    )
+    top = max(Counter(zip(w, w[1:], strict=False)).values(), default=0)
+    return (
+        symbols * 5 <= n
+        and 2 * n <= chars <= 20 * n
+        and dup * 2 <= len(lines) <= n / 2
+        and bullets * 10 <= len(lines) * 9
+        and ellipses * 10 <= len(lines) * 3
+        and alphabetic * 10 >= n * 6
+        and (n < 100 or any(x.lower() in stops for x in w))
+        and top * 5 <= n - 1
+    )
+
+
 def fingerprint(text: str | None) -> int:
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = SPACE.findall(low)

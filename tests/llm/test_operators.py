@@ -233,6 +233,34 @@ def test_kept_is_the_cascade(odd, none):
     assert quality.cascade(none).count() == quality.measures(none).count() == 0
 
 
+JUNK = {
+    "symbols": words(80, 61).replace(" ", " #|# ") + " the",
+    "short_lines": words(60, 62).replace(" ", "\n"),
+    "bullets": "\n".join(f"  - {words(6, 700 + i)} the" for i in range(12)) + "\n\n",
+    "ellipses": "\n".join(f"{words(6, 720 + i)} the... \t" for i in range(12)),
+    "alphabetic_words": words(30, 63) + " 12 3.4" * 40 + " the",
+    "stop_words": words(120, 64),
+    "top_pair": " ".join(f"{words(2, 740 + i)} of it" for i in range(40)),
+    "word_length": "a " * 10 + " ".join(str(i) + "x" * 40 for i in range(60)) + " the",
+    "duplicate_lines": "\n".join([words(9, 65)] * 2 + [words(9, 66) + " x"] * 2 + [words(9, 66) + " y"] * 2 + ["of it"] * 20),
+    "blank runs": words(60, 67) + " " * 300_000 + "\n" * 200_000 + "." * 200_000 + " the " + "7" * 200_000,
+}
+
+
+def test_each_rule_rejects_its_junk(prepared):
+    clean = [words(70, 800 + i).replace("a ", "the ") + " and so on." for i in range(5)]
+    clean += ["\n".join(words(12, 900 + i) + " of" for i in range(10))]
+    rows = [*((name, text) for name, text in JUNK.items()), *((f"clean {i}", t) for i, t in enumerate(clean))]
+    df = prepared.createDataFrame(rows, "doc_id string, text string")
+    found = by_key(quality.cascade(df), "doc_id", "rejected_by")
+    assert {k: v is None for k, (v,) in found.items()} == {k: brute.good(t) for k, t in rows}
+    assert by_key(quality.measures(df), "doc_id", "kept") == {k: (brute.good(t),) for k, t in rows}
+    rules = {r.name: r for r in quality.shape_rules(F.col("text"), quality.words_of(F.col("text")))}
+    for name in rules:
+        assert df.where(rules[name].rejects).where(F.col("doc_id") == name).count() == 1, name
+        assert df.where(rules[name].rejects).where(F.col("doc_id").startswith("clean")).count() == 0, name
+
+
 def test_clean_texts_are_kept(prepared):
     kept = QUERIES["op5_quality_rules"](prepared, SMALL)
     labels = prepared.read.parquet(f"{SMALL}/labels.parquet")

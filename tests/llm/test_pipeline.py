@@ -22,12 +22,7 @@ from tidemark.llm.shared import stored
 from tidemark.llm.sql import ORACLE
 
 
-def good(text):
-    n, chars, symbols, dup, repeated = brute.measures(text)
-    lines = sum(bool(brute.SPACE.search(x)) for x in (text or "").split("\n"))
-    if n < 20 or 100 * repeated > 30 * n:
-        return False
-    return symbols * 5 <= n and 2 * n <= chars <= 20 * n and dup * 2 <= lines
+good = brute.good
 
 
 def one_of_each(rows):

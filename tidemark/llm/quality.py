@@ -14,6 +14,14 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = "[#*$%&|<>]"
 SPAN = 8
+# Bullets, and frequent function words of English, French, German and Spanish.
+BULLETS = "•‣●*–-"
+STOP_WORDS = (
+    "the of and to in that it is was for on with as at by from this are be or "
+    "de la le les et des en un une que du est pour dans "
+    "der die und das den von zu mit sich auf ist im dem nicht ein eine "
+    "el los del las por con para se es al lo su"
+).split()
 #: Texts the cost and selectivity of the rules are estimated on, as expected rows of the sample.
 SAMPLE_ROWS = 2000
 SEED = 17
@@ -36,6 +44,45 @@ def n_symbols(text: Column) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, SYMBOL, ""))).cast("bigint")
 
 
+def n_lines(text: Column) -> Column:
+    """Lines with a word."""
+    return F.regexp_count(text, F.lit(rf"{WORD}[^\n]*")).cast("bigint")
+
+
+def n_bullets(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(rf"(?md)^[\x20\x09]*[{BULLETS}]")).cast("bigint")
+
+
+def n_ellipses(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"(?md)(\.\.\.|…)[\x20\x09\r]*$")).cast("bigint")
+
+
+def n_alphabetic(text: Column) -> Column:
+    """Words with a letter."""
+    return F.regexp_count(text, F.lit(rf"\p{{L}}{WORD}*")).cast("bigint")
+
+
+def top_pair(words: Column) -> Column:
+    """How often the most frequent two neighbouring words stand, or 0 where so many pairs differ that it cannot be a fifth of
+    all: texts whose pairs nearly all differ are not sorted."""
+    pairs = _doubled(1)(F.transform(words, lambda w: F.xxhash64(w)))
+
+    def longest(h: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("of"), F.lit(0).alias("run"), F.lit(0).alias("top"))
+
+        def step(a: Column, x: Column) -> Column:
+            run = F.when(a["of"] == x, a["run"]).otherwise(F.lit(0)) + 1
+            return F.struct(x.alias("of"), run.alias("run"), F.greatest(a["top"], run).alias("top"))
+
+        return F.aggregate(F.sort_array(h), start, step, lambda a: a["top"])
+
+    def counted(h: Column) -> Column:
+        few = F.size(F.array_distinct(h)) * 5 < F.size(h) * 4 + 5
+        return F.when(few, longest(h)).otherwise(F.lit(0))
+
+    return let(pairs, counted).cast("bigint")
+
+
 def n_dup_lines(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
@@ -107,15 +154,32 @@ def base_rules(words: Column) -> list[Rule]:
     ]
 
 
-def shape_rules(text: Column, words: Column) -> list[Rule]:
-    """Rules beyond the base ones, with wide bounds: a clean text passes all of them."""
+def counts_of(text: Column, words: Column) -> dict[str, Column]:
+    """What more than one rule or column needs of a text."""
+    return {
+        "n_words": F.size(words).cast("bigint"),
+        "word_chars": word_chars(words),
+        "n_symbols": n_symbols(text),
+        "n_dup_lines": n_dup_lines(text),
+        "n_lines": n_lines(text),
+    }
+
+
+def shape_rules(text: Column, words: Column, counts: dict[str, Column] | None = None) -> list[Rule]:
+    """Rules beyond the base ones, with wide bounds: a clean text passes all of them. ``counts`` are columns that hold
+    what ``counts_of`` gives; without them each rule counts for itself."""
+    c = counts or counts_of(text, words)
+    n, lines = c["n_words"], c["n_lines"]
     return [
-        Rule("symbols", n_symbols(text) * 5 > F.size(words)),
-        Rule("word_length", (word_chars(words) < F.size(words) * 2) | (word_chars(words) > F.size(words) * 20)),
-        Rule(
-            "duplicate_lines",
-            n_dup_lines(text) * 2 > F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))),
-        ),
+        Rule("symbols", c["n_symbols"] * 5 > n),
+        Rule("word_length", (c["word_chars"] < n * 2) | (c["word_chars"] > n * 20)),
+        Rule("duplicate_lines", c["n_dup_lines"] * 2 > lines),
+        Rule("short_lines", n < lines * 2),
+        Rule("bullets", n_bullets(text) * 10 > lines * 9),
+        Rule("ellipses", n_ellipses(text) * 10 > lines * 3),
+        Rule("alphabetic_words", n_alphabetic(text) * 10 < n * 6),
+        Rule("stop_words", (n >= 100) & ~F.exists(words, lambda w: F.lower(w).isin(STOP_WORDS))),
+        Rule("top_pair", (n >= 20) & (top_pair(words) * 5 > n - 1)),
     ]
 
 
@@ -180,22 +244,16 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     order = order_rules(sample_of(docs, text), shape_rules(F.col("text"), F.col("words")))
     names = {r.name: i for i, r in enumerate(order)}
     own = F.coalesce(F.col(text), F.lit(""))
-    split = docs.select(F.col(key), own.alias("__text"), F.explode(F.array(words_of(own))).alias("__words"))
+    split = docs.select(F.col(key).alias("__key"), own.alias("__text"), F.explode(F.array(words_of(own))).alias("__words"))
     text_, words = F.col("__text"), F.col("__words")
-    rules = sorted(shape_rules(text_, words), key=lambda r: names[r.name])
-    counted = split.select(
-        F.col(key),
-        "__text",
-        "__words",
-        F.size(words).cast("bigint").alias("n_words"),
-        word_chars(words).alias("word_chars"),
-        n_symbols(text_).alias("n_symbols"),
-        n_dup_lines(text_).alias("n_dup_lines"),
-        F.explode(F.array(n_repeat_words(words))).alias("n_repeat_words"),
-    )
+    # a generator of one row: the rules read the counts and do not count again
+    counts = {**counts_of(text_, words), "n_repeat_words": n_repeat_words(words)}
+    counted = split.select("__key", "__text", "__words", F.inline(F.array(F.struct(*[c.alias(n) for n, c in counts.items()]))))
+    rules = shape_rules(text_, words, {n: F.col(n) for n in counts})
+    rules.sort(key=lambda r: names[r.name])
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     return counted.select(
-        F.col(key),
+        F.col("__key").alias(key),
         "n_words",
         "word_chars",
         "n_symbols",
