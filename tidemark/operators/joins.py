@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from tidemark.session import table_bytes
 
-#: A side is hinted for a broadcast up to this size.
+#: A side of counted rows is broadcast up to this size.
 BROADCAST_BYTES = 64 * 2**20
+#: A side is hinted for a broadcast up to this size of its files, which are compressed: ten times as much in memory is still
+#: no more than the bound above.
+SCAN_BYTES = 6 * 2**20
 
 
-def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+def fits_broadcast(df: DataFrame, max_bytes: int = SCAN_BYTES) -> bool:
     """Whether the table has at most ``max_bytes`` by the optimizer's estimate, which is the files' size for a scan and
-    never too small for what is derived from one by filters, columns or aggregates. No job runs."""
-    return table_bytes(df) <= max_bytes
+    goes down with filters, columns and aggregates. It knows nothing of the rows a generator makes, so a plan with one does
+    not fit. No job runs."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return "Generate " not in plan.toString() and table_bytes(df) <= max_bytes
 
 
-def lookup(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def lookup(df: DataFrame, max_bytes: int = SCAN_BYTES) -> DataFrame:
     """Hint a broadcast where the size allows it; else leave the join to adaptive execution, which measures the
     side once it is there."""
     return F.broadcast(df) if fits_broadcast(df, max_bytes) else df

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.series import MICROS, finite, micros, percent, step_start, whole_match
 from tidemark.operators.joins import explode_steps
+from tidemark.operators.lookback import as_of
 from tidemark.operators.ordered import ROWS_PER_PIECE, Ordered, ordered
 
 SERIES = ("metric", "series")
@@ -62,28 +63,47 @@ def counter_deltas(df, by=SERIES, ts="ts", value="value", rows=ROWS_PER_PIECE) -
     return _deltas(df, by, ts, value, rows).done()
 
 
+#: Growths are added up as whole numbers of three units, powers of two a hundred places apart, so that what leaves a window
+#: is exactly what entered; a growth of GROWTH_BOUND or more makes its windows infinite.
+UNITS = (2.0**-152, 2.0**-52, 2.0**48)
+GROWTH_BOUND = 2.0**148
+
+
+def _shares(value: Column) -> list[Column]:
+    """A number as multiples of the three units. A double has 53 binary places, so growths down to 2**-100 are kept in full,
+    and no share has more than 31 digits."""
+    shares, rest = [], value.cast("double")
+    for unit in reversed(UNITS):
+        share = F.rint(rest / F.lit(unit))
+        shares.append(share.cast("decimal(38,0)"))
+        rest = rest - share * F.lit(unit)
+    return shares[::-1]
+
+
 def counter_rate(
     df: DataFrame, window_s: int = 60, by=SERIES, ts="ts", value="value", rows=ROWS_PER_PIECE
 ) -> DataFrame:
     """Growth over the trailing window ``(t - w, t]`` and per second, at each sample.
 
     Each growth enters the running sum at its own time and leaves it one window later, so one ordered
-    pass serves a window of any length (a sliding frame would add up every window again). The sum is one of decimals
-    with nine places, so what leaves is exactly what entered; growths of 1e19 and more are left out.
+    pass serves a window of any length (a sliding frame would add up every window again). Sums are exact, so growths of any
+    size in a series do not disturb each other; none is rounded or left out.
     """
     scan = _deltas(df, by, ts, value, rows)
-    exact = F.col("delta").try_cast("decimal(28,9)")
-    moves = F.array(
-        F.struct(F.col("us").alias("at"), exact.alias("move"), F.lit(True).alias("sample")),
-        F.struct(
-            (F.col("us") + window_s * MICROS).alias("at"),
-            (-exact).alias("move"),
-            F.lit(False).alias("sample"),
-        ),
-    )
+    names = [f"unit_{k}" for k in range(len(UNITS))]
+    grown = F.col("delta").cast("double")
+    shares = [F.when(grown < GROWTH_BOUND, s) for s in _shares(grown)]
+    moved = [*zip(names, shares, strict=True), ("beyond", (grown >= GROWTH_BOUND).cast("int"))]
+
+    def move(at: Column, sign: int, sample: bool) -> Column:
+        return F.struct(at.alias("at"), *[(x * sign).alias(n) for n, x in moved], F.lit(sample).alias("sample"))
+
+    moves = F.array(move(F.col("us"), 1, True), move(F.col("us") + window_s * MICROS, -1, False))
     timeline = scan.rearranged(lambda rows: rows.drop("reset").select("*", F.inline(moves)), "at")
-    summed = timeline.running_sum("move", "total").done()
-    increase = F.when(F.col("delta").isNotNull(), F.round("total", 6).cast("double"))
+    summed = timeline.running_sums(**{f"sum_{n}": n for n, _ in moved}).done()
+    parts = [F.coalesce(F.col(f"sum_{n}").cast("double"), F.lit(0.0)) * unit for n, unit in zip(names, UNITS, strict=True)]
+    total = F.when(F.col("sum_beyond") > 0, float("inf")).otherwise(parts[0] + parts[1] + parts[2])
+    increase = F.when(F.col("delta").isNotNull(), total)
     return summed.filter("sample").select(
         *by,
         "us",
@@ -140,14 +160,31 @@ def max_over_series(
 
 
 def pct_of_limit(
-    usage: DataFrame, limits: DataFrame, step_s: int, by=(), ts="ts", value="value"
+    usage: DataFrame,
+    limits: DataFrame,
+    step_s: int,
+    by=(),
+    ts="ts",
+    value="value",
+    lookback_s: int = 0,
+    rows=ROWS_PER_PIECE,
 ) -> DataFrame:
-    """Largest usage as percent of the largest limit of the same step. Both sides are aggregated
-    to one row per step before they meet."""
+    """Largest usage as percent of the largest limit. Both sides are aggregated to one row per step before they meet.
+
+    The limit of a step is that of the newest step with one which began at most ``lookback_s`` seconds earlier, so the two
+    sides may be scraped at different intervals; without a lookback both have to be in the same step. Steps without a
+    limit are left out.
+    """
     keys = [*by, "step_us"]
     used = max_over_series(usage, step_s, by, ts, value).withColumnRenamed("max_value", "used")
     limit = max_over_series(limits, step_s, by, ts, value).withColumnRenamed("max_value", "limit")
-    return used.join(limit, keys).withColumn("pct", percent(F.col("used"), F.col("limit")))
+    if lookback_s < step_s:
+        both = used.join(limit, keys)
+    else:
+        limit = limit.filter(F.col("limit").isNotNull())
+        found = as_of(used, limit, list(by), "step_us", ["limit"], lookback_s * MICROS, rows=rows)
+        both = found.filter(F.col("since").isNotNull()).select(*keys, "used", "limit")
+    return both.withColumn("pct", percent(F.col("used"), F.col("limit")))
 
 
 def latest(df: DataFrame, by=SERIES, ts="ts", value="value") -> DataFrame:

@@ -179,26 +179,40 @@ class Ordered:
 
     def running_sum(self, source: str, new: str) -> Ordered:
         """Add the sum over all rows of the key up to this one (rows of equal order included)."""
-        both = F.coalesce(F.col(new) + F.col(_CARRY), F.col(new), F.col(_CARRY))
-        return self._running(F.sum, source, new, both)
+        return self.running_sums(**{new: source})
+
+    def running_sums(self, **columns: str) -> Ordered:
+        """Add ``new=source`` sums in one pass; sums over null values alone are null."""
+
+        def both(own: Column, carried: Column) -> Column:
+            return F.coalesce(own + carried, own, carried)
+
+        return self._running(F.sum, columns, both)
 
     def running_min(self, source: str, new: str) -> Ordered:
         """Add the smallest value of the key up to this row (rows of equal order included)."""
-        return self._running(F.min, source, new, F.least(F.col(new), F.col(_CARRY)))
+        return self._running(F.min, {new: source}, F.least)
 
-    def _running(self, how, source: str, new: str, both: Column) -> Ordered:
-        rest = self.rest and self.rest._running(how, source, new, both)
+    def _running(self, how, columns: dict[str, str], both) -> Ordered:
+        rest = self.rest and self.rest._running(how, columns, both)
         upto = self.window().rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        running = {new: how(source).over(upto) for new, source in columns.items()}
         if not self.split:
-            return self._next(self.df.withColumn(new, how(source).over(upto)), rest)
+            return self._next(self.df.withColumns(running), rest)
         df = self._settled()
+
+        def before(pieces):
+            earlier = pieces.rowsBetween(Window.unboundedPreceding, -1)
+            return F.struct(*[how(F.col(_CARRY)[new]).over(earlier).alias(new) for new in columns])
+
         out = self._with_carry(
             df,
-            df.withColumn(new, how(source).over(upto)),
-            how(source),
-            lambda pieces: how(_CARRY).over(pieces.rowsBetween(Window.unboundedPreceding, -1)),
+            df.withColumns(running),
+            F.struct(*[how(source).alias(new) for new, source in columns.items()]),
+            before,
         )
-        return self._next(out.withColumn(new, both).drop(_CARRY), rest)
+        found = {new: both(F.col(new), F.col(_CARRY)[new]) for new in columns}
+        return self._next(out.withColumns(found).drop(_CARRY), rest)
 
     def fill_forward(self, source: str, new: str) -> Ordered:
         """Add the latest non-null value of the key up to and including this row."""

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from tidemark.functions.series import MICROS, micros, series_key, step_start
 from tidemark.operators import alerts, metrics
 
-# Metrics, labels and severities of the rules, and the trailing window of the CPU rate.
+# Metrics, labels and severities of the rules, the trailing window of the CPU rate
+# and how long a scraped value counts.
 CPU_USED, CPU_LIMIT = "container_cpu_usage_seconds_total", "kube_pod_container_resource_limits_cpu_cores"
 MEMORY_USED = "container_memory_working_set_bytes"
 MEMORY_LIMIT = "kube_pod_container_resource_limits_memory_bytes"
 READY, WANTED = "kube_replicaset_status_ready_replicas", "kube_replicaset_spec_replicas"
 PHASE = "kube_pod_status_phase"
 RATE_WINDOW_S = 60
+LOOKBACK_S = 300
 HIGH_USAGE, DEGRADED, DOWN = "warning", "high", "critical"
 
 
@@ -38,14 +40,19 @@ Components = Mapping[str, Component]
 
 
 def _tagged(samples: DataFrame, metric: str, components: Components, **tests) -> DataFrame:
-    """Samples of a metric with the ``component`` whose matchers they pass. All components are told
-    apart in one pass; the matchers are functions of the component."""
+    """Samples of a metric with the ``component`` whose matchers they pass; the matchers are functions of the component.
+
+    Series are few beside their samples: the components are found once for each label set that occurs, and the samples
+    meet them by an equality join on the set.
+    """
+    own = samples.filter(F.col("metric") == metric).withColumn("series", series_key(F.col("labels")))
     marks = [
         F.when(metrics.label_test(**{k: test(c) for k, test in tests.items()}), F.lit(label))
         for label, c in components.items()
     ]
     hit = F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull()))
-    return samples.filter(F.col("metric") == metric).withColumn("component", hit)
+    found = own.select("series", "labels").dropDuplicates(["series"]).select("series", hit.alias("component"))
+    return own.join(found, "series")
 
 
 def _used(samples: DataFrame, metric: str, components: Components) -> DataFrame:
@@ -75,23 +82,28 @@ def cpu_high(
     step_s: int,
     pct: float = alerts.DEFAULT_PCT,
     window_s: int = RATE_WINDOW_S,
+    lookback_s: int = LOOKBACK_S,
 ) -> DataFrame:
-    """Steps at which a component's busiest container exceeds the threshold of its CPU limit."""
-    used = _used(samples, CPU_USED, components).withColumn("series", series_key(F.col("labels")))
+    """Steps at which a component's busiest container exceeds the threshold of its CPU limit, as last scraped."""
+    used = _used(samples, CPU_USED, components)
     rates = metrics.counter_rate(used, window_s, by=("component", "series")).select(
         "component", F.timestamp_micros("us").alias("ts"), F.col("rate").alias("value")
     )
     limits = _limit(samples, CPU_LIMIT, components)
-    share = metrics.pct_of_limit(rates, limits, step_s, by=("component",))
+    share = metrics.pct_of_limit(rates, limits, step_s, by=("component",), lookback_s=lookback_s)
     return alerts.threshold_alert(share, pct, HIGH_USAGE)
 
 
 def memory_high(
-    samples: DataFrame, components: Components, step_s: int, pct: float = alerts.DEFAULT_PCT
+    samples: DataFrame,
+    components: Components,
+    step_s: int,
+    pct: float = alerts.DEFAULT_PCT,
+    lookback_s: int = LOOKBACK_S,
 ) -> DataFrame:
     used = _used(samples, MEMORY_USED, components)
     limits = _limit(samples, MEMORY_LIMIT, components)
-    share = metrics.pct_of_limit(used, limits, step_s, by=("component",))
+    share = metrics.pct_of_limit(used, limits, step_s, by=("component",), lookback_s=lookback_s)
     return alerts.threshold_alert(share, pct, HIGH_USAGE)
 
 
@@ -106,7 +118,7 @@ def is_degraded(samples: DataFrame, components: Components, step_s: int) -> Data
             components,
             equal=lambda c: {"exported_namespace": c.namespace},
             pattern=lambda c: {"replicaset": f"{c.prefix}.*.{c.name}"},
-        ).withColumn("series", series_key(F.col("labels")))
+        )
         steps = metrics.resample(rows, step_s, by=("component", "series"))
         return steps.select(*keys, F.col("value").alias(column))
 

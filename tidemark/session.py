@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 # The SQL settings the SQL server ships with. Schema merging reads every file's footer,
@@ -41,7 +42,6 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     """Runtime settings the results depend on (time zone) or the plans count on (adaptive)."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
-    spark.conf.unset(INITIAL)
     return spark
 
 
@@ -59,8 +59,8 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
     """Start shuffles with a partition per SHUFFLE_BYTES of input, at least as many as the session has set.
 
     Adaptive execution merges small partitions but never makes more than it starts with, so the session's
-    200 would leave 500 GB to each task of a 100 TB shuffle. Scans call this with their size; the number only
-    rises until ``apply_settings`` starts another query. Returns it.
+    200 would leave 500 GB to each task of a 100 TB shuffle. Scans call this with their size. The number only rises
+    in a session, as queries that are built now may run after others are built. Returns it.
     """
     current = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(INITIAL, None) or 0))
     number = max(current, -(-input_bytes // SHUFFLE_BYTES))
