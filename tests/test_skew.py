@@ -22,9 +22,9 @@ HOT = {
 CUT = (
     "counter_rates counter_increases counter_resets container_restarts network_rates retry_report running_total "
     "price_against_previous attached_lines parsed_logs trace_lines parsed_batches alert_episodes alert_transitions "
-    "scrape_gaps missing_steps states_in_order component_alerts"
+    "scrape_gaps missing_steps states_in_order component_alerts as_of_values lookback_alerts concurrent_apps"
 ).split()
-WHOLE = ["top_orders_per_customer", "retained_files", "order_customer", "above_average_orders", "signature_missing"]
+WHOLE = ["top_orders_per_customer", "retained_files", "order_customer", "above_average_orders", "signature_missing", "activity_sessions", "known_issues"]
 
 
 @pytest.fixture(scope="module")

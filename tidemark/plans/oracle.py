@@ -87,7 +87,9 @@ SELECT event_id, value FROM events
 WHERE event_type = 'error' AND user_id % 5 <> 0
   AND regexp_full_match('app-' || user_id, 'app-1.*')
 """
-ORACLE["counter_rates"] = f"WITH {_rates(WEEK_US)} SELECT * FROM rates"
+ORACLE["counter_rates"] = f"""
+WITH {_rates(WEEK_US)} SELECT * REPLACE (round(rate, 9) AS rate) FROM rates
+"""
 ORACLE["counter_increases"] = f"""
 WITH {_DELTAS}
 SELECT metric, series, round(coalesce(sum(delta), 0), 4) AS increase,
@@ -141,7 +143,7 @@ FROM events GROUP BY 1, 2, 3
 ORACLE["network_rates"] = f"""
 WITH {_rates(DAY_US)}
 SELECT series, us - us % {DAY_US} AS step_us,
-       max(rate) FILTER (metric = 'click') AS receive, max(rate) FILTER (metric = 'view') AS transmit
+       round(max(rate) FILTER (metric = 'click'), 9) AS receive, round(max(rate) FILTER (metric = 'view'), 9) AS transmit
 FROM rates WHERE metric IN ('click', 'view') GROUP BY 1, 2
 """
 ORACLE["app_rollup"] = """
@@ -772,3 +774,108 @@ SELECT c_custkey, c_mktsegment FROM customer c
 WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)
   AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 450000)
 """
+
+# --- values as of an instant, open intervals, sessions, partial loads ----------------------------
+
+ORACLE["as_of_values"] = f"""
+WITH e AS (SELECT user_id AS series, epoch_us(ts) AS us, event_type, value FROM events),
+v AS (SELECT series, us, value FROM e WHERE event_type = 'view')
+SELECT p.series, p.us, p.value, CASE WHEN p.us - v.us <= {DAY_US} THEN v.us END AS since,
+       CASE WHEN p.us - v.us <= {DAY_US} THEN v.value END AS seen
+FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.series = v.series AND p.us >= v.us
+"""
+ORACLE["lookback_alerts"] = f"""
+WITH s AS (
+  SELECT user_id % 10 AS grp, epoch_us(ts) - epoch_us(ts) % {900 * 10**6} AS step_us,
+         max(value) FILTER (event_type = 'purchase') AS used, max(value) FILTER (event_type = 'signup') AS "limit"
+  FROM events GROUP BY 1, 2),
+j AS (
+  SELECT u.grp, u.step_us, u.used, l."limit", u.used / nullif(l."limit", 0) * 100.0::DOUBLE AS pct
+  FROM (SELECT * FROM s WHERE used IS NOT NULL) u
+  ASOF JOIN (SELECT * FROM s WHERE "limit" IS NOT NULL) l ON u.grp = l.grp AND u.step_us >= l.step_us
+  WHERE u.step_us - l.step_us <= {12 * HOUR_US})
+SELECT grp, step_us, used, "limit", round(pct, 6) AS pct, 'warning' AS severity FROM j WHERE pct > 90
+"""
+
+
+def _swept(intervals: str, key: str) -> str:
+    """The number of open intervals ``s, e`` (microseconds) of a key after each change."""
+    return f"""
+  iv AS ({intervals}),
+  ch AS (
+    SELECT {key}, s AS us, 1 AS c FROM iv WHERE e IS NULL OR e > s
+    UNION ALL SELECT {key}, e, -1 FROM iv WHERE e > s),
+  net AS (SELECT {key}, us, sum(c) AS c FROM ch GROUP BY 1, 2 HAVING sum(c) <> 0),
+  swept AS (SELECT {key}, us, CAST(sum(c) OVER (PARTITION BY {key} ORDER BY us) AS BIGINT) AS "open" FROM net)
+"""
+
+
+ORACLE["concurrent_apps"] = f"""
+WITH {_swept(f'SELECT name, start_ms * 1000 AS s, end_ms * 1000 AS e FROM ({ORACLE["app_list"]})', "name")},
+l AS (
+  SELECT *, lag(us) OVER (PARTITION BY name ORDER BY us) AS since,
+         lag("open") OVER (PARTITION BY name ORDER BY us) AS held FROM swept),
+p AS (
+  SELECT name, us - us % {DAY_US} AS step_us, "open" AS n FROM l
+  UNION ALL
+  SELECT name, unnest(range(since - since % {DAY_US}, us, {DAY_US})), held FROM l WHERE held > 0)
+SELECT name, step_us, max(n) AS peak FROM p GROUP BY 1, 2 HAVING max(n) > 0
+"""
+ORACLE["running_executors"] = f"""
+WITH {_swept(f'SELECT app, added_ms * 1000 AS s, removed_ms * 1000 AS e FROM ({ORACLE["executor_summary"]})', "app")}
+SELECT * FROM swept
+"""
+_CLOSED = f"(epoch_us(max(ts)) // 1000) * 1000 - {HOUR_US}"
+ORACLE["stream_degraded_groups"] = f"""
+WITH d AS (
+  SELECT user_id % 50 AS grp, epoch_us(ts) - epoch_us(ts) % {DAY_US} AS step_us,
+         arg_max(value, ts) FILTER (event_type = 'signup') AS ready,
+         arg_max(value, ts) FILTER (event_type = 'click') AS wanted
+  FROM events GROUP BY 1, 2)
+SELECT * FROM d
+WHERE ready < wanted AND step_us + {DAY_US} <= (
+  SELECT min(c) FROM (SELECT {_CLOSED} AS c FROM events WHERE event_type IN ('signup', 'click') GROUP BY event_type))
+"""
+ORACLE["stream_absent_groups"] = f"""
+SELECT user_id % 50 AS grp, epoch_us(ts) - epoch_us(ts) % {DAY_US} AS step_us
+FROM events GROUP BY 1, 2
+HAVING count(*) FILTER (event_type = 'error') = 0
+   AND step_us + {DAY_US} <= (SELECT {_CLOSED} FROM events WHERE event_type = 'error')
+"""
+_SESSIONS = f"""
+  u AS (
+    SELECT user_id AS series, epoch_us(ts) AS us,
+           lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+  n AS (
+    SELECT series, us, sum(CASE WHEN us - before <= {6 * HOUR_US} THEN 0 ELSE 1 END)
+      OVER (PARTITION BY series ORDER BY us) AS k FROM u),
+  sessions AS (
+    SELECT series, min(us) AS start_us, max(us) AS last_us, count(*) AS n FROM n GROUP BY series, k)
+"""
+ORACLE["activity_sessions"] = f"WITH {_SESSIONS} SELECT * FROM sessions"
+ORACLE["stream_activity_sessions"] = f"""
+WITH {_SESSIONS} SELECT * FROM sessions WHERE last_us + {6 * HOUR_US} <= (SELECT {_CLOSED} FROM events)
+"""
+ORACLE["known_issues"] = """
+WITH c AS (
+  SELECT doc_id AS issue, array_to_string(string_split(text, ' ')[3:6], ' ') AS w, substring(text, 2, 8) AS l
+  FROM documents WHERE length(text) >= 10),
+s AS (SELECT issue, CASE WHEN issue % 10 = 0 OR length(w) < 3 THEN l ELSE w END AS signature FROM c),
+lines AS (SELECT source AS app, unnest(string_split(text, chr(10))) AS value FROM documents)
+SELECT app, issue, signature, count(*) AS hits FROM lines JOIN s ON contains(value, signature) GROUP BY 1, 2, 3
+"""
+ORACLE["counted_load"] = """
+SELECT c_mktsegment AS segment, count(*) AS n, (SELECT count(*) FROM customer) AS written FROM customer GROUP BY 1
+"""
+ORACLE["reloaded_status"] = """
+SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 1.0::DOUBLE ELSE o_totalprice END AS price,
+       o_orderstatus AS status FROM orders
+"""
+ORACLE["pruned_by_region"] = """
+SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 GROUP BY 1
+"""
+ORACLE["merged_sketches"] = """
+SELECT l_returnflag, CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers,
+       TRUE AS suppliers_near, TRUE AS p50_near, TRUE AS p95_near
+FROM lineitem GROUP BY 1, 2
+"""

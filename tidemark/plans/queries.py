@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import fleet as ff
-from tidemark.functions.series import micros, step_start
+from tidemark.functions.series import MICROS, micros, step_start
 from tidemark.functions.text import tokens
 from tidemark.operators import (
     alerts,
@@ -23,11 +23,13 @@ from tidemark.operators import (
     sampling,
     status,
 )
+from tidemark.operators.lookback import as_of, open_intervals, peak_per_step
 from tidemark.operators.text import lines, save_pairs, tokenize, word_count
 from tidemark.plans import inputs as i
 from tidemark.plans import reports
 from tidemark.session import apply_settings, scratch_path
 from tidemark.sources import basic, tables
+from tidemark.streaming import states
 from tidemark.streaming.alerts import stream_alerts
 from tidemark.streaming.wordcount import read_batches, stream_word_count_batches, sum_over_batches
 
@@ -169,6 +171,32 @@ def loaded_twice(spark, sf_dir):
     return tables.table_scan(spark, db, name).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def counted_load(spark, sf_dir):
+    """A load whose own job counts the rows for the gate."""
+    db, name = _fresh_table(spark, "id BIGINT, segment STRING")
+    rows = i.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    written = tables.load_checked(rows, db, name)
+    loaded = tables.table_scan(spark, db, name)
+    return loaded.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.lit(written).cast("bigint").alias("written"))
+
+
+@query
+def reloaded_status(spark, sf_dir):
+    """Orders partitioned by status; a second load of the open ones replaces that partition only."""
+    db = "tidemark_tables"
+    tables.ensure_db(spark, db, scratch_path(spark, "tables-db"))
+    location = scratch_path(spark, "orders-by-status")
+    name = "t_" + location.rsplit("-", 1)[-1]
+    tables.ensure_partitioned(spark, db, name, "id BIGINT, price DOUBLE, status STRING", location, ("status",))
+    orders = i.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    tables.reload_partitions(orders, db, name)
+    again = orders.filter("o_orderstatus = 'O'").withColumn("o_totalprice", F.lit(1.0))
+    for _ in range(2):
+        tables.reload_partitions(again.select("o_orderkey", "o_totalprice", "o_orderstatus"), db, name)
+    return tables.table_scan(spark, db, name)
+
+
 @query
 def previewed_customers(spark, sf_dir):
     """The first rows on the console, the whole table as result."""
@@ -246,6 +274,65 @@ def stream_threshold_alerts(spark, sf_dir):
     )
 
 
+def _two_waves(spark, sf_dir, run):
+    """Events written in two waves by time; ``run(stream, out, checkpoint)`` is called after each. Returns ``out``."""
+    source, out, progress = (scratch_path(spark, name) for name in ("events", "found", "progress"))
+    rows = i.samples(spark, sf_dir).withColumn("grp", F.col("series") % 50)
+    middle = F.lit("2024-01-15").cast("timestamp")
+    for wave in (F.col("ts") < middle, F.col("ts") >= middle):
+        rows.filter(wave).write.mode("append").parquet(source)
+        run(spark.readStream.schema(rows.schema).parquet(source), out, progress)
+    return out
+
+
+def _of(rows, metric):
+    return rows.filter(F.col("metric") == metric)
+
+
+@query
+def stream_degraded_groups(spark, sf_dir):
+    """Days on which a group's newest sign-up (ready) is below its newest click (wanted): two streams joined, stopped and
+    resumed; the newest day stays open."""
+
+    def run(stream, out, progress):
+        found = states.stream_degraded(_of(stream, "signup"), _of(stream, "click"), ["grp"], "1 day", "1 hour")
+        states.run_available(found, out, progress)
+
+    out = _two_waves(spark, sf_dir, run)
+    return spark.read.schema("grp bigint, step_us bigint, ready double, wanted double").parquet(out)
+
+
+@query
+def stream_absent_groups(spark, sf_dir):
+    """Days on which a group has events but no error among them: an outer join of two streams."""
+
+    def run(stream, out, progress):
+        found = states.stream_absent(stream, _of(stream, "error"), ["grp"], "1 day", "1 hour")
+        states.run_available(found, out, progress)
+
+    return spark.read.schema("grp bigint, step_us bigint").parquet(_two_waves(spark, sf_dir, run))
+
+
+SESSION_GAP = "6 hours"
+
+
+@query
+def activity_sessions(spark, sf_dir):
+    """Sessions of users that end with six hours without an event."""
+    return states.sessions(i.samples(spark, sf_dir), ["series"], SESSION_GAP)
+
+
+@query
+def stream_activity_sessions(spark, sf_dir):
+    """The sessions a stream has closed."""
+
+    def run(stream, out, progress):
+        states.run_available(states.sessions(stream, ["series"], SESSION_GAP, delay="1 hour"), out, progress)
+
+    schema = "series bigint, start_us bigint, last_us bigint, n bigint"
+    return spark.read.schema(schema).parquet(_two_waves(spark, sf_dir, run))
+
+
 # --- metric series -------------------------------------------------------------------------------
 
 
@@ -262,7 +349,8 @@ def matched_labels(spark, sf_dir):
 
 @query
 def counter_rates(spark, sf_dir):
-    return metrics.counter_rate(i.counters(spark, sf_dir), 7 * DAY)
+    found = metrics.counter_rate(i.counters(spark, sf_dir), 7 * DAY)
+    return found.withColumns({c: F.round(c, n) for c, n in (("increase", 6), ("rate", 9))})
 
 
 @query
@@ -306,6 +394,24 @@ def threshold_alerts(spark, sf_dir):
     return found.withColumn("pct", F.round("pct", 6))
 
 
+@query
+def as_of_values(spark, sf_dir):
+    """Each purchase with the newest view of its user within a day before it."""
+    rows = i.samples(spark, sf_dir).withColumn("us", micros(F.col("ts")))
+    bought = rows.filter(F.col("metric") == "purchase").select("series", "us", "value")
+    viewed = rows.filter(F.col("metric") == "view").select("series", "us", F.col("value").alias("seen"))
+    return as_of(bought, viewed, ["series"], "us", ["seen"], DAY * MICROS)
+
+
+@query
+def lookback_alerts(spark, sf_dir):
+    """Usage on quarter hours against limits that are scraped far less often: the newest of the last twelve hours."""
+    rows = i.samples(spark, sf_dir).withColumn("grp", F.col("series") % 10)
+    usage, limits = (rows.filter(F.col("metric") == m) for m in ("purchase", "signup"))
+    share = metrics.pct_of_limit(usage, limits, 900, by=("grp",), lookback_s=12 * HOUR)
+    return alerts.threshold_alert(share).withColumn("pct", F.round("pct", 6))
+
+
 @query
 def latest_values(spark, sf_dir):
     return metrics.latest(i.samples(spark, sf_dir))
@@ -326,7 +432,8 @@ def usage_windows(spark, sf_dir):
 @query
 def network_rates(spark, sf_dir):
     directions = {"click": "receive", "view": "transmit"}
-    return metrics.net_rates(i.counters(spark, sf_dir), directions, DAY, DAY)
+    found = metrics.net_rates(i.counters(spark, sf_dir), directions, DAY, DAY)
+    return found.withColumns({c: F.round(c, 9) for c in directions.values()})
 
 
 @query
@@ -530,6 +637,22 @@ def app_list(spark, sf_dir):
     return eventlog.app_list(i.application_log(spark, sf_dir))
 
 
+@query
+def concurrent_apps(spark, sf_dir):
+    """The most applications of a name that run at once, for each day."""
+    apps = eventlog.app_list(i.application_log(spark, sf_dir))
+    start, end = F.col("start_ms") * 1000, F.col("end_ms") * 1000
+    return peak_per_step(open_intervals(apps, start, end, ["name"]), DAY, ["name"])
+
+
+@query
+def running_executors(spark, sf_dir):
+    """How many executors each application has from each instant at which that changes, and their cores."""
+    executors = eventlog.executor_summary(i.executor_log(spark, sf_dir))
+    start, end = F.col("added_ms") * 1000, F.col("removed_ms") * 1000
+    return open_intervals(executors, start, end, ["app"])
+
+
 @query
 def job_summary(spark, sf_dir):
     found = eventlog.job_summary(i.job_log(spark, sf_dir))
@@ -626,6 +749,14 @@ def signature_missing(spark, sf_dir):
     return logs.signature_missing(documents, sources, "MIT", app="source", value="text")
 
 
+@query
+def known_issues(spark, sf_dir):
+    """A signature from each document searched for in the lines of all, in one scan of them."""
+    docs = i.documents(spark, sf_dir, "source")
+    lines = docs.select(F.col("source").alias("app"), F.explode(F.split("text", "\n")).alias("value"))
+    return logs.known_issues(lines, i.issue_catalogue(spark, sf_dir))
+
+
 @query
 def parsed_batches(spark, sf_dir):
     return logs.parse_batches(i.batch_lines(spark, sf_dir))
@@ -780,6 +911,7 @@ for _report in (
     reports.pushed_scan,
     reports.partition_scan,
     reports.saved_table,
+    reports.pruned_by_region,
     reports.order_customer,
     reports.customer_orders_outer,
     reports.supplier_customer_nations,
@@ -789,6 +921,7 @@ for _report in (
     reports.nation_dim_join,
     reports.pricing_summary,
     reports.approximate_suppliers,
+    reports.merged_sketches,
     reports.sales_rollup,
     reports.sales_cube,
     reports.sales_grouping_sets,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import micros
+from tidemark.operators import sketches
 from tidemark.operators.joins import lookup, null_safe_join, range_join
 from tidemark.operators.ordered import ordered
 from tidemark.plans.inputs import register_tables, table
@@ -82,6 +83,17 @@ def saved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pruned_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stored by nation, joined with the nations of one region: which folders are opened is known only when the
+    filtered nations have been read."""
+    path = scratch_path(spark, "customers-by-nation")
+    table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").write.partitionBy("c_nationkey").parquet(path)
+    customers = spark.read.schema("c_custkey bigint, c_nationkey bigint").parquet(path)
+    nations = table(spark, sf_dir, "nation").filter("n_regionkey = 2").select("n_nationkey", "n_name")
+    joined = customers.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def order_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner join; orders are summed up per customer first, so a busy customer joins as one row."""
     per_customer = (
@@ -214,6 +226,32 @@ def _totals(grouped) -> DataFrame:
     return grouped.agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("n"))
 
 
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and the spread of prices per return flag and year, from sketches stored per day; beside the exact numbers
+    of lines and suppliers whether the estimates are as near as their errors say (three and two times them)."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", "l_suppkey", "l_extendedprice")
+    dated = lines.withColumn("day", F.to_date("l_shipdate"))
+    path = scratch_path(spark, "sketches")
+    sketches.sketched(dated, ["l_returnflag", "day"], "l_suppkey", "l_extendedprice").write.parquet(path)
+    keys = ["l_returnflag", "year"]
+    daily = spark.read.parquet(path).withColumn("year", F.year("day"))
+    shares = {"p50": 0.5, "p95": 0.95}
+    found = sketches.estimated(sketches.merged(daily, keys), keys, shares)
+    below = [F.count_if(F.col("l_extendedprice") < F.col(c)).alias(f"{c}_below") for c in shares]
+    upto = [F.count_if(F.col("l_extendedprice") <= F.col(c)).alias(f"{c}_upto") for c in shares]
+    exact = dated.withColumn("year", F.year("day")).join(lookup(found.drop("n")), keys)
+    exact = exact.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("l_suppkey").alias("suppliers"), F.max("distinct").alias("distinct"), *below, *upto
+    )
+    error = F.greatest(F.lit(1.0), F.col("suppliers") * 3 * sketches.DISTINCT_ERROR)
+    checks = [(F.abs(F.col("distinct") - F.col("suppliers")) <= error).alias("suppliers_near")]
+    for c, q in shares.items():
+        room = F.col("n") * 2 * sketches.RANK_ERROR + 1
+        near = (F.col(f"{c}_below") <= F.col("n") * q + room) & (F.col(f"{c}_upto") >= F.col("n") * q - room)
+        checks.append(near.alias(f"{c}_near"))
+    return exact.select(*keys, "n", "suppliers", *checks)
+
+
 def sales_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(_sales(spark, sf_dir).rollup("l_returnflag", "l_linestatus"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,42 @@ def require_rows(df: DataFrame, minimum: int = 1) -> DataFrame:
     return df
 
 
+def load_checked(df: DataFrame, db: str, table: str, minimum: int = 1) -> int:
+    """Replace the table's rows and return how many were written; fail where they are fewer than required.
+
+    The writing job counts its rows itself (an observed metric), so neither the source nor the table is read for it.
+    The rows stay written when the gate fails.
+    """
+    seen = Observation()
+    load_table(df.observe(seen, F.count(F.lit(1)).alias("n")), db, table)
+    found = seen.get["n"]
+    if found < minimum:
+        raise TooFewRows(f"expected at least {minimum} rows, wrote {found}")
+    return found
+
+
+def ensure_partitioned(
+    spark: SparkSession, db: str, table: str, schema: str, location: str, partition_by: tuple[str, ...]
+) -> None:
+    """External parquet table partitioned on its last columns."""
+    columns = ", ".join(partition_by)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS `{db}`.`{table}` ({schema}) USING PARQUET "
+        f"PARTITIONED BY ({columns}) LOCATION '{location}'"
+    )
+
+
+def reload_partitions(df: DataFrame, db: str, table: str) -> None:
+    """Replace the partitions that the rows belong to; all others stay as they are."""
+    conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(mode)
+    conf.set(mode, "dynamic")  # an insert into a table does not read the writer's options
+    try:
+        df.write.insertInto(f"`{db}`.`{table}`", overwrite=True)
+    finally:
+        conf.set(mode, before)
+
+
 def merged_scan(spark: SparkSession, *paths: str) -> DataFrame:
     """Parquet files whose schemas grew over time, read with the union of their columns."""
     return spark.read.option("mergeSchema", True).parquet(*paths)
