@@ -21,7 +21,7 @@ _TOKENS = """
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
 """
 _WORDS = f"WITH {_TOKENS} SELECT word, count(*) AS n FROM tokens GROUP BY word"
-for _name in ("words", "text_file_words", "stream_words", "restarted_stream_words"):
+for _name in ("words", "text_file_words", "stream_words", "triggered_stream_words", "restarted_stream_words"):
     ORACLE[_name] = _WORDS
 ORACLE["document_tokens"] = f"""
 WITH {_TOKENS}

@@ -31,7 +31,7 @@ from tidemark.session import apply_settings, scratch_path
 from tidemark.sources import basic, tables
 from tidemark.streaming import states
 from tidemark.streaming.alerts import stream_alerts
-from tidemark.streaming.wordcount import read_batches, stream_word_count_batches, sum_over_batches
+from tidemark.streaming.wordcount import every, read_batches, stream_word_count_batches, sum_over_batches
 
 HOUR, DAY = 3600, 86_400
 BY = ["metric", "series"]
@@ -232,6 +232,19 @@ def stream_words(spark, sf_dir):
     return sum_over_batches(read_batches(spark, out))
 
 
+@query
+def triggered_stream_words(spark, sf_dir):
+    """Word counts of a stream that looks for lines every two seconds, until it has found all."""
+    source, out = scratch_path(spark, "lines"), scratch_path(spark, "counts")
+    i.documents(spark, sf_dir).select("text").write.text(source)
+    running = stream_word_count_batches(spark.readStream.text(source), out, scratch_path(spark, "progress"), every())
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return sum_over_batches(read_batches(spark, out))
+
+
 @query
 def restarted_stream_words(spark, sf_dir):
     """The stream stops, more lines arrive, and it resumes from its checkpoint."""
