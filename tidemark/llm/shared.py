@@ -39,16 +39,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     read = df.sparkSession.read.schema(df.schema).parquet(path)
     size_shuffles(df.sparkSession, table_bytes(read))
     read.stored_at = path
+    for made in _MADE:
+        made.append(read)
     return read
 
 
+#: Lists that note the tables stored while they are open.
+_MADE: list[list[DataFrame]] = []
+
+
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of ``build()``, stored; what it has stored on the way is deleted then. The driver lets go of the plans that
+    have run, so that Spark removes their shuffle files too."""
+    made: list[DataFrame] = []
+    _MADE.append(made)
+    try:
+        rows = build()
+    finally:
+        _MADE.remove(made)
+    spark = rows.sparkSession
+    kept = stored(rows, name)
+    dropped(*made)
+    spark._jvm.System.gc()
+    return kept
+
+
 def is_drawn(rate: Column, *columns: str) -> Column:
     """Whether a row is in a sample of that rate, by a hash of its columns: the same rows wherever they are stored."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < rate * (1 << 30)
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more."""
+    """Delete stored tables that nothing reads any more; ones that are gone already are passed over."""
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
@@ -73,11 +95,13 @@ def by_bytes(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[st
 @contextmanager
 def keeping() -> Iterator[None]:
     """No search for reference cycles while a task fills its tables of small values, which hold none."""
+    searched = gc.isenabled()
     gc.disable()
     try:
         yield
     finally:
-        gc.enable()
+        if searched:
+            gc.enable()
 
 
 def per_text(
@@ -98,7 +122,8 @@ def per_text(
         arrow = to_arrow_schema(schema)
         apply = start()
         for batch in batches:
-            columns = apply(batch.column(1).to_pylist())
+            with keeping():
+                columns = apply(batch.column(1).to_pylist())
             arrays = [batch.column(0).cast(arrow.field(0).type)]
             arrays += [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

@@ -31,7 +31,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from tidemark.llm.shared import dropped, stored
+from tidemark.llm.shared import dropped, settled, stored
 
 LENGTH = 400
 #: Repeated passages of more words go, found as runs of repeated strings of so many bytes: the least length that parses
@@ -434,16 +434,23 @@ def remove_passages(
     A repeated string of LENGTH bytes lies within a run of repeated shorter ones wherever it stands, so the runs of at least
     LENGTH bytes are all that has to be searched for it. Nulls, copies and empty tables as in ``remove_repeats``.
     """
-    found = remove_repeats(docs, key, text, length=passage, words=words, result="text", longer=LENGTH)
-    found = stored(found.withColumn("__row", F.monotonically_increasing_id()), "passages")
-    runs = found.where("whole is not null").select("__row", "whole", F.explode("long").alias("run"))
-    start = F.col("run.start")
-    part = F.expr("substring(whole, cast(run.start + 1 as int), cast(run.end - run.start as int))")
-    again = remove_repeats(runs.select(F.struct("__row", start.alias("at")).alias("place"), part.alias("part")), "place", "part", result="sha256")
-    moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("place.at")).alias("start"), (s["end"] + F.col("place.at")).alias("end")))
-    spans = again.where("size(spans) > 0").select(F.col("place.__row").alias("__row"), moved.alias("some"))
-    per_row = spans.groupBy("__row").agg(F.sort_array(F.flatten(F.collect_list("some"))).alias("__spans"))
-    joined = found.join(per_row, "__row", "left")
+    def passages() -> DataFrame:
+        found = remove_repeats(docs, key, text, length=passage, words=words, result="text", longer=LENGTH)
+        return found.withColumn("__row", F.monotonically_increasing_id())
+
+    found = settled(passages, "passages")
+
+    def repeats() -> DataFrame:
+        runs = found.where("whole is not null").select("__row", "whole", F.explode("long").alias("run"))
+        part = F.expr("substring(whole, cast(run.start + 1 as int), cast(run.end - run.start as int))").alias("part")
+        runs = runs.select(F.struct("__row", F.col("run.start").alias("at")).alias("place"), part)
+        again = remove_repeats(runs, "place", "part", result="sha256")
+        start = F.col("place.at")
+        moved = F.transform("spans", lambda s: F.struct((s["start"] + start).alias("start"), (s["end"] + start).alias("end")))
+        spans = again.where("size(spans) > 0").select(F.col("place.__row").alias("__row"), moved.alias("some"))
+        return spans.groupBy("__row").agg(F.sort_array(F.flatten(F.collect_list("some"))).alias("__spans"))
+
+    joined = found.join(settled(repeats, "spans"), "__row", "left")
     plain = F.coalesce("__spans", F.array().cast(found.schema["spans"].dataType))
     at = F.array(F.lit(0).cast("bigint"))
     kept = F.transform(
