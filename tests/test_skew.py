@@ -22,9 +22,9 @@ HOT = {
 CUT = (
     "counter_rates counter_increases counter_resets container_restarts network_rates retry_report running_total "
     "price_against_previous attached_lines parsed_logs trace_lines parsed_batches alert_episodes alert_transitions "
-    "scrape_gaps missing_steps states_in_order component_alerts as_of_values lookback_alerts concurrent_apps"
+    "scrape_gaps missing_steps component_alerts as_of_values lookback_alerts concurrent_apps"
 ).split()
-WHOLE = ["top_orders_per_customer", "retained_files", "order_customer", "above_average_orders", "signature_missing", "activity_sessions", "known_issues"]
+WHOLE = ["top_orders_per_customer", "retained_files", "order_customer", "above_average_orders", "signature_missing", "states_in_order", "activity_sessions", "known_issues"]
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +39,7 @@ def skewed(tmp_path_factory):
 
 
 #: Series that are sparse or short in the small tables are cut earlier.
-EARLIER = {"scrape_gaps": 3, "missing_steps": 3, "component_alerts": 10, "states_in_order": 10, "alert_transitions": 10}
+EARLIER = {"scrape_gaps": 3, "missing_steps": 3, "component_alerts": 10, "alert_transitions": 10}
 
 
 @pytest.mark.parametrize("name", CUT + WHOLE)

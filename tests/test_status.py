@@ -19,8 +19,7 @@ def test_states(spark):
     assert counts == {"COMPLETED": 1, "RUNNING": 1, "FAILED": 1}
 
 
-@pytest.mark.parametrize("limit", [100, 2])
-def test_order_of_states(spark, limit):
+def test_order_of_states(spark):
     history = {
         "in order": "SxRC",
         "restarted": "CRxC",
@@ -33,7 +32,7 @@ def test_order_of_states(spark, limit):
     df = spark.createDataFrame(rows[::-1], "app string, n bigint, state string")
 
     def reached(*wanted):
-        got = status.saw_in_order(df, ["app"], list(wanted), ts="n", rows=limit)
+        got = status.saw_in_order(df, ["app"], list(wanted), ts="n")
         return {r.app: (r.reached, r.in_order) for r in got.collect()}
 
     two = reached("R", "C")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import MICROS, micros
+from tidemark.operators.joins import null_safe_join
 from tidemark.operators.ordered import ROWS_PER_PIECE, ordered
+from tidemark.session import use_checkpoint_dir
 
 # How a pod that waits in the queue of the batch scheduler reports itself.
 QUEUED_TYPE = "PodScheduled"
@@ -25,31 +27,29 @@ def state_counts(df: DataFrame, by: list[str], ts="ts", state="state") -> DataFr
     return current_state(df, by, ts, state).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-def saw_in_order(
-    df: DataFrame, by: list[str], states: list[str], ts="ts", state="state", rows=ROWS_PER_PIECE
-) -> DataFrame:
+def saw_in_order(df: DataFrame, by: list[str], states: list[str], ts="ts", state="state") -> DataFrame:
     """Whether each application showed the states one after the other (others may lie between).
 
     ``reached`` counts the states seen in order. Each state is looked for after the first time its
-    predecessor was reached, which finds the order whenever there is one. All steps share one shuffle.
+    predecessor was reached, which finds the order whenever there is one. Each step reads the rows of one state, joins
+    them to one row per application and takes the least, so rows of a busy application are split and added up
+    where they are; only the row per application is written between steps.
     """
     timed = df.schema[ts].dataType.typeName().startswith("timestamp")
     at = micros(F.col(ts)) if timed else F.col(ts).cast("bigint")
-    scan = ordered(df.select(*by, F.col(state).alias("s"), at.alias("at")), by, "at", rows=rows)
-    earlier = F.lit(True)
-    for i, wanted in enumerate(states):
-        hit = F.when((F.col("s") == wanted) & earlier, F.col("at"))
-        hits = scan.map(lambda found, hit=hit: found.withColumn("hit", hit))
-        scan = hits.running_min("hit", f"hit_{i}")
-        earlier = F.col(f"hit_{i}") < F.col("at")
-    seen = [F.max(F.col(f"hit_{i}").isNotNull().cast("int")) for i in range(len(states))]
-    total = sum(seen[1:], seen[0])
-    return (
-        scan.done()
-        .groupBy(*by)
-        .agg(total.alias("reached"))
-        .withColumn("in_order", F.col("reached") == len(states))
-    )
+    rows = df.select(*by, F.col(state).alias("s"), at.alias("at"))
+    seen = rows.groupBy(*by).agg(F.lit(0).alias("reached"), F.lit(None).cast("bigint").alias("last"))
+    use_checkpoint_dir(df.sparkSession)
+    for step, wanted in enumerate(states):
+        seen = seen.checkpoint()
+        open_ = seen.filter(F.col("reached") == step).select(*by, "last")
+        later = F.col("last").isNull() | (F.col("at") > F.col("last"))
+        hits = null_safe_join(rows.filter(F.col("s") == wanted), open_, by, "inner").filter(later)
+        first = hits.groupBy(*by).agg(F.min("at").alias("hit"))
+        found = null_safe_join(seen, first, by, "left")
+        more = F.col("reached") + F.col("hit").isNotNull().cast("int")
+        seen = found.select(*by, more.alias("reached"), F.coalesce("hit", "last").alias("last"))
+    return seen.select(*by, "reached", (F.col("reached") == len(states)).alias("in_order"))
 
 
 def any_match(pods: DataFrame, name_part: str, phase: str = "Running", by: tuple[str, ...] = ()) -> DataFrame:
