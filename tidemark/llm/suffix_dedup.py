@@ -34,9 +34,9 @@ from pyspark.sql.types import (
 from tidemark.llm.shared import dropped, settled, stored
 
 LENGTH = 400
-#: Repeated passages of more words go, found as runs of repeated strings of so many bytes: the least length that parses
-#: into phrases as long as one of 200 bytes does. The shortest 51 words in a row of the sf0.1 documents have 230.
-PASSAGE_WORDS, PASSAGE_BYTES = 50, 143
+#: Repeated passages of more words go, found as runs of repeated strings of so many bytes: 51 words of two letters. The
+#: shortest 51 words in a row of the sf0.1 documents have 230.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 152
 GRAM, BLOCK = 16, 16
 #: Bytes parsed at a time; a longer text is parsed in overlapping pieces.
 PIECE = 1 << 22
@@ -409,7 +409,7 @@ def remove_repeats(
 
     names = ["k", "carried", *(f.name for f in _result_fields(result, longer))]
     pending = first.where("text is not null").drop(*names[2:])
-    found = _resolved(stored(_contexts(pending, length), "contexts"), length)
+    found = settled(lambda: _resolved(stored(_contexts(pending, length), "contexts"), length), "found")
     late = found.groupBy("k", "th").agg(F.collect_list(F.struct("lo", "n")).alias("late"))
     all_ = _beside(pending, late)
     more = [F.concat(c, F.coalesce(F.col(f"late.{c}"), F.array().cast("array<bigint>"))).alias(c) for c in ("lo", "n")]
