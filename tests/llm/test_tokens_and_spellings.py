@@ -114,6 +114,8 @@ def test_alignment_query(prepared, small):
 def test_alignment_of_odd_texts(documents, rows, none, part, monkeypatch):
     if part:
         monkeypatch.setattr(alignment, "PART_BYTES", part)
+        monkeypatch.setattr(alignment, "KEPT_VALUES", 500)
+        monkeypatch.setattr(alignment, "KEPT", 40)
         monkeypatch.setattr(alignment, "SHARES", 3)
     assert got(alignment.align(documents)) == aligned(rows)
     assert alignment.align(none).count() == 0

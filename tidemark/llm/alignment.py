@@ -49,10 +49,10 @@ SHARES = 20_000
 _BLANK_RUN = re.compile(r"\s{2000}")
 #: A single space at which both tokenizers start anew: neither more blanks nor the visible form of a space beside it.
 _SAFE, _UNSAFE = re.compile(r"(?<=[^ ▁]) (?=[^\s▁])"), re.compile(r" \s|▁|^ | $")
-#: Pieces of texts whose ids a task keeps, and the longest that it keeps.
+#: Pieces of texts whose ids a task keeps, and the longest that it looks up again.
 KEPT, SHORT = 400_000, 48
-#: Bytes of parts that are encoded as one text.
-JOINED = 8192
+#: Bytes of pieces that are encoded as one text, and the ids or links after which a task starts its tables anew.
+JOINED, KEPT_VALUES = 8192, 1 << 23
 
 
 class Left:
@@ -141,7 +141,7 @@ class Aligner:
         rng = np.random.default_rng(11)
         self.mix = rng.integers(1, 1 << 63, size=int(self.border) + 1 if self.ids.itemsize == 2 else 1 << 16, dtype=np.uint64)
         self.pieces: dict[str, int] = {}
-        self.sides = Pool(), Pool()
+        self.sides, self.n_kept = (Pool(), Pool()), 0
         self.begin()
 
     def begin(self) -> None:
@@ -159,8 +159,8 @@ class Aligner:
         """Places of the texts that have tokens, the ids of both sides of them, and how many ids each text has there. A text
         has none where a side does not give its bytes again. Texts are parted where both tokenizers start anew, and the ids
         of a piece that comes back are kept."""
-        if len(self.pieces) > KEPT:
-            self.pieces, self.sides = {}, (Pool(), Pool())
+        if len(self.pieces) > KEPT or self.sides[0].used > KEPT_VALUES:
+            self.pieces, self.sides, self.n_kept = {}, (Pool(), Pool()), 0
         flat: list[str] = []
         bounds, odd = [], set()
         for text in texts:
@@ -216,7 +216,7 @@ class Aligner:
             return
         sizes = [len(p) + 1 if p.isascii() else len(p.encode()) + 1 for p in pieces]
         ends = np.cumsum(sizes)
-        n = self.n_kept = getattr(self, "n_kept", 0) if self.sides[0].used else 0
+        n = self.n_kept
         for ids, widths, side in zip((a, b), (self.left_sizes, self.right_sizes), self.sides, strict=True):
             ids = np.array(ids, np.uint32)
             side.extend(ids, np.searchsorted(np.cumsum(widths[ids]), ends) + 1, n)
@@ -230,7 +230,7 @@ class Aligner:
         use, a, b, n_a, n_b = self.encode(texts)
         if not use:
             return out
-        if len(self.known) > KEPT_WINDOWS:
+        if len(self.known) > KEPT_WINDOWS or self.links.used > KEPT_VALUES:
             self.forget()
         data = np.frombuffer(b"".join([(" " + texts[k]).encode() for k in use] + [b" "]), np.uint8)
         ends_a, ends_b = np.cumsum(self.left_sizes[a]), np.cumsum(self.right_sizes[b])
