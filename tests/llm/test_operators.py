@@ -21,7 +21,6 @@ from tests.llm.conftest import SMALL, odd_texts, words
 from tests.llm.test_pipeline import without_repeats
 from tidemark.llm import language_id, packing, pii, quality, sentence_pieces, simhash, suffix_dedup, tokens, topk, warc
 from tidemark.llm.queries import QUERIES
-from tidemark.llm.shared import stored
 from tidemark.session import scratch_path
 
 
@@ -43,21 +42,15 @@ def rows_of(df):
 
 
 def test_repeats_of_small_table(prepared, small_texts):
-    result = stored(QUERIES["op2_suffix_dedup"](prepared, SMALL), "result")
-    found = by_key(result, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = by_key(QUERIES["op2_suffix_dedup"](prepared, SMALL), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     expected = brute.repeats([t for _, t in small_texts])
     assert found == {k: e for (k, _), e in zip(small_texts, expected, strict=True)}
-    plain = dict(without_repeats([(k, t or "") for k, t in small_texts]))
-    assert by_key(result, "doc_id", "text") == {k: (t,) for k, t in plain.items()}
 
 
-def test_passages_and_repeats_of_odd_texts(odd):
-    found = suffix_dedup.remove_passages(odd)
-    size = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
-    got = rows_of(found.select("doc_id", "n_bytes", size, F.size("spans"), "kept_sha256", "kept"))
+def test_passages_of_odd_texts(odd):
+    found = suffix_dedup.remove_repeats(odd, length=suffix_dedup.PASSAGE_BYTES, words=50, result="text")
     texts = [(k, t or "") for k, t in odd_texts()]
-    expected = zip(texts, brute.repeats([t for _, t in texts]), without_repeats(texts), strict=True)
-    assert got == Counter((k, *e, cut) for (k, _), e, (_, cut) in expected)
+    assert rows_of(found.select("doc_id", "kept")) == Counter(without_repeats(texts))
 
 
 def test_many_copies_of_a_row(prepared):

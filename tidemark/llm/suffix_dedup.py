@@ -83,10 +83,6 @@ def pieces_of(texts: list[bytes], length: int) -> Iterator[tuple[int, int, bytes
             yield i, at, data[at : at + PIECE + length - 1]
 
 
-def as_bytes(text: str | bytes) -> bytes:
-    return text if isinstance(text, bytes) else text.encode()
-
-
 def phrases(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, int, bytes, int]]:
     """(text, first start, starts, distance of the last start to the trigger, class, core) for each phrase."""
     held: list[tuple[int, int, bytes]] = []
@@ -147,7 +143,7 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            texts = list(map(as_bytes, batch.column(3).to_pylist()))
+            texts = [t.encode() for t in batch.column(3).to_pylist()]
             rows = list(phrases(texts, length))
             if rows:
                 index, lo, n, d, digests, core = zip(*rows, strict=True)
@@ -173,10 +169,10 @@ def _classes(rows: DataFrame, name: str) -> DataFrame:
     return stored(joined.where("copies > 1 or open").drop("core"), f"{name}-classes")
 
 
-def _settled(joined: DataFrame, length: int, words: int, result: str, longer: int) -> DataFrame:
+def _settled(joined: DataFrame, length: int, words: int, result: str) -> DataFrame:
     """Rows without open phrases get their result; of the others all columns stay, and their result is null."""
     given = [StructField(f.name, f.dataType) for f in joined.schema]
-    schema = StructType([*given, *_result_fields(result, longer)])
+    schema = StructType([*given, *_result_fields(result)])
     place = {name: i for i, name in enumerate(joined.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +187,7 @@ def _settled(joined: DataFrame, length: int, words: int, result: str, longer: in
             own = batch.filter(pc.invert(waits))
             kept = ("k", "carried")
             columns = [own.column(i).cast(f.type) if f.name in kept else pa.nulls(len(own), f.type) for i, f in enumerate(given)]
-            columns += _results(*[own.column(place[c]) for c in ("text", "lo", "n")], length, words, result, longer, arrow)
+            columns += _results(*[own.column(place[c]) for c in ("text", "lo", "n")], length, words, result, arrow)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return joined.mapInArrow(run, schema)
@@ -214,7 +210,7 @@ def _contexts(pending: DataFrame, length: int) -> DataFrame:
             rows, index, data = [], [], []
             columns = [c.to_pylist() for c in batch.columns[2:]]
             for i, (text, *arrays) in enumerate(zip(*columns, strict=True)):
-                whole = as_bytes(text)
+                whole = text.encode()
                 for row in zip(*arrays, strict=True):
                     index.append(i)
                     rows.append(row)
@@ -289,54 +285,43 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def _result_fields(result: str, longer: int) -> list[StructField]:
+def _result_fields(result: str) -> list[StructField]:
     spans = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
     name = {"bytes": "kept", "text": "kept", "sha256": "kept_sha256"}[result]
     last = StructField(name, BinaryType() if result == "bytes" else StringType())
-    more = [StructField("long", spans), StructField("whole", BinaryType()), StructField("whole_sha256", StringType())]
-    return [StructField("n_bytes", LongType()), StructField("spans", spans), last, *(more if longer else ())]
-
-
-def _spans(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
-    return [{"start": i, "end": j} for i, j in spans]
+    return [StructField("n_bytes", LongType()), StructField("spans", spans), last]
 
 
 def _results(
-    text: pa.Array, lo: pa.Array, n: pa.Array, length: int, words: int, result: str, longer: int, arrow: pa.Schema
+    text: pa.Array, lo: pa.Array, n: pa.Array, length: int, words: int, result: str, arrow: pa.Schema
 ) -> list[pa.Array]:
-    """Bytes, removed spans and what is left of texts with their arrays of repeated starts; with ``longer`` also the runs
-    of that many bytes, the bytes of a text that has one, and the digest of the text."""
-    columns: list[list] = [[] for _ in _result_fields(result, longer)]
+    """Bytes, removed spans and what is left of texts with their arrays of repeated starts."""
+    sizes, found, kept = [], [], []
     for t, starts, counts in zip(text.to_pylist(), lo.to_pylist(), n.to_pylist(), strict=True):
-        data = as_bytes(t)
+        data = t.encode()
         spans = zip(starts or (), counts or (), strict=True)
-        all_runs = [(i, j + length - 1) for i, j in merged([(i, i + k) for i, k in spans])]
-        runs = merged([(i, j) for i, j in all_runs if j - i >= LENGTH or not words or len(data[i:j].split()) > words])
+        runs = [(i, j + length - 1) for i, j in merged([(i, i + k) for i, k in spans])]
+        runs = merged([(i, j) for i, j in runs if j - i >= LENGTH or not words or len(data[i:j].split()) > words])
         rest = without(data, runs)
-        row = [len(data), _spans(runs)]
+        sizes.append(len(data))
+        found.append([{"start": i, "end": j} for i, j in runs])
         if result == "sha256":
-            row.append(hashlib.sha256(rest).hexdigest())
+            kept.append(hashlib.sha256(rest).hexdigest())
         else:
-            row.append(rest.decode("utf-8", "ignore") if result == "text" else rest)
-        if longer:
-            # runs that touch are one: a longer string may reach from one into the next
-            long = [(i, j) for i, j in merged(all_runs) if j - i >= longer]
-            row += [_spans(long), data if long else None, hashlib.sha256(data).hexdigest()]
-        for column, value in zip(columns, row, strict=True):
-            column.append(value)
-    fields = list(arrow)[-len(columns) :]
-    return [pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)]
-
-
-def _cut(docs: DataFrame, length: int, words: int, result: str, longer: int) -> DataFrame:
+            kept.append(rest.decode("utf-8", "ignore") if result == "text" else rest)
+    fields = list(arrow)[-3:]
+    return [pa.array(c, f.type) for c, f in zip((sizes, found, kept), fields, strict=True)]
+
+
+def _cut(docs: DataFrame, length: int, words: int, result: str) -> DataFrame:
     """Results of rows ``(k, carried, text, lo, n)``."""
-    schema = StructType([docs.schema["k"], docs.schema["carried"], *_result_fields(result, longer)])
+    schema = StructType([docs.schema["k"], docs.schema["carried"], *_result_fields(result)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         for batch in batches:
             own = [batch.column(i).cast(arrow.field(i).type) for i in range(2)]
-            columns = _results(*batch.columns[2:], length, words, result, longer, arrow)
+            columns = _results(*batch.columns[2:], length, words, result, arrow)
             yield pa.RecordBatch.from_arrays([*own, *columns], schema=arrow)
 
     return docs.select("k", "carried", "text", "lo", "n").mapInArrow(run, schema)
@@ -357,26 +342,22 @@ def remove_repeats(
     result: str = "bytes",
     carry: tuple[str, ...] = (),
     words: int = 0,
-    longer: int = 0,
 ) -> DataFrame:
     """Per row: its key, the columns of ``carry``, ``n_bytes`` (UTF-8), ``spans`` (maximal runs of removed bytes, end
     exclusive) and ``kept``, the rest as bytes; with ``result="text"`` as text, without characters that a cut leaves
-    incomplete; with ``"sha256"`` in its place ``kept_sha256``, the digest of the bytes. With ``longer`` come ``long``
-    (runs of repeated strings of at least that many bytes), ``whole`` (the bytes of a text that has one, else null) and
-    ``whole_sha256``, the digest of the text.
+    incomplete; with ``"sha256"`` in its place ``kept_sha256``, the digest of the bytes.
 
     A byte goes if a string of ``length`` bytes that covers it starts at another place too, in any text or the same.
     Strings do not cross texts, and the input is judged, not what is left. Strings count as equal by 128-bit hashes.
     With ``words``, a run of such starts that covers less than LENGTH bytes goes only if it has more words than that;
-    words are parted by ASCII spaces, and one that the run cuts counts. Texts are strings or bytes.
+    words are parted by ASCII spaces, and one that the run cuts counts.
 
     A null text is empty; a text shorter than ``length`` stays whole. A repeated row is another place: the text
     goes from every copy. Rows that agree in key and text take part once, with a weight, however many they are; null and
     repeated keys are allowed. An empty table gives no rows, and columns that are not asked for are not read.
     """
-    empty = F.lit(b"" if isinstance(docs.schema[text].dataType, BinaryType) else "")
     carried = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.lit(True).alias("own"))
-    own = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), empty).alias("text"), carried.alias("carried"))
+    own = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"), carried.alias("carried"))
     own = own.select("k", F.xxhash64("text").alias("th"), "text", "carried")
     copied = stored(own.groupBy("k", "th").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"), "copied")
     copies = None
@@ -404,66 +385,26 @@ def remove_repeats(
     arrays = [F.col(f"done.{c}").alias(c) for c in ("lo", "n")]
     arrays += [F.col(f"opens.{c}").alias(f"o{c}") for c in ("lo", "n", "d", "f1", "f2")]
     beside = _beside(own.drop("w"), per_text.select("k", "th", *arrays))
-    first = stored(_settled(beside, length, words, result, longer), "first")
+    first = stored(_settled(beside, length, words, result), "first")
     dropped(parse, classes)
 
-    names = ["k", "carried", *(f.name for f in _result_fields(result, longer))]
+    names = ["k", "carried", *(f.name for f in _result_fields(result))]
     pending = first.where("text is not null").drop(*names[2:])
     found = settled(lambda: _resolved(stored(_contexts(pending, length), "contexts"), length), "found")
     late = found.groupBy("k", "th").agg(F.collect_list(F.struct("lo", "n")).alias("late"))
     all_ = _beside(pending, late)
     more = [F.concat(c, F.coalesce(F.col(f"late.{c}"), F.array().cast("array<bigint>"))).alias(c) for c in ("lo", "n")]
-    rest = _cut(all_.select("k", "carried", "text", *more), length, words, result, longer)
+    rest = _cut(all_.select("k", "carried", "text", *more), length, words, result)
     both = first.where("text is null").select(*names).unionByName(rest)
     if copies is not None:  # every string of a copied row starts in its copies too
         starts = F.octet_length("text") - (length - 1)
         every = [F.when(starts > 0, F.array(x)).cast("array<bigint>").alias(c) for c, x in (("lo", F.lit(0)), ("n", starts))]
-        whole = _cut(copies.select("k", "carried", "text", *every), length, words, result, longer)
+        whole = _cut(copies.select("k", "carried", "text", *every), length, words, result)
         both = both.where("carried.own").unionByName(whole)
     carried_out = [F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)]
     return both.select(F.col("k").alias(key), *carried_out, *names[2:])
 
 
-def remove_passages(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int = PASSAGE_BYTES, words: int = PASSAGE_WORDS
-) -> DataFrame:
-    """Per row: its key, ``n_bytes``, and two results. ``spans`` and ``kept_sha256`` are those of ``remove_repeats`` for
-    strings of LENGTH bytes; ``passages`` and ``kept`` are those for runs of strings of ``passage`` bytes that have
-    more than ``words`` words, ``kept`` as text.
-
-    A repeated string of LENGTH bytes lies within a run of repeated shorter ones wherever it stands, so the runs of at least
-    LENGTH bytes are all that has to be searched for it. Nulls, copies and empty tables as in ``remove_repeats``.
-    """
-    def passages() -> DataFrame:
-        found = remove_repeats(docs, key, text, length=passage, words=words, result="text", longer=LENGTH)
-        return found.withColumn("__row", F.monotonically_increasing_id())
-
-    found = settled(passages, "passages")
-
-    def repeats() -> DataFrame:
-        runs = found.where("whole is not null").select("__row", "whole", F.explode("long").alias("run"))
-        part = F.expr("substring(whole, cast(run.start + 1 as int), cast(run.end - run.start as int))").alias("part")
-        runs = runs.select(F.struct("__row", F.col("run.start").alias("at")).alias("place"), part)
-        again = remove_repeats(runs, "place", "part", result="sha256")
-        start = F.col("place.at")
-        moved = F.transform("spans", lambda s: F.struct((s["start"] + start).alias("start"), (s["end"] + start).alias("end")))
-        spans = again.where("size(spans) > 0").select(F.col("place.__row").alias("__row"), moved.alias("some"))
-        return spans.groupBy("__row").agg(F.sort_array(F.flatten(F.collect_list("some"))).alias("__spans"))
-
-    joined = found.join(settled(repeats, "spans"), "__row", "left")
-    plain = F.coalesce("__spans", F.array().cast(found.schema["spans"].dataType))
-    at = F.array(F.lit(0).cast("bigint"))
-    kept = F.transform(
-        F.arrays_zip(F.concat(at, F.col("__spans.end")).alias("i"), F.concat(F.col("__spans.start"), F.array("n_bytes")).alias("j")),
-        lambda z: F.substring(F.col("whole"), (z["i"] + 1).cast("int"), (z["j"] - z["i"]).cast("int")),
-    )
-    rest = F.aggregate(kept, F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
-    digest = F.when(F.col("__spans").isNull(), F.col("whole_sha256")).otherwise(F.sha2(rest, 256))
-    return joined.select(
-        F.col(key), "n_bytes", plain.alias("spans"), digest.alias("kept_sha256"), F.col("spans").alias("passages"), "kept"
-    )
-
-
 def _resolved(contexts: DataFrame, length: int) -> DataFrame:
     """Repeated starts ``(k, th, lo, n)`` of open phrases, by way of blocks and single starts."""
     blocks = stored(_blocks(contexts.select("f1", "f2", "n", "d", "bytes"), length), "blocks")
