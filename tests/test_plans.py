@@ -82,6 +82,8 @@ def test_shuffles_start_as_wide_as_the_input(spark):
     assert session.size_shuffles(spark, 1000) == base and spark.conf.get(session.INITIAL, None) is None
     assert session.size_shuffles(spark, 100 * 2**40) == 100 * 2**40 // session.SHUFFLE_BYTES
     assert session.size_shuffles(spark, 1) == 100 * 2**40 // session.SHUFFLE_BYTES
+    unknown = session.table_bytes(spark.sparkContext.parallelize([(1,)]).toDF("a long"))
+    assert session.size_shuffles(spark, unknown) == 100 * 2**40 // session.SHUFFLE_BYTES
     # a query that was built before runs after the next one has been prepared
     session.apply_settings(spark)
     assert spark.conf.get(session.INITIAL) == str(100 * 2**40 // session.SHUFFLE_BYTES)

@@ -47,6 +47,8 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 #: Input of one shuffle partition to start with: a task sorts it in memory with room to spare.
 SHUFFLE_BYTES = 256 * 2**20
+#: The optimizer gives a size beyond this for rows it knows nothing of.
+KNOWN_BYTES = 1 << 60
 INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
@@ -60,8 +62,10 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
 
     Adaptive execution merges small partitions but never makes more than it starts with, so the session's
     200 would leave 500 GB to each task of a 100 TB shuffle. Scans call this with their size. The number only rises
-    in a session, as queries that are built now may run after others are built. Returns it.
+    in a session, as queries that are built now may run after others are built; an unknown size leaves it. Returns it.
     """
+    if input_bytes > KNOWN_BYTES:
+        input_bytes = 0
     current = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(INITIAL, None) or 0))
     number = max(current, -(-input_bytes // SHUFFLE_BYTES))
     if number > current:
