@@ -134,3 +134,43 @@ def test_a_thousand_signatures_take_one_scan(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == {(*k, n) for k, n in expected.items()}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1 and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("bound", "piece"), [(logs.BROADCAST_BYTES, 4096), (logs.BROADCAST_BYTES, 8), (3000, 8), (0, 8)])
+def test_known_issues_of_any_cut(spark, monkeypatch, bound, piece):
+    monkeypatch.setattr(logs, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(logs, "PIECE", piece)
+    draw = random.Random(3)
+    letters = "aab  _é€\U0001f600#0\t\n"
+    lines = [(draw.choice(["a", "b", None]), "".join(draw.choices(letters, k=draw.randint(0, 60)))) for _ in range(200)]
+    lines += [lines[0], lines[0], ("a", None), ("b", " ".join(["over and over again"] * 9))]
+    texts = [value for _, value in lines if value and len(value) >= 15]
+    catalogue = [(1, "over and over"), (2, "over and over"), (None, "and over again over")]
+    for i in range(150):
+        value, size = draw.choice(texts), draw.randint(3, 15)
+        at = draw.randint(0, len(value) - size)
+        catalogue.append((i % 40, value[at : at + size]))
+    expected = {}
+    for app, value in lines:
+        for issue, signature in set(catalogue):
+            if value and signature in value:
+                expected[app, issue, signature] = expected.get((app, issue, signature), 0) + 1
+    found = [tuple(r) for r in issues(spark, lines, catalogue).collect()]
+    assert len(found) == len(expected) and set(found) == {(*k, n) for k, n in expected.items()}
+
+
+def test_known_issues_shuffle_no_lines(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        found = issues(spark, [("a", "Serving admission request")], CATALOGUE[:-1])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [key" in plan and "SortMergeJoin [key" not in plan
+    monkeypatch.setattr(logs, "BROADCAST_BYTES", 0)
+    found = issues(spark, [("a", "Serving admission request")], CATALOGUE[:-1])
+    assert [tuple(r) for r in found.collect()] == [("a", 2, "Serving admission request", 1)]
+
+
+def test_known_issues_of_no_catalogue(spark):
+    assert issues(spark, [("a", "Serving admission request")], []).collect() == []
