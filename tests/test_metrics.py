@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.series import series_key
 from tidemark.operators import alerts, latency, metrics
+from tidemark.plans.queries import QUERIES
 
 BASE = 1_700_000_000
 
@@ -220,6 +221,24 @@ def test_rollup_and_scope(spark):
     assert metrics.scope(df, {"app": ["app1"], "executor": []}, F.lit(1), F.lit(2)).count() == 2
 
 
+def test_dashboard_groups_once(spark):
+    names = [
+        "metrics_executor_totalTasks_total", "metrics_executor_memoryTasks", "metrics_executor_diskUsed_bytes",
+        "a_driver_BlockManager_cpu", "a_driver_cpu", "other", None,
+    ]
+    rows = [(f"app{k % 2}", k % 3, name, k, float(k)) for k in range(30) for name in names]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "app string, executor bigint, metric string, ts bigint, value double")
+    expected = {(s, *r) for s in metrics.SECTIONS for r in metrics.app_rollup(df, s).collect()}
+    found = metrics.dashboard(df)
+    got = [(r.section, *r[:-1]) for r in found.collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert {s for s, *r in got if "metrics_executor_memoryTasks" in r} == {"tasks", "memory"}
+    query = QUERIES["dashboard_rollup"](spark, "/root/testdata/sf0.001")
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_network_rates(spark):
     got = metrics.net_rates(
         samples(spark, [0.0, 60.0, 180.0], metric="rx").unionByName(

@@ -7,6 +7,7 @@ sample per instant. Instants come out as epoch microseconds (``us``).
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -271,6 +272,18 @@ def app_rollup(
     )
 
 
+def dashboard(
+    df: DataFrame, sections: dict[str, str] = SECTIONS, app="app", part="executor", metric="metric", ts="ts", value="value"
+) -> DataFrame:
+    """``app_rollup`` of each section, with its name in ``section``; a metric may be in several. The table is read and
+    grouped once, and only what is left of it goes to the sections."""
+    name = F.col(metric)
+    held = F.array_compact(F.array(*[F.when(whole_match(name, p), F.lit(s)) for s, p in sections.items()]))
+    wanted = df.filter(reduce(or_, [whole_match(name, p) for p in sections.values()]))
+    grouped = app_rollup(wanted, app=app, part=part, metric=metric, ts=ts, value=value)
+    return grouped.withColumn("section", F.explode(held))
+
+
 def variable_values(df: DataFrame, column: str) -> DataFrame:
     """The values a dashboard variable can take."""
     return df.select(column).filter(F.col(column).isNotNull()).distinct()

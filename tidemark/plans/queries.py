@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -466,11 +465,7 @@ def app_rollup(spark, sf_dir):
 @query
 def dashboard_rollup(spark, sf_dir):
     """Every section of the application dashboard over order lines as metrics of their supplier's application."""
-    rows = i.application_metrics(spark, sf_dir)
-    found = [
-        metrics.app_rollup(rows, section=name).withColumn("section", F.lit(name)) for name in metrics.SECTIONS
-    ]
-    return reduce(DataFrame.unionByName, found)
+    return metrics.dashboard(i.application_metrics(spark, sf_dir))
 
 
 @query
