@@ -14,6 +14,7 @@ from tests.llm import brute_tokens as brute
 from tests.llm.conftest import SMALL, odd_texts
 from tidemark.llm import alignment, byte_pairs, spelling
 from tidemark.llm.queries import QUERIES
+from tidemark.llm.shared import by_bytes
 
 EXTRA = [
     (20, "<|endoftext|>x <|startoftext|><|endoftext|>É<|endoftext|>"),
@@ -127,6 +128,24 @@ def test_alignment_of_one_common_text(prepared):
     assert got(found) == aligned(rows)
 
 
+def test_alignment_works_on_small_batches(rows, monkeypatch):
+    texts = [t or "" for _, t in rows]
+    whole, parts = alignment.Aligner(), alignment.Aligner()
+    at_once = whole.align(texts)
+    cut = list(by_bytes(texts, alignment.WORK_BYTES // 64))
+    assert len(cut) > 1
+    one_by_one = [x for some in cut for x in parts.align(some)]
+
+    def told(aligner, found):
+        pairs = list(aligner.pairs)
+        return [(*x[:4], {pairs[p]: n for p, n in zip(x[4].tolist(), x[5].tolist(), strict=True)}) for x in found]
+
+    assert told(whole, at_once) == told(parts, one_by_one)
+    counts = [dict(zip(a.pairs, a.counts.tolist(), strict=False)) for a in (whole, parts)]
+    assert counts[0] == counts[1]
+    assert alignment.WORK_BYTES <= 1 << 17  # arrays of a batch stay in a core's cache
+
+
 def test_links_of_a_group():
     links, _ = alignment.overlaps(np.array([1, 2, 3]), np.array([7, 8]), np.array([2, 3, 6]), np.array([4, 6]))
     assert [(x >> 32, x & 0xFFFFFFFF) for x in links.tolist()] == [(1, 7), (2, 7), (3, 7), (3, 8)]

@@ -51,6 +51,8 @@ _BLANK_RUN = re.compile(r"\s{2000}")
 _SAFE, _UNSAFE = re.compile(r"(?<=[^ ▁]) (?=[^\s▁])"), re.compile(r" \s|▁|^ | $")
 #: Pieces of texts whose ids a task keeps, and the longest that it looks up again.
 KEPT, SHORT = 400_000, 48
+#: Bytes of texts that are aligned at once, so that the arrays of a batch stay in a core's cache.
+WORK_BYTES = 1 << 17
 #: Bytes of pieces that are encoded as one text, and the ids or links after which a task starts its tables anew.
 JOINED, KEPT_VALUES = 8192, 1 << 23
 
@@ -152,8 +154,7 @@ class Aligner:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.groups: list[str] = []
-        self.links = Pool()
+        self.links, self.n_windows = Pool(), 0
 
     def encode(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places of the texts that have tokens, the ids of both sides of them, and how many ids each text has there. A text
@@ -171,19 +172,20 @@ class Aligner:
                 split = text.split(" ")
             flat += split
             bounds.append(len(flat))
-        codes = list(map(self.pieces.get, flat))
-        fresh = {p for p, c in zip(flat, codes, strict=True) if c is None}
-        if fresh:
-            alone = [p for p in fresh if not p or p[0].isspace() or (p in odd and _UNSAFE.search(p))]
-            for some in by_bytes(fresh.difference(alone), JOINED):
+        codes = np.array(list(map(self.pieces.get, flat)), np.float64)  # a piece that is not kept gives NaN
+        unknown = np.flatnonzero(np.isnan(codes))
+        places = np.where(np.isnan(codes), 0, codes).astype(np.int64)
+        if len(unknown):
+            wanted = list(map(flat.__getitem__, unknown.tolist()))
+            fresh = dict.fromkeys(wanted)
+            alone = {p for p in fresh if not p or p[0].isspace() or (p in odd and _UNSAFE.search(p))}
+            for some in by_bytes([p for p in fresh if p not in alone] if alone else fresh, JOINED):
                 self._learn(some)
             for piece in alone:
                 self._learn([piece])
-            codes = [self.pieces[p] if c is None else c for p, c in zip(flat, codes, strict=True)]
-            for piece in fresh:
-                if len(piece) > SHORT:
-                    del self.pieces[piece]
-        places = np.array(codes, np.int64)
+            places[unknown] = list(map(self.pieces.__getitem__, wanted))
+            for piece in [p for p in fresh if len(p) > SHORT]:
+                del self.pieces[piece]
         lost = np.concatenate([[0], np.cumsum(places < 0)])
         ends = np.array(bounds)
         starts = np.concatenate([[0], ends[:-1]])
@@ -214,8 +216,7 @@ class Aligner:
                 for piece in pieces:
                     self._learn([piece])
             return
-        sizes = [len(p) + 1 if p.isascii() else len(p.encode()) + 1 for p in pieces]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)) + 1)
         n = self.n_kept
         for ids, widths, side in zip((a, b), (self.left_sizes, self.right_sizes), self.sides, strict=True):
             ids = np.array(ids, np.uint32)
@@ -240,7 +241,7 @@ class Aligner:
         shared = ends_b[is_end[ends_b]]
         anchors = shared[data[shared] == 32]  # each text starts with a space, so the end of the one before is one too
         stop_a, stop_b = np.searchsorted(ends_a, anchors) + 1, np.searchsorted(ends_b, anchors) + 1
-        numbers = self._numbers(a, b, stop_a, stop_b, self._marked(a, b, ends_a, ends_b, shared))
+        numbers = self._numbers(a, b, stop_a, stop_b)
         last = np.searchsorted(anchors, bounds) + 1
         n_windows = np.diff(last, prepend=0)
         n_groups = np.diff(np.searchsorted(shared, bounds) + 1, prepend=0)
@@ -253,11 +254,10 @@ class Aligner:
         self.counts[:width] += np.bincount(pairs, times, width).astype(np.int64)
         cuts = np.searchsorted(of, np.arange(1, len(use)))
         pairs, times = np.split(pairs.astype(np.int32), cuts), np.split(times.astype(np.int32), cuts)
-        listed, groups_of = numbers.tolist(), self.groups.__getitem__
+        listed, strings = self._marked(a, b, ends_a, ends_b, shared), self.marked.__getitem__
         at = 0
-        for i, k in enumerate(use):
-            to = int(last[i])
-            text = ";".join(map(groups_of, listed[at:to]))
+        for i, (k, to) in enumerate(zip(use, np.cumsum(n_a + n_b).tolist(), strict=True)):
+            text = "".join(map(strings, listed[at:to].tolist()))[:-1]
             out[k] = (int(n_a[i]), int(n_b[i]), int(n_groups[i]), text, pairs[i], times[i])
             at = to
         return out
@@ -301,7 +301,7 @@ class Aligner:
             return first, which
         return np.arange(len(stop)), np.arange(len(stop))
 
-    def _numbers(self, a, b, stop_a, stop_b, marked: np.ndarray) -> np.ndarray:
+    def _numbers(self, a, b, stop_a, stop_b) -> np.ndarray:
         """The number of each window; one that is not kept is aligned."""
         names, stop = self._names(a, b, stop_a, stop_b)
         first, which = self._distinct(names, stop)
@@ -309,25 +309,15 @@ class Aligner:
         stops = (stop[first] * width).tolist()
         starts = np.concatenate([[0], stop])[first] * width
         tuples = [buffer[i:j] for i, j in zip(starts.tolist(), stops, strict=True)]
-        known, groups, strings = self.known, self.groups, self.marked.__getitem__
+        known = self.known
         numbers = list(map(known.get, tuples))
-        fresh = [i for i, n in enumerate(numbers) if n is None]
-        if fresh:
-            ends = stop_a + stop_b
-            begins = np.concatenate([[0], ends])[first[fresh]].tolist()
-            listed = marked.tolist()
-            added: list[bytes] = []
-            for i, begin, end in zip(fresh, begins, ends[first[fresh]].tolist(), strict=True):
-                number = known.get(tuples[i])
-                if number is None:
-                    number = known[tuples[i]] = len(groups)
-                    groups.append("".join(map(strings, listed[begin:end]))[:-1])
-                    added.append(tuples[i])
-                numbers[i] = number
+        if None in numbers:
+            added = list(dict.fromkeys(name for name, n in zip(tuples, numbers, strict=True) if n is None))
+            known.update(zip(added, range(self.n_windows, self.n_windows + len(added)), strict=True))
+            numbers = list(map(known.__getitem__, tuples))
             self._link(added)
-            for name in added:
-                if len(name) > KEPT_IDS * width:
-                    del known[name]
+            for name in [name for name in added if len(name) > KEPT_IDS * width]:
+                del known[name]
         return np.array(numbers, np.int64)[which]
 
     def _link(self, names: list[bytes]) -> None:
@@ -346,7 +336,8 @@ class Aligner:
         numbers = np.array([pairs.setdefault(p, len(pairs)) for p in distinct.tolist()], np.uint32)
         if len(pairs) > len(self.counts):
             self.counts = np.concatenate([self.counts, np.zeros(2 * len(pairs) - len(self.counts), np.int64)])
-        self.links.extend(numbers[which], stops, len(self.groups) - len(names))
+        self.links.extend(numbers[which], stops, self.n_windows)
+        self.n_windows += len(names)
 
 
 def _schema(docs: DataFrame, key: str, result: str) -> StructType:
@@ -397,7 +388,7 @@ def _encoded(docs: DataFrame, key: str, text: str, result: str) -> DataFrame:
 
         for batch in batches:
             keys, at = batch.column(0).cast(arrow.field(0).type), 0
-            for texts in by_bytes([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in by_bytes([t or "" for t in batch.column(1).to_pylist()], WORK_BYTES):
                 with keeping():
                     n_a, n_b, n_groups, groups, numbers, times = zip(*aligner.align(texts), strict=True)
                 if result == "sha256":
