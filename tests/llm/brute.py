@@ -28,6 +28,24 @@ def repeats(texts: list[str | None], length: int = 400) -> list[tuple[int, int,
     return out
 
 
+def passage_words(texts: list[str | None], words: int = 50) -> list[int]:
+    """Words of each text in passages of more words than that which another text has too."""
+    size = words + 1
+    split = [SPACE.findall(t or "") for t in texts]
+    rows: dict[tuple[str, ...], set[int]] = {}
+    for k, w in enumerate(split):
+        for i in range(len(w) - size + 1):
+            rows.setdefault(tuple(w[i : i + size]), set()).add(k)
+    out = []
+    for w in split:
+        marked = set()
+        for i in range(len(w) - size + 1):
+            if len(rows[tuple(w[i : i + size])]) > 1:
+                marked.update(range(i, i + size))
+        out.append(len(marked))
+    return out
+
+
 def measures(text: str | None) -> tuple[int, int, int, int, int]:
     text = text or ""
     w = SPACE.findall(text)

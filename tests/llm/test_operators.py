@@ -95,6 +95,57 @@ def test_kept_text_and_carried_columns(odd):
     assert all(r["kept"] == plain[r["doc_id"]] for r in rows if r["doc_id"] is not None and not r["spans"] and r["doc_id"] != 9)
 
 
+def passage_words(df, words=50):
+    found = suffix_dedup.repeated_passages(df, words=words).collect()
+    by_row = {r["row"]: r["n_passage_words"] for r in found}
+    assert len(by_row) == len(found) and all(n > words for n in by_row.values())
+    rows = df.select("doc_id", "text", suffix_dedup.row_id().alias("row")).collect()
+    return Counter((r["doc_id"], r["text"], by_row.get(r["row"], 0)) for r in rows)
+
+
+def test_passage_words_of_small_table(prepared, small_texts):
+    found = by_key(QUERIES["op2_suffix_dedup"](prepared, SMALL), "doc_id", "n_passage_words")
+    plain = brute.passage_words([t for _, t in small_texts])
+    assert found == {k: (n,) for (k, _), n in zip(small_texts, plain, strict=True)}
+    assert any(plain)
+
+
+@pytest.mark.parametrize("size", [16, 50])
+def test_passage_words_of_odd_texts(odd, size):
+    texts = odd_texts()
+    plain = brute.passage_words([t for _, t in texts], size)
+    assert passage_words(odd, size) == Counter((k, t, n) for (k, t), n in zip(texts, plain, strict=True))
+
+
+def test_passages_under_400_bytes(prepared):
+    """Passages of 51 words and 50, of one letter, across white space, within one row alone, at either end, in copies."""
+    a, b, c = words(51, 1), words(50, 2), words(200, 3)
+    texts = [
+        f"{words(40, 4)} {a} {words(40, 5)}", f"{a} {words(70, 6)}", f"{words(70, 7)}\n" + a.replace(" ", " \t\r\n"),
+        f"{words(40, 8)} {b} {words(40, 9)}", f"{b} {words(70, 10)}",
+        f"{words(60, 11)} {words(3, 12)} {words(60, 11)}",
+        f"{words(60, 13)} {c[:600]} {words(60, 14)}", f"{words(9, 15)} {c[100:500]} {words(60, 16)}", c[300:],
+        *(" ".join(words(9, 20 + i % 3) for i in range(j, j + 12)) for j in range(3)),
+        "x " * 900, "x " * 50, "x y " * 30, "x " * 51,
+    ]
+    rows = [(i % 12, t) for i, t in enumerate(texts)] + [(None, c), (None, c), (8, texts[8])]
+    plain = brute.passage_words([t for _, t in rows])
+    assert plain[:6] == [51, 51, 51, 0, 0, 0] and min(plain[6:12]) > 50
+    df = prepared.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert passage_words(df) == Counter((k, t, n) for (k, t), n in zip(rows, plain, strict=True))
+    first = prepared.createDataFrame(rows[:6], "doc_id long, text string")
+    assert not any(r["spans"] for r in suffix_dedup.remove_repeats(first, result="sha256").collect())
+
+
+def test_word_phrases_in_pieces(monkeypatch):
+    texts = [t for _, t in odd_texts() if t]
+    whole = list(suffix_dedup.word_phrases(texts, 51))
+    starts = [(i, lo + j) for i, lo, n, *_ in whole for j in range(n)]
+    assert starts == [(i, j) for i, t in enumerate(texts) for j in range(len(brute.SPACE.findall(t)) - 50)]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    assert list(suffix_dedup.word_phrases(texts, 51)) == whole
+
+
 # --- archives ----------------------------------------------------------------------------------------------
 
 
