@@ -661,6 +661,36 @@ def test_ids_are_those_of_the_library(odd, none, prepared, pieces_model, small_t
         assert found[k] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_steps_of_the_walk_are_kept(small_texts):
+    """Distinct words over steps met before are walked without looking for each start whether its characters grow into a
+    piece, which took more than half of the operator's time."""
+
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *args):
+            Counted.looks += 1
+            return super().get(*args)
+
+    encoder = sentence_pieces.Encoder()
+    encoder.search.prefixes = Counted(encoder.search.prefixes)
+    texts = [t for _, t in small_texts[:20]] + ["nation 日本 ½x"]
+    first = encoder.encode(texts)
+    met, Counted.looks, encoder.known = Counted.looks, 0, {}
+    assert encoder.encode(texts) == first
+    assert met > 0 and Counted.looks == 0
+
+
+def test_walk_with_few_kept_steps(monkeypatch, pieces_model, small_texts):
+    """Steps and pairs beyond the bound are found again: a bounded table, the same ids."""
+    monkeypatch.setattr(sentence_pieces, "KEPT_STEPS", 50)
+    monkeypatch.setattr(sentence_pieces, "KEPT_PAIRS", 50)
+    encoder = sentence_pieces.Encoder()
+    for _, text in small_texts[:20]:
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == pieces_model.encode(text)
+        assert sum(len(n.following) for n in [encoder.search.root, *encoder.search.nodes.values()]) <= 50
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text("aabethinor  ▁.,1é\n日😀", max_size=30))
 def test_pieces_of_any_text(text):

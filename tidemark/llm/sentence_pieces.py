@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import public_tokenizers
 import sentencepiece
@@ -27,8 +27,8 @@ from tidemark.llm.shared import by_bytes, per_text
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words and pairs of pieces that a task keeps between batches; a batch is about this many characters.
-KEPT_WORDS, KEPT_PAIRS, BATCH = 400_000, 1_000_000, 2 << 20
+#: Words, pairs of pieces and steps between nodes that a task keeps between batches; a batch is about this many characters.
+KEPT_WORDS, KEPT_PAIRS, KEPT_STEPS, BATCH = 400_000, 1_000_000, 500_000, 2 << 20
 #: Score below the worst piece that an unknown character has in a unigram model.
 UNKNOWN_PENALTY = 10.0
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -80,12 +80,24 @@ class Vocabulary:
         return text[1:] if text[:1] == " " else text
 
 
+class Node:
+    """The longest end of a path that a piece starts with. ``ends`` are the pieces that can be the last of the path, longest
+    first: its length, the piece, and what is known of the pieces before it. ``following`` are the nodes after one more
+    character, as far as they were met."""
+
+    __slots__ = ("text", "ends", "following")
+
+    def __init__(self, text: str, ends: list[tuple[int, int, dict[int, bool]]]) -> None:
+        self.text, self.ends = text, ends
+        self.following: dict[str, Node] = {}
+
+
 class Walk:
     """Depth-first walk over the trie of distinct words, in sorted order, with the forward states of one path.
 
-    A state is the last piece of the best encoding of a prefix (its id, and where it starts). Beside it the walk
-    keeps the starts from which the path can still grow into a piece. Both serve all words below the prefix. What may
-    follow what, and which of the possible last pieces is best, is up to the subclass.
+    A state is the last piece of the best encoding of a prefix (its number, and where it starts). Beside it the walk
+    keeps the node of the prefix, which tells in one step what pieces can end after the next character. Both serve all
+    words below the prefix. What may follow what, and which of the possible last pieces is best, is up to the subclass.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
@@ -93,49 +105,65 @@ class Walk:
         self.scores = vocabulary.scores
         self.prefixes: dict[str, int] = {p[:i]: -1 for p in self.names for i in range(1, len(p))}
         self.prefixes.update((p, i) for i, p in enumerate(self.names))
+        self.nodes: dict[str, Node] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the nodes and what may stay beside what. Nodes refer to each other, and tasks do not search for cycles."""
+        for node in self.nodes.values():
+            node.following.clear()
+        self.root, self.nodes = Node("", []), {}
+        self.befores: dict[int, dict[int, bool]] = {}
+        self.n_steps = self.n_pairs = 0
 
     def character(self, char: str) -> int:
-        """The id of a character that is no piece; bounded by the number of characters."""
+        """The number of a character that is no piece; bounded by the number of characters."""
         self.names.append(char)
         self.prefixes[char] = len(self.names) - 1
         return len(self.names) - 1
 
-    def encode(self, words: list[str]) -> dict[str, list[str]]:
-        """Pieces of distinct words."""
-        found, before, prefixes, names = {}, "", self.prefixes, self.names
-        last, starts, live = [-1], [0], [[]]
+    def grow(self, node: Node, char: str) -> Node:
+        """The node after one more character."""
+        prefixes = self.prefixes
+        if prefixes.get(char, -1) < 0:
+            self.character(char)
+        text = node.text + char
+        while text not in prefixes:
+            text = text[1:]
+        grown = self.nodes.get(text)
+        if grown is None:
+            tails = ((len(text) - i, prefixes.get(text[i:], -1)) for i in range(len(text)))
+            ends = [(n, piece, self.befores.setdefault(piece, {})) for n, piece in tails if piece >= 0]
+            grown = self.nodes[text] = Node(text, ends)
+        if self.n_steps < KEPT_STEPS:
+            self.n_steps += 1
+            node.following[char] = grown
+        return grown
+
+    def search(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Distinct words and the numbers of their pieces."""
+        if self.n_steps >= KEPT_STEPS or self.n_pairs >= KEPT_PAIRS:
+            self.forget()
+        self.path, self.last, self.starts = [self.root], [-1], [0]
+        path, last, starts, before = self.path, self.last, self.starts, ""
         self.begin()
         for word in sorted(words):
             common, limit = 0, min(len(word), len(before))
             while common < limit and word[common] == before[common]:
                 common += 1
-            del last[common + 1 :], starts[common + 1 :], live[common + 1 :]
-            self.back(common)
-            for end in range(common + 1, len(word) + 1):
-                grown, ends = [], []
-                for start in live[-1]:
-                    piece = prefixes.get(word[start:end])
-                    if piece is not None:
-                        grown.append(start)
-                        if piece >= 0:
-                            ends.append((start, piece))
-                char = word[end - 1]
-                piece = prefixes.get(char)
-                if piece is None or piece < 0:
-                    piece = self.character(char)
-                grown.append(end - 1)
-                ends.append((end - 1, piece))
-                start, piece = self.best(ends, last)
-                last.append(piece)
-                starts.append(start)
-                live.append(grown)
+            del path[common + 1 :], last[common + 1 :], starts[common + 1 :]
+            self.extend(word, common)
             pieces, end = [], len(word)
             while end:
-                pieces.append(names[last[end]])
+                pieces.append(last[end])
                 end = starts[end]
-            found[word] = pieces[::-1]
+            pieces.reverse()
+            yield word, pieces
             before = word
-        return found
+
+    def encode(self, words: list[str]) -> dict[str, list[str]]:
+        """Pieces of distinct words."""
+        return {word: [self.names[p] for p in pieces] for word, pieces in self.search(words)}
 
 
 class Unigram(Walk):
@@ -145,15 +173,20 @@ class Unigram(Walk):
         self.sums = [0.0]
         self.low = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
 
-    def back(self, depth: int) -> None:
-        del self.sums[depth + 1 :]
-
-    def best(self, ends: list[tuple[int, int]], last: list[int]) -> tuple[int, int]:
-        sums, scores, names = self.sums, self.scores, self.names
-        totals = [sums[start] + scores.get(names[piece], self.low) for start, piece in ends]
-        top = max(totals)
-        sums.append(top)
-        return ends[totals.index(top)]
+    def extend(self, word: str, depth: int) -> None:
+        sums, scores, names, low = self.sums, self.scores, self.names, self.low
+        del sums[depth + 1 :]
+        node = self.path[depth]
+        for end in range(depth + 1, len(word) + 1):
+            char = word[end - 1]
+            node = node.following.get(char) or self.grow(node, char)
+            totals = [sums[end - n] + scores.get(names[piece], low) for n, piece, _ in node.ends]
+            top = max(totals)
+            n, piece, _ = node.ends[totals.index(top)]
+            sums.append(top)
+            self.path.append(node)
+            self.last.append(piece)
+            self.starts.append(end - n)
 
 
 class BytePairs(Walk):
@@ -167,27 +200,30 @@ class BytePairs(Walk):
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__(vocabulary)
-        self.pairs: dict[int, bool] = {}
         self.histories: dict[int, tuple] = {}  # one for each piece or unknown character
 
     def begin(self) -> None:
-        if len(self.pairs) > KEPT_PAIRS:
-            self.pairs = {}
-
-    def back(self, depth: int) -> None:
         pass
 
-    def best(self, ends: list[tuple[int, int]], last: list[int]) -> tuple[int, int]:
-        pairs = self.pairs
-        for end in ends:
-            start, piece = end
-            pair = (last[start] << 32) + piece
-            stays = pairs.get(pair)
-            if stays is None:
-                stays = pairs[pair] = self.stays(last[start], piece)
-            if stays:
-                return end
-        raise AssertionError("no piece can end the prefix")
+    def extend(self, word: str, depth: int) -> None:
+        path, last, starts = self.path, self.last, self.starts
+        node = path[depth]
+        for end in range(depth + 1, len(word) + 1):
+            char = word[end - 1]
+            node = node.following.get(char) or self.grow(node, char)
+            for n, piece, befores in node.ends:
+                start = end - n
+                stays = befores.get(last[start])
+                if stays is None:
+                    stays = befores[last[start]] = self.stays(last[start], piece)
+                    self.n_pairs += 1
+                if stays:
+                    break
+            else:
+                raise AssertionError("no piece can end the prefix")
+            path.append(node)
+            last.append(piece)
+            starts.append(start)
 
     def history(self, piece: int) -> tuple[bool, list[tuple[float, str, str]]]:
         """Whether the merges make one piece of the piece's text, and for each of them its score and the first and the
@@ -237,17 +273,23 @@ class Encoder:
     def __init__(self, model: str | bytes = MODEL, unigram: bool = False) -> None:
         self.vocabulary = Vocabulary(public_tokenizers.path(model) if isinstance(model, str) else model)
         self.search = Unigram(self.vocabulary) if unigram else BytePairs(self.vocabulary)
+        self.coded = [self.piece(name) for name in self.search.names]
         self.known: dict[str, bytes] = {}
 
+    def piece(self, name: str) -> bytes:
+        return array("I", self.vocabulary.piece_ids(name)).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [marked_words(t) for t in texts]
         if len(self.known) > KEPT_WORDS:
             self.known = {}
         fresh = set().union(*split).difference(self.known)
-        for word, pieces in self.search.encode(list(fresh)).items():
-            ids = [i for p in pieces for i in self.vocabulary.piece_ids(p)]
-            self.known[word] = array("I", ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        coded, names, known = self.coded, self.search.names, self.known
+        for word, pieces in self.search.search(fresh):
+            while len(coded) < len(names):
+                coded.append(self.piece(names[len(coded)]))
+            known[word] = b"".join([coded[p] for p in pieces])
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, decoded: bool = False) -> DataFrame:
