@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import logs, sketches
 from tidemark.plans import reports
-from tidemark.session import apply_settings, scratch_path
+from tidemark.session import apply_settings, scratch_path, scratch_root
 from tidemark.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -174,3 +174,39 @@ def test_known_issues_shuffle_no_lines(spark, monkeypatch):
 
 def test_known_issues_of_no_catalogue(spark):
     assert issues(spark, [("a", "Serving admission request")], []).collect() == []
+
+
+def test_known_issues_beyond_a_broadcast_store_no_lines(spark, monkeypatch):
+    monkeypatch.setattr(logs, "BROADCAST_BYTES", 0)
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(1, 9))) for _ in range(3000)]
+    lines = [("a", " ".join(draw.choices(words, k=800))) for _ in range(400)]
+    catalogue = [(i, " ".join(value.split(" ")[3:7])) for i, (_, value) in enumerate(lines)]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    used = lambda: files.getContentSummary(folder).getLength() if files.exists(folder) else 0
+    before = used()
+    found = issues(spark, lines, catalogue)
+    assert found.count() == len({signature for _, signature in catalogue})
+    assert used() - before < 0.05 * sum(len(value) for _, value in lines)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(piece" not in plan and "hashpartitioning(hash" not in plan
+
+
+@pytest.mark.parametrize("piece", [4096, 100])
+def test_known_issues_of_any_length_beyond_a_broadcast(spark, monkeypatch, piece):
+    monkeypatch.setattr(logs, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(logs, "PIECE", piece)
+    draw = random.Random(9)
+    lines = [(draw.choice(["a", None]), "".join(draw.choices("ab é€\U0001f600", k=draw.choice([0, 2, 7, 600, 1700])))) for _ in range(40)]
+    lines += [(app, value[:900] + value[:900]) for app, value in lines[:10]] + [("b", None)]
+    texts = [value for _, value in lines if value and len(value) >= 600]
+    catalogue = [(i, texts[i % len(texts)][at : at + size]) for i in range(120) for at, size in [(draw.randint(0, 1400), draw.choice([3, 4, 8, 24, 31, 32, 33, 600]))]]
+    catalogue = [(i, signature) for i, signature in catalogue if len(signature) >= 3] + [(500, texts[0][-20:]), (501, texts[0][-20:] + "b" * 5)]
+    expected = {}
+    for app, value in lines:
+        for issue, signature in set(catalogue):
+            if value and signature in value:
+                expected[app, issue, signature] = expected.get((app, issue, signature), 0) + 1
+    found = [tuple(r) for r in issues(spark, lines, catalogue).collect()]
+    assert len(found) == len(expected) and set(found) == {(*k, n) for k, n in expected.items()}
